@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .fingerprint import edit_likeness
 from .simhash import near_duplicates
 
 
@@ -10,8 +11,12 @@ def op8_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op10_fingerprint(spark, sf_dir):
+    return edit_likeness(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {"op8_simhash": op8_simhash}
+    return {f.__name__: f for f in (op8_simhash, op10_fingerprint)}
 
 
 def oracle_sql():
