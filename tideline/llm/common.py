@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,3 +91,28 @@ def owner(off: np.ndarray) -> np.ndarray:
 def bucket(column: str, n: int):
     """crc32 of an id as text, modulo n: the deterministic fold of a row."""
     return F.crc32(F.col(column).cast("string")) % n
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about `most` bytes of the text column, to bound memory; a text is never cut."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
+        at = 0
+        while at < len(size):
+            end = int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right"))
+            end = max(end, at + 1)
+            yield b.slice(at, end - at)
+            at = end
+
+
+def held_out(column: str, n: int, remainder: int):
+    """Whether a row is in the fold that models don't learn from; a null id is in no held-out fold."""
+    return F.coalesce(bucket(column, n) == remainder, F.lit(False))
+
+
+def sampled(df: DataFrame, column: str, bound: int) -> DataFrame:
+    """About `bound` rows at most, chosen by a hash of an id; all rows if there are fewer."""
+    n = df.count()
+    if n <= bound:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.col(column), F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * bound / n))

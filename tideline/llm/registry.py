@@ -2,11 +2,38 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from . import decontaminate, linededup, quality, sentencepiece_bridge, urlfilter
 from .common import table
 from .fingerprint import edit_likeness
 from .simhash import near_duplicates
 
 
+def op1_quality(spark, sf_dir):
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op2_urlfilter(spark, sf_dir):
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op4_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_linededup(spark, sf_dir):
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op7_sentencepiece(spark, sf_dir):
+    model = sentencepiece_bridge.model_bytes(spark, sentencepiece_bridge.default_model())
+    rows = sentencepiece_bridge.encode(table(spark, sf_dir, "documents"), model)
+    ids = F.array_join("ids", " ")
+    return rows.select("doc_id", "n_ids", F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), "round_trip", "parity")
+
+
 def op8_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
@@ -15,8 +42,15 @@ def op10_fingerprint(spark, sf_dir):
     return edit_likeness(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in (op8_simhash, op10_fingerprint)}
+    made = (op1_quality, op2_urlfilter, op4_decontaminate, op6_linededup, op7_sentencepiece, op8_simhash, op10_fingerprint, pipeline)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql():
