@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, quality, sentencepiece_bridge, urlfilter
+from . import decontaminate, langid, linededup, quality, secrets, sentencepiece_bridge, substring, urlfilter
 from .common import table
 from .fingerprint import edit_likeness
 from .simhash import near_duplicates
@@ -18,10 +18,21 @@ def op2_urlfilter(spark, sf_dir):
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op3_secrets(spark, sf_dir):
+    words = secrets.dictionary(secrets.default_vocabulary())
+    rows = secrets.scan(table(spark, sf_dir, "documents"), secrets.labelled_findings(spark), words)
+    return rows.select("doc_id", "start", "end", F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256"), "score", "secret")
+
+
 def op4_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_substring(spark, sf_dir):
+    rows = substring.dedup_substrings(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_linededup(spark, sf_dir):
     kept = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -38,6 +49,10 @@ def op8_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op9_langid(spark, sf_dir):
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprint(spark, sf_dir):
     return edit_likeness(table(spark, sf_dir, "documents"))
 
@@ -49,7 +64,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    made = (op1_quality, op2_urlfilter, op4_decontaminate, op6_linededup, op7_sentencepiece, op8_simhash, op10_fingerprint, pipeline)
+    made = (op1_quality, op2_urlfilter, op3_secrets, op4_decontaminate, op5_substring, op6_linededup, op7_sentencepiece, op8_simhash, op9_langid, op10_fingerprint, pipeline)
     return {f.__name__: f for f in made}
 
 
