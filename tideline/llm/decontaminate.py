@@ -73,7 +73,8 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = 0.5) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("tie"), "text").join(near.select(F.col("doc_id").alias("d"), "tie").distinct(), ["tie"], "left_semi").dropDuplicates(["d", "tie"])
     asks = items.select(F.col("item_id").alias("i"), F.xxhash64("text").alias("item_tie"), F.col("text").alias("item_text")).dropDuplicates(["i", "item_tie"])
     pairs = near.join(texts, (near.tie == texts.tie) & near.doc_id.eqNullSafe(F.col("d"))).drop(texts.tie).join(asks, (near.item_tie == asks.item_tie) & near.item_id.eqNullSafe(F.col("i"))).drop(asks.item_tie)
-    pairs = pairs.select("doc_id", "tie", "item_id", "n", "windows", "shifts", marked(F.col("text")).alias("w"), marked(F.col("item_text")).alias("v"))
+    # Written, so that the words are not made anew for each place of an alignment.
+    pairs = materialise(pairs.select("doc_id", "tie", "item_id", "n", "windows", "shifts", marked(F.col("text")).alias("w"), marked(F.col("item_text")).alias("v")))
 
     def slots(s: Column) -> Column:
         """(value of the item, value of the document) at the item's placeholders, on one alignment."""
