@@ -25,8 +25,8 @@ def day_text(ts: Column) -> Column:
 
 
 def age_seconds(now: Column, then: Column) -> Column:
-    """Not rounded (F-07)."""
-    return (F.unix_micros(now) - F.unix_micros(then)) / 1e6
+    """Not rounded (F-07); zoneless times count as UTC, the session's zone."""
+    return (F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 1e6
 
 
 def age_rounded(now: Column, then: Column) -> Column:
