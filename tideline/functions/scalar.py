@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def rounded(x: Column, digits: int) -> Column:
@@ -74,7 +75,7 @@ def plain_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unaccented(name: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks; Spark has no function for it."""
     fold = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not 0x300 <= ord(c) <= 0x36F)

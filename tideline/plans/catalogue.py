@@ -378,7 +378,7 @@ def _(t):
     return rows.groupBy("user_id").agg(F.count("*").alias("season_n"), F.count_if(F.col("rn") <= 10).alias("l10_n"), F.count_if((F.col("rn") <= 10) & (F.col("value") > 50)).alias("l10_above"))
 
 
-@query("a20_ledger", "SELECT count(*) AS calls, sum(o_orderkey) AS total, max(o_orderkey) - min(o_orderkey) AS moved, sum(o_orderkey) = max(o_orderkey) - min(o_orderkey) AS balanced FROM orders")
+@query("a20_ledger", "SELECT count(*) AS calls, sum(o_orderkey)::BIGINT AS total, max(o_orderkey) - min(o_orderkey) AS moved, sum(o_orderkey) = max(o_orderkey) - min(o_orderkey) AS balanced FROM orders")
 def _(t):
     total, moved = F.sum("o_orderkey"), F.max("o_orderkey") - F.min("o_orderkey")
     return t.orders.agg(F.count("*").alias("calls"), total.alias("total"), moved.alias("moved"), (total == moved).alias("balanced"))
@@ -519,7 +519,7 @@ def seen(t):
     return t.events.select("user_id", "event_type", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400).alias("poll")).distinct()
 
 
-@query("t01_line_presence", f"WITH {POLLS} SELECT user_id, event_type, poll, present, least(om, 2) AS omissions, state, 1 + sum(nw) OVER (PARTITION BY user_id, event_type ORDER BY poll) AS generation FROM z")
+@query("t01_line_presence", f"WITH {POLLS} SELECT user_id, event_type, poll, present, least(om, 2) AS omissions, state, 1 + (sum(nw) OVER (PARTITION BY user_id, event_type ORDER BY poll))::BIGINT AS generation FROM z")
 def _(t):
     s = seen(t)
     return presence.line_presence(presence.polled(s, ["user_id", "event_type"], s), ["user_id", "event_type"])
