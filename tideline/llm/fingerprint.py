@@ -45,7 +45,9 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataF
     """keys and vector (array of STRONG + LANES longs, each modulo 2**32) of each row of texts, of which keys
     must be unique. Stays in the partitioning of texts if that is by some of the keys."""
     paras = texts.select(*keys, paragraphs(F.col(text)).alias("__p"))
-    rows = paras.select(*keys, strong(F.col("__p")).alias("__s"), F.explode_outer(runs(F.col("__p"))).alias("__h"))
+    # In two steps: what stands beside a generator is made anew for each row that it gives.
+    hashed = paras.select(*keys, strong(F.col("__p")).alias("__s"), runs(F.col("__p")).alias("__r"))
+    rows = hashed.select(*keys, "__s", F.explode_outer("__r").alias("__h"))
     # Two lanes to a number: the bits i and i + 32 of the hash, 32 bits apart, so that 32 sums do for 64 lanes.
     pair = lambda i: F.shiftrightunsigned("__h", i).bitwiseAND(F.lit(0x100000001))
     sums = rows.groupBy(*keys, "__s").agg(F.count("__h").alias("__n"), *(F.coalesce(F.sum(pair(i)), F.lit(0)).alias(f"__{i}") for i in range(LANES // 2)))
