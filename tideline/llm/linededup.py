@@ -147,7 +147,8 @@ def candidates(classes: DataFrame, t: float) -> DataFrame:
     size = F.size("words")
     # Sets of under four words match only equal sets, which are one class already.
     prefix = size - F.ceil(size * t - 1e-9).cast("int") + 1
-    rows = classes.where(size >= 4 if t > 0.75 else size >= 1).select(F.posexplode(F.slice("words", F.lit(1), prefix)).alias("place", "word"), "class", size.alias("size"), "sketch")
+    short = classes.where(size >= 4 if t > 0.75 else size >= 1).select("class", "sketch", size.alias("size"), F.slice("words", F.lit(1), prefix).alias("prefix"))
+    rows = short.select("class", "sketch", "size", F.posexplode("prefix").alias("place", "word"))
     return rows.select("word", "class", "size", "place", "sketch").repartition(partitions(classes.sparkSession), "word").mapInArrow(run, "word int, class long")
 
 
