@@ -57,6 +57,64 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return off - off[0], flat
 
 
+def split_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Text and number (from 0) of each line, and the lines; null text has none."""
+    rows = [(x or "").split("\n") if x is not None else [] for x in texts.to_pylist()]
+    count = np.array([len(r) for r in rows], np.int64)
+    doc = np.repeat(np.arange(len(rows)), count)
+    number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    return doc, number, pa.array([x for r in rows for x in r], pa.large_string())
+
+
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+STEP = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of STEP modulo 2**64 at least, and of its inverse; kept for the next batch."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((STEP, pow(STEP, -1, 1 << 64))):
+            _POWERS[k] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
+    return _POWERS
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words between ASCII white space as 64-bit hashes, straight from the UTF-8 bytes: all bytes, offsets of the
+    texts in them, first byte of each word, hash of each word (a polynomial in its bytes, finalised)."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    off, n = off - off[0], len(data)
+    letter = ~SPACE[data]
+    first, last = letter.copy(), letter.copy()
+    first[1:] &= ~letter[:-1]
+    last[:-1] &= ~letter[1:]
+    cut = off[(off > 0) & (off < n)]  # words end with their text
+    first[cut] |= letter[cut]
+    last[cut - 1] |= letter[cut - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    power, inverse = powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
+    return data, off, start, mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
+def bitmap(df: DataFrame, column: str, bits: int = 1 << 23) -> DataFrame:
+    """The set of a column's values (longs) as at most bits / 64 rows (__slot, __mask), whatever the input: small
+    enough to broadcast. See possibly()."""
+    slot = F.pmod(F.col(column), F.lit(bits))
+    return df.select(F.shiftright(slot, 6).alias("__slot"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("__bit")).groupBy("__slot").agg(F.bit_or("__bit").alias("__mask"))
+
+
+def possibly(df: DataFrame, column: str, among: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """df with boolean __may: whether the column's value may be in the bitmap; false is certain. An exact join of
+    those that may be follows; the others need not be shuffled."""
+    slot = F.pmod(F.col(column), F.lit(bits))
+    met = df.withColumn("__slot", F.shiftright(slot, 6)).join(F.broadcast(among), "__slot", "left")
+    return met.withColumn("__may", F.coalesce(F.getbit("__mask", (slot % 64).cast("int")) == 1, F.lit(False))).drop("__slot", "__mask")
+
+
 def word_codes(flat: pa.Array, seed: int = 0) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Index of each word in the batch's vocabulary, a 64-bit hash of each vocabulary entry, the vocabulary."""
     enc = flat.dictionary_encode()

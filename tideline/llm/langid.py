@@ -17,8 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, mix, owner, slices, words_of
-from .linededup import split_lines
+from .common import held_out, mix, owner, slices, split_lines, words_of
 
 #: About this many texts of each language are learned from, and this many languages, the most frequent, at most.
 MOST_TEXTS, MOST_LANGUAGES = 120, 64

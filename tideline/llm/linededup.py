@@ -5,12 +5,17 @@ A line is its set of words. Words are ordered by rarity: counts of all words ove
 similarity >= t share a word in their first |x| - ceil(t|x|) + 1 words by that order (prefix filter), at places
 that leave room for the overlap (positional filter), and differ in size by a factor of t at most (length filter).
 
-1. Lines with equal sets are one class: a hash of the set, with the first place where it occurs.
-2. Each class emits its prefix words; on a shuffle by word, pairs are filtered by length, place and a 64-bit
-   parity sketch (set differences flip bits). No pair is emitted, only the members that have a partner left.
-3. Those members are joined with their words, meet again by prefix word and are verified in order of first
-   occurrence; a class leaves as soon as an earlier match is found.
+1. Lines with equal sets are one class: a hash of the set, with the first place where it occurs. The same pass
+   over the texts counts the words.
+2. A second pass emits the prefix words of each class; on a shuffle by word, pairs are filtered by length, place
+   and a 32-bit parity sketch (set differences flip bits). No pair is emitted, only the members that have a
+   partner left.
+3. The words of those members alone are read again from the texts. They meet again by prefix word and are verified
+   in order of first occurrence; a class leaves as soon as an earlier match is found.
 4. An occurrence is removed if it isn't the first of its class, or if its class has an earlier match.
+
+No step ships the words of all lines. Texts are shipped only where a bitmap of bounded size says that they may be
+needed, and then matched exactly.
 """
 
 from __future__ import annotations
@@ -22,72 +27,104 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIMILARITY, materialise, mix, owner, partitions, slices, word_codes, words_of
+from .common import SIMILARITY, bitmap, hashed_words, materialise, mix, partitions, possibly, slices
 
 BUCKETS = 1 << 16
 SALT = np.uint64(0x9E3779B97F4A7C15)
-
-
-def split_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Text and number (from 0) of each line, and the lines; null text has none."""
-    rows = [(x or "").split("\n") if x is not None else [] for x in texts.to_pylist()]
-    count = np.array([len(r) for r in rows], np.int64)
-    doc = np.repeat(np.arange(len(rows)), count)
-    number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    return doc, number, pa.array([x for r in rows for x in r], pa.large_string())
-
-
-def rarity(docs: DataFrame) -> np.ndarray:
-    """Occurrences of all words of all documents by hashed bucket: 2**16 numbers."""
+#: Bits of a word's name: the bucket above, more of its hash below.
+NAME, REST = 42, 26
+#: Bytes of text that are worked on at a time.
+SLICE = 4_000_000
+
+
+def lines_of(texts: pa.Array, rank: np.ndarray):
+    """For each line with a word: its text, its number (from 0), the first of its words in `key`; then `key`, the
+    words of all lines (each once, ordered by the rank of their bucket), and the hashes of all occurrences."""
+    data, off, at, h = hashed_words(texts)
+    feeds = np.flatnonzero(data == 10)
+    doc = np.searchsorted(off, at, "right") - 1
+    number = np.searchsorted(feeds, at) - np.searchsorted(feeds, off)[doc]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])])[: len(at)]
+    line = (np.cumsum(new) - 1).astype(np.uint64)
+    key = (rank[h >> np.uint64(48)] << np.uint64(REST)) | ((h >> np.uint64(64 - NAME)) & np.uint64((1 << REST) - 1))
+    if new.sum() < 1 << (64 - NAME):
+        both = np.sort(line << np.uint64(NAME) | key)
+        line, key = both >> np.uint64(NAME), both & np.uint64((1 << NAME) - 1)
+    else:  # one text of very many lines
+        order = np.lexsort((key, line))
+        line, key = line[order], key[order]
+    once = np.concatenate([[True], (line[1:] != line[:-1]) | (key[1:] != key[:-1])])[: len(line)]
+    line, key = line[once], key[once]
+    start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])[: len(line)])
+    first = np.flatnonzero(new)
+    return doc[first], number[first], start, key, h
+
+
+def names_of(key: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Words by name, whatever the ranks."""
+    return back[key >> np.uint64(REST)] << np.uint64(REST) | (key & np.uint64((1 << REST) - 1))
+
+
+def classes_of(name: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hash of each set: a sum, so the order of words doesn't matter."""
+    return np.add.reduceat(mix(name * SALT + np.uint64(1)), start)
+
+
+def places(docs: DataFrame) -> DataFrame:
+    """doc_id, tie (a hash of the text), line and class of each line that has a word; besides, bucket and n: word
+    counts of each task."""
+    same = np.arange(BUCKETS, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
-        for b in slices(batches, 0):
-            _, flat = words_of(b.column(0))
-            if len(flat):
-                codes, hashes, _ = word_codes(flat)
-                total += np.bincount((hashes >> np.uint64(48)).astype(np.int64), np.bincount(codes, minlength=len(hashes)), BUCKETS).astype(np.int64)
+        schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("class", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64())])
+        for b in slices(batches, most=SLICE):
+            doc, number, start, key, h = lines_of(b.column(1), same)
+            if not len(start):
+                continue
+            total += np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+            of = pa.array(doc)
+            none = pa.nulls(len(doc), pa.int64())
+            yield pa.record_batch([b.column(0).take(of), b.column(2).take(of), pa.array(number.astype(np.int32)), pa.array(classes_of(key, start).view(np.int64)), none.cast(pa.int32()), none], schema=schema)
         at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+        none = pa.nulls(len(at), pa.int64())
+        yield pa.record_batch([none, none, none.cast(pa.int32()), none, pa.array(at.astype(np.int32)), pa.array(total[at])], schema=schema)
 
-    got = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
-    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return out
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, tie long, line int, class long, bucket int, n long")
+
+
+def rarity(every: DataFrame) -> np.ndarray:
+    """Rank of each of the 2**16 buckets by its words' occurrences in all documents, rarest first."""
+    got = every.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(BUCKETS, np.int64)
+    n[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    return np.argsort(np.argsort(n, kind="stable"), kind="stable").astype(np.uint64)
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, tie (a hash of the text), line, class, sketch and words (32-bit hashes, rarest first) of each line
-    that has a word."""
-    order = np.argsort(np.argsort(rarity(docs), kind="stable"), kind="stable").astype(np.uint64)
-    rank = docs.sparkSession.sparkContext.broadcast(order)  # half a megabyte, whatever the input
+def prefixes(docs: DataFrame, rank: np.ndarray, t: float) -> DataFrame:
+    """at (prefix word, size and place in one long), class, sketch: once for each class of a slice of texts, so that
+    hot lines are reduced before the shuffle. Sizes from 65,535 on are written as that and escape the filters."""
+    rank = docs.sparkSession.sparkContext.broadcast(rank)  # half a megabyte, whatever the input
+    small = 4 if t > 0.75 else 1  # smaller sets match only equal sets, which are one class already
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            doc, number, text = split_lines(b.column(1))
-            off, flat = words_of(text)
-            if not len(flat):
+        back = np.argsort(rank.value).astype(np.uint64)
+        for b in slices(batches, 0, SLICE):
+            _, _, start, key, _ = lines_of(b.column(0), rank.value)
+            if not len(start):
                 continue
-            codes, hashes, _ = word_codes(flat)
-            # By line: bucket rank and the rest of the hash in one sort key of each vocabulary entry.
-            key = (rank.value[(hashes >> np.uint64(48)).astype(np.int64)] << np.uint64(48)) | (hashes & np.uint64((1 << 48) - 1))
-            by_key = np.argsort(key, kind="stable")
-            place = np.empty(len(key), np.int64)
-            place[by_key] = np.arange(len(key))
-            both = np.unique(owner(off) * len(key) + place[codes])
-            line, word = both // len(key), by_key[both % len(key)]
-            h = hashes[word]
-            start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-            which = line[start]
-            group = np.add.reduceat(mix(h * SALT + np.uint64(1)), start)  # a sum: the order of words doesn't matter
-            sketch = np.bitwise_xor.reduceat(np.uint64(1) << (mix(h) & np.uint64(63)), start)
-            words = pa.ListArray.from_arrays(pa.array(np.append(start, len(h)).astype(np.int32)), pa.array(h.astype(np.uint32).view(np.int32)))
-            yield pa.record_batch(
-                [b.column(0).take(pa.array(doc[which])), b.column(2).take(pa.array(doc[which])), pa.array(number[which].astype(np.int32)), pa.array(group.view(np.int64)), pa.array(sketch.view(np.int64)), words],
-                names=["doc_id", "tie", "line", "class", "sketch", "words"],
-            )
-
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, tie long, line int, class long, sketch long, words array<int>")
+            name = names_of(key, back)
+            group, which = np.unique(classes_of(name, start), return_index=True)
+            size = np.diff(np.append(start, len(key)))[which]
+            sketch = np.bitwise_xor.reduceat(np.uint32(1) << (mix(name) & np.uint64(31)).astype(np.uint32), start)[which]
+            many = np.where(size >= small, size - np.ceil(size * t - 1e-9).astype(np.int64) + 1, 0)
+            of = np.repeat(np.arange(len(which)), many)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            word = name[start[which][of] + place] & np.uint64(0xFFFFFFFF)
+            at = word << np.uint64(32) | np.minimum(size, 65535)[of].astype(np.uint64) << np.uint64(16) | np.minimum(place, 65535).astype(np.uint64)
+            yield pa.record_batch([pa.array(at.view(np.int64)), pa.array(group[of].view(np.int64)), pa.array(sketch[of].view(np.int32))], names=["at", "class", "sketch"])
+
+    return docs.select("text").mapInArrow(run, "at long, class long, sketch int")
 
 
 def needed(x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
@@ -111,6 +148,7 @@ def with_partner(size, place, sketch, group, t: float) -> np.ndarray:
         need = needed(x, y, t)
         ok = np.bitwise_count(sketch[at:end, None] ^ sketch[None, right]) <= x + y - 2 * need
         ok &= np.minimum(x - place[at:end, None], y - place[None, right]) >= need
+        ok |= y == 65535  # stands for larger sets too
         ok &= group[at:end, None] != group[None, right]
         keep[at:end] |= ok.any(axis=1)
         keep[right] |= ok.any(axis=0)
@@ -120,17 +158,20 @@ def with_partner(size, place, sketch, group, t: float) -> np.ndarray:
     return out
 
 
-def candidates(classes: DataFrame, t: float) -> DataFrame:
+def candidates(rows: DataFrame, t: float) -> DataFrame:
     """word, class: members of each prefix word's list that have a partner left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b.column(i).to_numpy() for i in range(5)] for b in batches]
+        got = [[b.column(i).to_numpy() for i in range(3)] for b in batches]
         if not got:
             return
-        word, group, size, place, sketch = (np.concatenate(c) for c in zip(*got, strict=True))
+        at, group, sketch = (np.concatenate(c) for c in zip(*got, strict=True))
         del got
-        order = np.argsort(word, kind="stable")
-        word, group, size, place, sketch = word[order], group[order], size[order].astype(np.int64), place[order].astype(np.int64), sketch[order].view(np.uint64)
+        order = np.lexsort((group, at.view(np.uint64)))
+        at, group, sketch = at[order].view(np.uint64), group[order], sketch[order].view(np.uint32)
+        other = np.concatenate([[True], (at[1:] != at[:-1]) | (group[1:] != group[:-1])])  # slices repeat classes
+        at, group, sketch = at[other], group[other], sketch[other]
+        word, size, place = (at >> np.uint64(32)).astype(np.int64), (at >> np.uint64(16) & np.uint64(65535)).astype(np.int64), (at & np.uint64(65535)).astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         count = np.diff(np.append(start, len(word)))
         keep = np.zeros(len(word), bool)
@@ -138,33 +179,57 @@ def candidates(classes: DataFrame, t: float) -> DataFrame:
         need = needed(size[two], size[two + 1], t)
         ok = np.bitwise_count(sketch[two] ^ sketch[two + 1]) <= size[two] + size[two + 1] - 2 * need
         ok &= (np.minimum(size[two] - place[two], size[two + 1] - place[two + 1]) >= need) & (np.minimum(size[two], size[two + 1]) >= t * np.maximum(size[two], size[two + 1]) - 1e-9)
-        keep[two] = keep[two + 1] = ok
+        keep[two] = keep[two + 1] = ok | (np.maximum(size[two], size[two + 1]) == 65535)
         for s, c in zip(start[count > 2], count[count > 2], strict=True):
             part = slice(s, s + c)
             keep[part] = with_partner(size[part], place[part], sketch[part], group[part], t)
-        yield pa.record_batch([pa.array(word[keep]), pa.array(group[keep])], names=["word", "class"])
+        yield pa.record_batch([pa.array(word[keep].astype(np.uint32).view(np.int32)), pa.array(group[keep])], names=["word", "class"])
+
+    return rows.repartition(partitions(rows.sparkSession), F.shiftright("at", 32)).mapInArrow(run, "word int, class long")
 
-    size = F.size("words")
-    # Sets of under four words match only equal sets, which are one class already.
-    prefix = size - F.ceil(size * t - 1e-9).cast("int") + 1
-    short = classes.where(size >= 4 if t > 0.75 else size >= 1).select("class", "sketch", size.alias("size"), F.slice("words", F.lit(1), prefix).alias("prefix"))
-    rows = short.select("class", "sketch", "size", F.posexplode("prefix").alias("place", "word"))
-    return rows.select("word", "class", "size", "place", "sketch").repartition(partitions(classes.sparkSession), "word").mapInArrow(run, "word int, class long")
 
+def members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(class, doc_id, tie, line, under): word, class, doc_id, tie, line and words (32-bit names) of each class
+    under each of its words `under`, from the texts."""
+    lists = materialise(wanted.groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).agg(F.collect_list(F.struct("line", "class", "under")).alias("lines")))
+    texts = possibly(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")), "tie", bitmap(lists, "__tie")).where("__may")
+    met = texts.join(lists, texts.doc_id.eqNullSafe(F.col("__id")) & (F.col("tie") == F.col("__tie")))
+    same = np.arange(BUCKETS, dtype=np.uint64)
 
-def matched(members: DataFrame, t: float) -> DataFrame:
-    """members(word, class, doc_id, tie, line, words): classes with an earlier match under some word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, most=SLICE):
+            doc, number, start, key, _ = lines_of(b.column(1), same)
+            end = np.append(start[1:], len(key))
+            width = int(number.max(initial=0)) + 1
+            found = doc * width + number  # in order
+            name = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+            lists = b.column(3)
+            item = lists.flatten()
+            owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            at = np.searchsorted(found, owner * width + item.field("line").to_numpy())
+            under = item.field("under")
+            of = np.repeat(np.arange(len(item)), under.value_lengths().to_numpy(zero_copy_only=False))
+            words = pa.array([name[start[i] : end[i]] for i in at[of]], pa.list_(pa.int32()))
+            take, row = pa.array(of), pa.array(owner[of])
+            yield pa.record_batch([under.flatten(), item.field("class").take(take), b.column(0).take(row), b.column(2).take(row), item.field("line").take(take), words], names=["word", "class", "doc_id", "tie", "line", "words"])
+
+    return met.select("doc_id", "text", "tie", "lines").mapInArrow(run, "word int, class long, doc_id long, tie long, line int, words array<int>")
+
+
+def matched(rows: DataFrame, t: float) -> DataFrame:
+    """rows(word, class, doc_id, tie, line, words): classes with an earlier match under some word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if got is None:
             return
-        got = got.sort_by([("word", "ascending"), ("doc_id", "ascending"), ("tie", "ascending"), ("line", "ascending")])
         # Null ids come first in order of occurrence, as in min() of a struct.
         word, group = got["word"].to_numpy(), got["class"].to_numpy()
         ids, nulls = got["doc_id"].fill_null(0).to_numpy(), ~got["doc_id"].is_null().to_numpy()
         tie, line = got["tie"].to_numpy(), got["line"].to_numpy()
         order = np.lexsort((line, tie, ids, nulls, word))
+        again = (word[order][1:] == word[order][:-1]) & (group[order][1:] == group[order][:-1])
+        order = order[np.concatenate([[True], ~again])]  # repeated rows
         lists = got["words"].combine_chunks()
         off, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
         word, group = word[order], group[order]
@@ -189,22 +254,20 @@ def matched(members: DataFrame, t: float) -> DataFrame:
             out.append(group[s:e][found])
         yield pa.record_batch([pa.array(np.unique(np.concatenate(out)))], names=["class"])
 
-    rows = members.select("word", "class", "doc_id", "tie", "line", "words")
-    return rows.repartition(partitions(members.sparkSession), "word").mapInArrow(run, "class long").distinct()
+    return rows.repartition(partitions(rows.sparkSession), "word").mapInArrow(run, "class long").distinct()
 
 
 def removals(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     """doc_id, tie and the array `lines` of the numbers of the lines to remove, for texts that lose any."""
-    every = materialise(lines(docs))
-    place = F.struct("doc_id", "tie", "line")
+    every = materialise(places(docs))
+    lines, place = every.where("bucket IS NULL"), F.struct("doc_id", "tie", "line")
     # What is one row for each class: hot lines are reduced on the map side.
-    classes = every.groupBy("class").agg(F.min(place).alias("first"), F.min(F.struct("sketch", "words")).alias("c"))
-    classes = materialise(classes.select("class", "first", "c.*"))
-    some = candidates(classes, t)
-    late = matched(some.join(classes, "class").select("word", "class", "first.*", "words"), t)
-    state = classes.select("class", "first").join(late.withColumn("late", F.lit(True)), "class", "left")
-    lost = every.select("class", "doc_id", "tie", "line").join(state, "class").where(F.coalesce("late", F.lit(False)) | ~place.eqNullSafe(F.col("first")))
-    return lost.groupBy("doc_id", "tie").agg(F.collect_set("line").alias("lines"))
+    classes = materialise(lines.groupBy("class").agg(F.min(place).alias("first")))
+    some = candidates(prefixes(docs, rarity(every), t), t).groupBy("class").agg(F.collect_set("word").alias("under"))
+    late = matched(members(docs, some.join(classes, "class").select("class", "under", "first.*")), t)
+    state = classes.join(late.withColumn("late", F.lit(True)), "class", "left")
+    lost = lines.select("class", "doc_id", "tie", "line").join(state, "class").where(F.coalesce("late", F.lit(False)) | ~place.eqNullSafe(F.col("first")))
+    return materialise(lost.groupBy("doc_id", "tie").agg(F.collect_set("line").alias("lines")))
 
 
 def dedup_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
@@ -218,10 +281,13 @@ def dedup_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     as they are. An empty table gives an empty result. Words are compared by 32-bit and sets by 64-bit hashes.
     """
     gone = removals(docs, t).select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("lines").alias("__lines"))
-    rows = docs.join(gone, docs.doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64(docs.text) == F.col("__tie")), "left")
+    rows = possibly(docs.withColumn("__of", F.xxhash64("text")), "__of", bitmap(gone, "__tie"))
+    some = rows.where("__may")
+    some = some.join(gone, some.doc_id.eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__tie")), "left").select(*docs.columns, "__lines")
+    rows = some.union(rows.where("NOT __may").select(*docs.columns, F.lit(None).cast("array<int>")))
     parts = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__lines", i)), "\n")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
     made = {"n_lines": n, "n_removed": F.coalesce(F.size("__lines"), F.lit(0)).cast("long"), "text": F.when(F.col("__lines").isNull(), F.col("text")).otherwise(kept)}
     columns = [c for c in docs.columns if c not in made]
-    return rows.select(*[made["text"].alias("text") if c == "text" else docs[c] for c in docs.columns if c in columns or c == "text"], *[made[c].alias(c) for c in ("n_lines", "n_removed")])
+    return rows.select(*[made["text"].alias("text") if c == "text" else F.col(c) for c in docs.columns if c in columns or c == "text"], *[made[c].alias(c) for c in ("n_lines", "n_removed")])
