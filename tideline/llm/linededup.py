@@ -8,7 +8,7 @@ that leave room for the overlap (positional filter), and differ in size by a fac
 1. Lines with equal sets are one class: a hash of the set, with the first place where it occurs. The same pass
    over the texts counts the words.
 2. A second pass emits the prefix words of each class; on a shuffle by word, pairs are filtered by length, place
-   and a 32-bit parity sketch (set differences flip bits). No pair is emitted, only the members that have a
+   and a parity sketch of 64 bits, or 128 for larger sets (set differences flip bits). No pair is emitted, only the members that have a
    partner left.
 3. The words of those members alone are read again from the texts. They meet again by prefix word and are verified
    in order of first occurrence; a class leaves as soon as an earlier match is found.
@@ -20,6 +20,7 @@ needed, and then matched exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,10 @@ SALT = np.uint64(0x9E3779B97F4A7C15)
 NAME, REST = 42, 26
 #: Bytes of text that are worked on at a time.
 SLICE = 4_000_000
+#: Words of a set that gets a sketch of twice as many bits.
+LARGE = 64
+#: Rows of a prefix word from which they are compared in blocks.
+LONG = 64
 
 
 def lines_of(texts: pa.Array, rank: np.ndarray):
@@ -102,7 +107,7 @@ def rarity(every: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, rank: np.ndarray, t: float) -> DataFrame:
-    """at (prefix word, size and place in one long), class, sketch: once for each class of a slice of texts, so that
+    """at (prefix word, size and place in one long), class, sketch and more (of it, for larger sets): once for each class of a slice of texts, so that
     hot lines are reduced before the shuffle. Sizes from 65,535 on are written as that and escape the filters."""
     rank = docs.sparkSession.sparkContext.broadcast(rank)  # half a megabyte, whatever the input
     small = 4 if t > 0.75 else 1  # smaller sets match only equal sets, which are one class already
@@ -116,15 +121,20 @@ def prefixes(docs: DataFrame, rank: np.ndarray, t: float) -> DataFrame:
             name = names_of(key, back)
             group, which = np.unique(classes_of(name, start), return_index=True)
             size = np.diff(np.append(start, len(key)))[which]
-            sketch = np.bitwise_xor.reduceat(np.uint32(1) << (mix(name) & np.uint64(31)).astype(np.uint32), start)[which]
+            spot = mix(name)
+            bit, low = np.uint64(1) << (spot & np.uint64(63)), (spot & np.uint64(64)) > 0
+            sketch = np.bitwise_xor.reduceat(np.where(low, bit, np.uint64(0)), start)[which]
+            more = np.bitwise_xor.reduceat(np.where(low, np.uint64(0), bit), start)[which]
+            few = size < LARGE
+            sketch, more = np.where(few, sketch ^ more, sketch), np.where(few, np.uint64(0), more)
             many = np.where(size >= small, size - np.ceil(size * t - 1e-9).astype(np.int64) + 1, 0)
             of = np.repeat(np.arange(len(which)), many)
             place = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
             word = name[start[which][of] + place] & np.uint64(0xFFFFFFFF)
             at = word << np.uint64(32) | np.minimum(size, 65535)[of].astype(np.uint64) << np.uint64(16) | np.minimum(place, 65535).astype(np.uint64)
-            yield pa.record_batch([pa.array(at.view(np.int64)), pa.array(group[of].view(np.int64)), pa.array(sketch[of].view(np.int32))], names=["at", "class", "sketch"])
+            yield pa.record_batch([pa.array(at.view(np.int64)), pa.array(group[of].view(np.int64)), pa.array(sketch[of].view(np.int64)), pa.array(more[of].view(np.int64))], names=["at", "class", "sketch", "more"])
 
-    return docs.select("text").mapInArrow(run, "at long, class long, sketch int")
+    return docs.select("text").mapInArrow(run, "at long, class long, sketch long, more long")
 
 
 def needed(x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
@@ -132,57 +142,66 @@ def needed(x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t / (1 + t) * (x + y) - 1e-9).astype(np.int64)
 
 
-def with_partner(size, place, sketch, group, t: float) -> np.ndarray:
-    """Which rows of a group that shares a prefix word have a partner that no filter rules out. Rows are
-    compared block by block with those of a size in range, so memory is bounded in a group of any size."""
-    n = len(size)
-    order = np.argsort(size, kind="stable")
-    size, place, sketch, group = size[order], place[order], sketch[order], group[order]
+def least(x: int, y: int, t: float) -> int:
+    return math.ceil(t / (1 + t) * (x + y) - 1e-9)
+
+
+def possible(size, place, sketch, more, x, y, t: float) -> np.ndarray:
+    """Whether no filter rules out the pairs of rows x and y (of one prefix word), y not the smaller."""
+    sx, sy = size[x], size[y]
+    need = needed(sx, sy, t)
+    folded = (sx < LARGE) != (sy < LARGE)
+    one = np.bitwise_count(sketch[x] ^ sketch[y] ^ np.where(folded, more[x] ^ more[y], np.uint64(0))).astype(np.int64)
+    two = np.where(folded, 0, np.bitwise_count(more[x] ^ more[y]))
+    ok = (one + two <= sx + sy - 2 * need) & (np.minimum(sx - place[x], sy - place[y]) >= need)
+    return (ok & (sx >= t * sy - 1e-9)) | (sy == 65535)  # which stands for larger sets too
+
+
+def with_partner(word, size, place, sketch, more, t: float) -> np.ndarray:
+    """Which rows, sorted by word and size, have a partner of the same word that no filter rules out. All rows are
+    compared with the next, the second next and so on, as long as word and size allow; those of long lists
+    block by block, so memory is bounded in a list of any length."""
+    n = len(word)
     keep = np.zeros(n, bool)
-    last = np.searchsorted(size, np.floor(size / t + 1e-9), "right")
-    at = 0
-    while at < n:
-        end = min(n, at + max(1, (1 << 20) // max(1, last[at] - at)))
-        right = slice(at, last[end - 1])
-        x, y = size[at:end, None], size[None, right]
-        need = needed(x, y, t)
-        ok = np.bitwise_count(sketch[at:end, None] ^ sketch[None, right]) <= x + y - 2 * need
-        ok &= np.minimum(x - place[at:end, None], y - place[None, right]) >= need
-        ok |= y == 65535  # stands for larger sets too
-        ok &= group[at:end, None] != group[None, right]
-        keep[at:end] |= ok.any(axis=1)
-        keep[right] |= ok.any(axis=0)
-        at = end
-    out = np.zeros(n, bool)
-    out[order] = keep
-    return out
+    start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    end = np.append(start[1:], n)
+    long = end - start > LONG
+    live = np.flatnonzero(np.repeat(~long, end - start))
+    for k in range(1, LONG):
+        live = live[live + k < n]
+        live = live[(word[live + k] == word[live]) & ((size[live] >= t * size[live + k] - 1e-9) | (size[live + k] == 65535))]
+        if not len(live):
+            break
+        ok = live[possible(size, place, sketch, more, live, live + k, t)]
+        keep[ok] = keep[ok + k] = True
+    for s, e in zip(start[long], end[long], strict=True):
+        last = s + np.searchsorted(size[s:e], np.floor(size[s:e] / t + 1e-9), "right")
+        at = s
+        while at < e:
+            stop = min(e, at + max(1, (1 << 20) // max(1, last[at - s] - at)))
+            x, y = np.arange(at, stop)[:, None], np.arange(at, last[stop - 1 - s])[None, :]
+            ok = possible(size, place, sketch, more, x, y, t) & (x < y)
+            keep[at:stop] |= ok.any(axis=1)
+            keep[at : last[stop - 1 - s]] |= ok.any(axis=0)
+            at = stop
+    return keep
 
 
 def candidates(rows: DataFrame, t: float) -> DataFrame:
     """word, class: members of each prefix word's list that have a partner left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b.column(i).to_numpy() for i in range(3)] for b in batches]
+        got = [[b.column(i).to_numpy() for i in range(4)] for b in batches]
         if not got:
             return
-        at, group, sketch = (np.concatenate(c) for c in zip(*got, strict=True))
+        at, group, sketch, more = (np.concatenate(c) for c in zip(*got, strict=True))
         del got
         order = np.lexsort((group, at.view(np.uint64)))
-        at, group, sketch = at[order].view(np.uint64), group[order], sketch[order].view(np.uint32)
+        at, group, sketch, more = at[order].view(np.uint64), group[order], sketch[order].view(np.uint64), more[order].view(np.uint64)
         other = np.concatenate([[True], (at[1:] != at[:-1]) | (group[1:] != group[:-1])])  # slices repeat classes
-        at, group, sketch = at[other], group[other], sketch[other]
+        at, group, sketch, more = at[other], group[other], sketch[other], more[other]
         word, size, place = (at >> np.uint64(32)).astype(np.int64), (at >> np.uint64(16) & np.uint64(65535)).astype(np.int64), (at & np.uint64(65535)).astype(np.int64)
-        start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        count = np.diff(np.append(start, len(word)))
-        keep = np.zeros(len(word), bool)
-        two = start[count == 2]
-        need = needed(size[two], size[two + 1], t)
-        ok = np.bitwise_count(sketch[two] ^ sketch[two + 1]) <= size[two] + size[two + 1] - 2 * need
-        ok &= (np.minimum(size[two] - place[two], size[two + 1] - place[two + 1]) >= need) & (np.minimum(size[two], size[two + 1]) >= t * np.maximum(size[two], size[two + 1]) - 1e-9)
-        keep[two] = keep[two + 1] = ok | (np.maximum(size[two], size[two + 1]) == 65535)
-        for s, c in zip(start[count > 2], count[count > 2], strict=True):
-            part = slice(s, s + c)
-            keep[part] = with_partner(size[part], place[part], sketch[part], group[part], t)
+        keep = with_partner(word, size, place, sketch, more, t)
         yield pa.record_batch([pa.array(word[keep].astype(np.uint32).view(np.int32)), pa.array(group[keep])], names=["word", "class"])
 
     return rows.repartition(partitions(rows.sparkSession), F.shiftright("at", 32)).mapInArrow(run, "word int, class long")
@@ -237,18 +256,27 @@ def matched(rows: DataFrame, t: float) -> DataFrame:
         start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         for s, e in zip(start, np.append(start[1:], len(word)), strict=True):
             own = order[s:e]
+            found = np.zeros(e - s, bool)
+            if e - s <= 4:
+                sets = [set(flat[off[i] : off[i + 1]].tolist()) for i in own]
+                for y in range(1, e - s):
+                    found[y] = any(len(sets[x] & sets[y]) >= least(len(sets[x]), len(sets[y]), t) for x in range(y))
+                out.append(group[s:e][found])
+                continue
             sizes = off[own + 1] - off[own]
-            members = np.repeat(np.arange(e - s), sizes)
-            values = np.concatenate([flat[off[i] : off[i + 1]] for i in own])
             ends = np.concatenate([[0], np.cumsum(sizes)])
-            found = np.zeros(e - s, bool)
+            values = np.unique(np.concatenate([flat[off[i] : off[i + 1]] for i in own]), return_inverse=True)[1]
+            mark = np.zeros(len(values), np.int64)
             for x in range(e - s - 1):
-                far = np.flatnonzero(~found[x + 1 :] & (np.minimum(sizes[x + 1 :], sizes[x]) >= t * np.maximum(sizes[x + 1 :], sizes[x]) - 1e-9)) + x + 1
+                size = sizes[x + 1 :]
+                far = np.flatnonzero(~found[x + 1 :] & (np.minimum(size, sizes[x]) >= t * np.maximum(size, sizes[x]) - 1e-9))
                 if not len(far):
                     continue
-                first = ends[far[0]]
-                common = np.bincount(members[first:], np.isin(values[first:], values[ends[x] : ends[x + 1]]), e - s)[far]
-                found[far[common >= needed(sizes[x], sizes[far], t)]] = True
+                own_values = values[ends[x] : ends[x + 1]]
+                mark[own_values] = 1
+                common = np.add.reduceat(mark[values[ends[x + 1] :]], ends[x + 1 : -1] - ends[x + 1])[far]
+                mark[own_values] = 0
+                found[far[common >= needed(sizes[x], size[far], t)] + x + 1] = True
                 if found[x + 1 :].all():
                     break
             out.append(group[s:e][found])
