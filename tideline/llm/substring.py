@@ -3,8 +3,10 @@
 Shards are cut by content, so that a window of WINDOW words meets every other window of the same words in one
 shard, and each text is streamed against one shard and not against all: consecutive windows whose smallest hash
 of SEED words (minimiser) sits at the same place form a piece, and a piece goes to the shard of its minimiser.
-Equal pieces are one row with the smallest and greatest doc_id that holds them, reduced on the map side, so a
-passage that a third of all documents share is a few rows.
+A first pass finds the minimisers that two documents hold; only their pieces are shipped, by a bitmap of them of
+bounded size (beyond some hundred million of them it rules out little, and more pieces are shipped; results stay
+exact). Equal pieces of a slice of texts are one row with the smallest and greatest doc_id that holds them, so a
+passage that a third of all documents share is one row for each slice.
 
 In a shard, the pieces are concatenated and indexed: suffixes sorted as deep as a window, the Burrows-Wheeler
 transform in a wavelet matrix of packed bits with counts for each block. Backward search gives the interval of
@@ -23,13 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, owner, partitions, rolling, slices, word_codes, words_of
+from .common import bitmap, hashed_words, materialise, owner, partitions, possibly, rolling, slices, words_of
 
 WINDOW, SEED = 13, 5
 #: Words that one index holds; a larger shard gets several, and its pieces are streamed against each.
 MOST_WORDS = 4_000_000
 #: Stands for a null doc_id, which is never smaller than another.
 NO_ID = np.iinfo(np.int64).max
+#: Bits of the bitmap of minimisers, 8 MB whatever the input.
+BITS = 1 << 26
+#: Bytes of text that are worked on at a time.
+SLICE = 4_000_000
 
 
 def pieces_of(off: np.ndarray, h: np.ndarray, window: int = WINDOW, seed: int = SEED):
@@ -58,36 +64,78 @@ def pieces_of(off: np.ndarray, h: np.ndarray, window: int = WINDOW, seed: int =
     return doc[start], start - off[doc[start]], windows, least[start]
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """doc_id, tie, at (first word), windows, minimiser, piece (hash of its words) and words (32-bit hashes)."""
+def shared_minimisers(docs: DataFrame) -> np.ndarray:
+    """Bitmap (as 64-bit words) of the minimisers that documents of two ids hold, gathered on the executors."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, most=4_000_000):
-            off, flat = words_of(b.column(1))
-            if not len(flat):
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, most=SLICE):
+            _, off, at, h = hashed_words(b.column(1))
+            doc, _, _, seed = pieces_of(np.searchsorted(at, off), h)
+            if not len(doc):
                 continue
-            codes, hashes, _ = word_codes(flat)
-            h = hashes[codes]
+            ids = pc.fill_null(b.column(0), int(NO_ID)).to_numpy()[doc]
+            order = np.lexsort((ids, seed))
+            seed, ids = seed[order], ids[order]
+            first = np.concatenate([[True], seed[1:] != seed[:-1]])
+            last = np.append(first[1:], True)
+            keep = first | (last & (ids != ids[np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))]))
+            yield pa.record_batch([pa.array(seed[keep].view(np.int64)), pa.array(ids[keep])], names=["minimiser", "id"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not got:
+            return
+        seed, ids = (np.concatenate(c) for c in zip(*got, strict=True))
+        order = np.argsort(seed, kind="stable")
+        seed, ids = seed[order], ids[order]
+        start = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
+        two = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)
+        yield pa.record_batch([pa.array(seed[start[two]])], names=["minimiser"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(seeds, "minimiser long, id long").repartition(partitions(docs.sparkSession), "minimiser")
+    got = bitmap(rows.mapInArrow(meet, "minimiser long"), "minimiser", BITS).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[got["__slot"].to_numpy()] = got["__mask"].to_numpy()
+    return out.view(np.uint64)
+
+
+def pieces(docs: DataFrame, shared, words: bool) -> DataFrame:
+    """Pieces whose minimiser may be shared (a broadcast bitmap). With words, once for each slice of texts: minimiser,
+    piece (hash of its words), windows, words (32-bit hashes), least and most doc_id. Without: piece, doc_id, tie and
+    at (first word) of each occurrence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, most=SLICE):
+            _, text_off, begin, h = hashed_words(b.column(1))
+            off = np.searchsorted(begin, text_off)
             doc, at, windows, seed = pieces_of(off, h)
-            if not len(doc):
+            slot = seed & np.uint64(BITS - 1)
+            may = np.flatnonzero(shared.value[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
+            if not len(may):
                 continue
+            doc, at, windows, seed = doc[may], at[may], windows[may], seed[may]
             size = windows + WINDOW - 1
             ends = np.concatenate([[0], np.cumsum(size)])
-            index = np.repeat(off[doc] + at - ends[:-1], size) + np.arange(ends[-1])
-            w = h[index]
-            place = (np.arange(ends[-1]) - np.repeat(ends[:-1], size)).astype(np.uint64)
+            place = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
+            w = h[np.repeat(off[doc] + at, size) + place]
             # A polynomial in the place of a word: pieces are equal if their words are, in order.
             power = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
-            name = np.add.reduceat(w * power[place.astype(np.int64)], ends[:-1]) ^ (size.astype(np.uint64) << np.uint64(1))
+            name = np.add.reduceat(w * power[place], ends[:-1]) ^ (size.astype(np.uint64) << np.uint64(1))
+            if not words:
+                take = pa.array(doc)
+                yield pa.record_batch([pa.array(name.view(np.int64)), b.column(0).take(take), b.column(2).take(take), pa.array(at.astype(np.int32))], names=["piece", "doc_id", "tie", "at"])
+                continue
+            ids = pc.fill_null(b.column(0), int(NO_ID)).to_numpy()[doc]
+            order = np.lexsort((ids, name))
+            first = np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]]))
+            one = order[first]
+            most = ids[order[np.append(first[1:], len(order)) - 1]]
             data = pa.py_buffer(w.astype(np.uint32).tobytes())
-            words = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), data])
-            take = pa.array(doc)
-            yield pa.record_batch(
-                [b.column(0).take(take), b.column(2).take(take), pa.array(at.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(seed.view(np.int64)), pa.array(name.view(np.int64)), words],
-                names=["doc_id", "tie", "at", "windows", "minimiser", "piece", "words"],
-            )
+            lists = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), data]).take(pa.array(one))
+            yield pa.record_batch([pa.array(seed[one].view(np.int64)), pa.array(name[one].view(np.int64)), pa.array(windows[one].astype(np.int32)), lists, pa.array(ids[one]), pa.array(most)], names=["minimiser", "piece", "windows", "words", "least", "most"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, tie long, at int, windows int, minimiser long, piece long, words binary")
+    schema = "minimiser long, piece long, windows int, words binary, least long, most long" if words else "piece long, doc_id long, tie long, at int"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, schema)
 
 
 class Bits:
@@ -219,8 +267,8 @@ def first_docs(words: np.ndarray, ends: np.ndarray, windows: np.ndarray, least:
     return result
 
 
-def repeated(classes: DataFrame) -> DataFrame:
-    """classes(piece, minimiser, windows, words, least, most): piece and firsts (of each window, the smallest doc_id)
+def repeated(classes: DataFrame, shards: int) -> DataFrame:
+    """classes(piece, minimiser, windows, words, least, most), some of them of one piece: piece and firsts (of each window, the smallest doc_id)
     for pieces in which some document has a window that starts in a smaller one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +277,12 @@ def repeated(classes: DataFrame) -> DataFrame:
             return
         t = pa.Table.from_batches(got).combine_chunks()
         del got
-        piece, windows, least, most = (t[c].to_numpy() for c in ("piece", "windows", "least", "most"))
+        piece, least, most = (t[c].to_numpy() for c in ("piece", "least", "most"))
+        order = np.argsort(piece, kind="stable")
+        start = np.flatnonzero(np.concatenate([[True], piece[order][1:] != piece[order][:-1]]))
+        least, most = np.minimum.reduceat(least[order], start), np.maximum.reduceat(most[order], start)
+        t = t.select(["piece", "windows", "words"]).take(pa.array(order[start]))
+        piece, windows = t["piece"].to_numpy(), t["windows"].to_numpy()
         size = pc.binary_length(t["words"]).to_numpy().astype(np.int64) // 4
         words = np.frombuffer(b"".join(t["words"].to_pylist()), np.uint32)
         windows = windows.astype(np.int64)
@@ -239,23 +292,20 @@ def repeated(classes: DataFrame) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(firsts)).take(pa.array(keep))
         yield pa.record_batch([pa.array(piece[keep]), lists], names=["piece", "firsts"])
 
-    rows = classes.select("piece", "minimiser", "windows", "words", "least", "most")
-    return rows.repartition(shards(classes), "minimiser").mapInArrow(run, "piece long, firsts array<long>")
+    return classes.repartition(shards, "minimiser").mapInArrow(run, "piece long, firsts array<long>")
 
 
-def shards(classes: DataFrame) -> int:
-    """As many that one holds about a quarter of MOST_WORDS."""
-    return max(partitions(classes.sparkSession), 1 + int((classes.agg(F.sum(F.col("windows") + WINDOW)).first()[0] or 0) / (MOST_WORDS / 4)))
+def shards(docs: DataFrame) -> int:
+    """As many that one holds about a quarter of MOST_WORDS, if all pieces repeat."""
+    return max(partitions(docs.sparkSession), 1 + int((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / (MOST_WORDS * 2)))
 
 
 def covered(docs: DataFrame) -> DataFrame:
     """doc_id, tie and starts (first words of the windows to remove) for texts that have any."""
-    every = pieces(docs)
     ids = F.coalesce("doc_id", F.lit(int(NO_ID)))
-    # Equal pieces are one row; words are given by name, so any of them will do.
-    classes = materialise(every.groupBy("piece", "minimiser", "windows").agg(F.first("words").alias("words"), F.min(ids).alias("least"), F.max(ids).alias("most")))
-    firsts = repeated(classes)
-    places = every.select("piece", "doc_id", "tie", "at")
+    shared = docs.sparkSession.sparkContext.broadcast(shared_minimisers(docs))
+    firsts = materialise(repeated(pieces(docs, shared, True), shards(docs)))
+    places = possibly(pieces(docs, shared, False), "piece", bitmap(firsts, "piece")).where("__may").drop("__may")
     met = places.join(firsts, "piece").where(F.array_min("firsts") < ids)
     found = F.filter(F.transform("firsts", lambda f, i: F.when(f < ids, F.col("at") + i)), lambda x: x.isNotNull())
     return met.select("doc_id", "tie", found.alias("starts")).groupBy("doc_id", "tie").agg(F.flatten(F.collect_set("starts")).alias("starts"))
@@ -273,7 +323,11 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     added = ("kept", "n_words", "n_removed", "spans")
     names = [c for c in docs.columns if c not in added]
     lost = covered(docs).select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("starts").alias("__starts"))
-    rows = docs.select(*names).join(lost, docs.doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64(docs.text) == F.col("__tie")), "left").select(*names, "__starts")
+    lost = materialise(lost)
+    rows = possibly(docs.select(*names, F.xxhash64("text").alias("__of")), "__of", bitmap(lost, "__tie"))
+    some = rows.where("__may")
+    some = some.join(lost, some.doc_id.eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__tie")), "left").select(*names, "__starts")
+    rows = some.union(rows.where("NOT __may").select(*names, F.lit(None).cast("array<int>")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, names.index("text")):
