@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, materialise, partitions, slices
+from . import nearcopy
+from .common import SHINGLE_WORDS, SIMILARITY, materialise, partitions, slices
 from .components import components
 
 BITS, BLOCKS, SEED = 64, 3, 42
@@ -144,16 +145,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = 3) -> DataFrame:
-    """The rows of docs, all columns, with one of each group of near-duplicates: that of the smallest doc_id, then
-    of the smallest hash of its text; null ids go last. Repeated rows are one group. Empty texts are one group."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    fps = materialise(keyed.select(F.struct("doc_id", "tie").alias("key"), "text").transform(lambda d: fingerprints(d, shingle, "key", "struct<doc_id: bigint, tie: bigint>")))
-    first = F.min(F.struct(F.col("key.doc_id").isNull(), F.col("key.doc_id"), F.col("key.tie"))).alias("first")
-    nodes = materialise(fps.groupBy("fp").agg(first))
-    found = components(links(nodes, radius))
-    named = nodes.join(found, nodes.fp == found.node, "left").select(F.coalesce("component", "fp").alias("component"), "first")
-    stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.tie").alias("__tie"))
-    rows = docs.withColumn("__of", F.xxhash64("text"))
-    kept = rows.join(stay, rows.doc_id.eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__tie")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__of"]).drop("__of")
+def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs with one of each group of near-duplicates by shingle similarity; see nearcopy.keep_one().
+    At that similarity fingerprints of 64 bits differ in about ten, beyond what balls of half the radius reach."""
+    return nearcopy.keep_one(docs, shingle, similarity)
