@@ -52,13 +52,13 @@ def windows(rows: DataFrame, keys: list[str], text: str, at: str, telling: bool
 
 
 def hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Matches (doc_id, tie, item_id, item_tie, shift, n distinct windows) by alignment, and the items' windows."""
+    """Each place of a text (at) that holds a window (item_at) of an item: doc_id, tie, item_id, item_tie, item_at, at;
+    and the items' windows."""
     asked = materialise(windows(items.select("item_id", "text").distinct().withColumn("item_tie", F.xxhash64("text")), ["item_id", "item_tie"], "text", "item_at", telling=True))
     n = asked.count()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
     found = windows(keyed, ["doc_id", "tie"], "text", "at")
-    met = found.join(F.broadcast(asked) if n <= MOST_BROADCAST else asked, "h")
-    return met.groupBy("doc_id", "tie", "item_id", "item_tie", "item_at").agg(F.min("at").alias("at")), asked
+    return found.join(F.broadcast(asked) if n <= MOST_BROADCAST else asked, "h"), asked
 
 
 def leaks(docs: DataFrame, items: DataFrame, share: float = 0.5) -> DataFrame:
@@ -66,7 +66,7 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = 0.5) -> DataFrame:
     met, asked = hits(docs, items)
     sizes = asked.groupBy("item_id", "item_tie").agg(F.count_distinct("item_at").alias("windows"))
     shift = F.col("at") - F.col("item_at")
-    near = met.groupBy("doc_id", "tie", "item_id", "item_tie").agg(F.count("*").alias("n"), F.collect_set(shift).alias("shifts"))
+    near = met.groupBy("doc_id", "tie", "item_id", "item_tie").agg(F.count_distinct("item_at").alias("n"), F.collect_set(shift).alias("shifts"))
     near = near.join(F.broadcast(sizes) if asked.count() <= MOST_BROADCAST else sizes, ["item_id", "item_tie"]).where(F.col("n") >= share * F.col("windows"))
     near = materialise(near)
     # The words of candidate documents and items: keys with a null id are met by the hash of the text alone.
