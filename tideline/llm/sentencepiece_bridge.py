@@ -148,20 +148,28 @@ class Backend:
 
     def __init__(self, data: bytes):
         m = parse(data)
+        self.data, self.apart = data, m.byte_fallback
         self.whole, self.runs, self.prefix = build(m), build(m, prefix=False) if by_runs(m) else None, " " if m.dummy_prefix else ""
         self.forget()
 
     def forget(self) -> None:
-        """Empties the table of runs seen so far: a run's number, where its ids end, and if they decode to it."""
+        """Empties the table of runs seen so far: a run's number, where its ids end, if they decode to it,
+        and if they are those of the sentencepiece library."""
         self.known: dict[str, int] = {}
-        self.flat, self.ends, self.good = array("i"), array("q", [0]), array("b")
+        self.flat, self.ends, self.good, self.same = array("i"), array("q", [0]), array("b"), array("b")
 
-    def encode(self, texts: list[str]) -> tuple[pa.ListArray, np.ndarray]:
-        """ids, and whether decoding them gives the text back. Where runs can be encoded alone, each distinct
-        run is encoded and decoded once, as long as the table of MOST_KNOWN runs holds it."""
+    def theirs(self, runs: list[str]) -> list[list[int]]:
+        """The library's ids of runs. It sets the dummy prefix, which each run here has as its first space."""
+        return original(self.data).encode([r.removeprefix(self.prefix) for r in runs], num_threads=1)
+
+    def encode(self, texts: list[str]) -> tuple[pa.ListArray, np.ndarray, list[bool | None]]:
+        """ids, whether decoding them gives the text back, and whether they are the library's. Where runs can be
+        encoded alone, each distinct run is encoded, decoded and compared once, as long as the table of MOST_KNOWN
+        runs holds it. The last is None where it takes the whole text to tell: without runs, for spaces at its end
+        (the library sets no prefix before nothing) or U+2581, and where unknown pieces could join over runs."""
         if self.runs is None:
             ids = [e.ids if x else [] for x, e in zip(texts, self.whole.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
-            return pa.array(ids, pa.list_(pa.int32())), np.array([a == b for a, b in zip(self.decode(ids), texts, strict=True)], bool)
+            return pa.array(ids, pa.list_(pa.int32())), np.array([a == b for a, b in zip(self.decode(ids), texts, strict=True)], bool), [None] * len(texts)
         found = [RUN.findall(self.prefix + x.replace(MARKER, " ")) if x else [] for x in texts]
         count = np.array([len(x) for x in found], np.int64)
         enc = pa.array([r for x in found for r in x], pa.large_string()).dictionary_encode()
@@ -170,13 +178,15 @@ class Backend:
         if len(self.known) + len(vocab) > MOST_KNOWN:
             self.forget()
         new = [r for r in vocab if r not in self.known]
-        if new:
-            ids = [e.ids for e in self.runs.encode_batch_fast(new, add_special_tokens=False)]
-            for r, i, back in zip(new, ids, self.runs.decode_batch(ids, skip_special_tokens=False), strict=True):
+        for at in range(0, len(new), 4096):  # bounds what the tokenizers hold beside the table
+            part = new[at : at + 4096]
+            ids = [e.ids for e in self.runs.encode_batch_fast(part, add_special_tokens=False)]
+            for r, i, back, want in zip(part, ids, self.runs.decode_batch(ids, skip_special_tokens=False), self.theirs(part), strict=True):
                 self.known[r] = len(self.known)
                 self.flat.extend(i)
                 self.ends.append(len(self.flat))
                 self.good.append(back == r)
+                self.same.append(want == i)
         known, ends = self.known, np.array(self.ends, np.int64)
         flat, good = np.array(self.flat, np.int32), np.array(self.good, bool)
         which = np.array([known[r] for r in vocab], np.int64)[enc.indices.to_numpy()]
@@ -187,8 +197,11 @@ class Backend:
         bounds = np.concatenate([[0], np.cumsum(count)])
         bad = np.concatenate([[0], np.cumsum(~good[which])])
         trip = np.diff(bad[bounds]) == 0
-        trip &= np.array([MARKER not in x for x in texts], bool)
-        return pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(flat[at])), trip
+        plain = np.array([MARKER not in x for x in texts], bool)
+        trip &= plain
+        other = np.concatenate([[0], np.cumsum(~np.array(self.same, bool)[which])])
+        same = [bool(n == 0) if self.apart and p and not x.endswith(" ") else None for x, p, n in zip(texts, plain, np.diff(other[bounds]), strict=True)]
+        return pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(flat[at])), trip, same
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
@@ -223,7 +236,8 @@ def encode(docs: DataFrame, model: bytes, parity_every: int = 16) -> DataFrame:
 
     Null text gives null ids, n_ids 0 and null checks; an empty text gives no ids. round_trip: decoding gives the
     text back, which a normaliser may change and U+2581 in a text always does. parity: the ids equal those of
-    the sentencepiece library; compared for one row in parity_every by a hash of the text (1: all), else null.
+    the sentencepiece library, for every row: run by run where the text's ids are those of its runs, else for the
+    whole text. One row in parity_every, by a hash of the text, is compared as a whole besides (1: all; 0: none).
     Special pieces in a text are ordinary text. Repeated rows come out as often as they come in; an empty table
     gives an empty result.
     """
@@ -232,16 +246,16 @@ def encode(docs: DataFrame, model: bytes, parity_every: int = 16) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, s = loaded(sent.value), original(sent.value) if parity_every else None
+        t, s = loaded(sent.value), original(sent.value)
         for b in slices(batches, names.index("text"), 4_000_000):
             text = b.column(names.index("text")).to_pylist()
             asked = b.column(len(names)).to_pylist()
-            ids, trip = t.encode([x or "" for x in text])
+            ids, trip, by_run = t.encode([x or "" for x in text])
             null = pa.array([x is None for x in text], pa.bool_())
-            same: list = [None] * len(text)
-            check = [i for i, x in enumerate(text) if asked[i] and x is not None]
+            same = [None if x is None else k for x, k in zip(text, by_run, strict=True)]
+            check = [i for i, x in enumerate(text) if x is not None and (asked[i] or same[i] is None)]
             for i, want in zip(check, s.encode([text[i] for i in check], num_threads=1) if check else [], strict=True):
-                same[i] = want == ids[i].as_py()
+                same[i] = same[i] is not False and want == ids[i].values.to_pylist()
             made = [pc.if_else(null, pa.scalar(None, ids.type), ids), pc.list_value_length(ids).cast(pa.int64()), pc.if_else(null, pa.scalar(None, pa.bool_()), pa.array(trip)), pa.array(same, pa.bool_())]
             yield pa.record_batch([*b.columns[: len(names)], *made], names=[*names, "ids", "n_ids", "round_trip", "parity"])
 
