@@ -66,7 +66,7 @@ def test_index_against_search(most):
     for _ in range(20):
         k = int(r.integers(1, 30))
         size = r.integers(13, 22, k)
-        words = r.integers(0, 3, size.sum()).astype(np.uint32)
+        words = r.integers(0, 3, size.sum()).astype(np.uint64)
         words[r.random(len(words)) < 0.9] = 0
         ends, least = np.concatenate([[0], np.cumsum(size)]), r.integers(0, 50, k)
         windows = size - 12

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,28 +18,48 @@ from pyspark.sql import functions as F
 #: Production defaults of near-duplicate stages on word shingles.
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+#: Bytes of text that a task works on at a time; a longer text is worked on alone.
+TEXT_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def local_dir() -> str:
+    return tempfile.mkdtemp(prefix="tideline-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one if all runs in one
+    process; on a cluster, which would not see it, an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="tideline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        return local_dir()
+    raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back, so that a lost
-    executor costs a read and not a recomputation. Empty frames keep their schema."""
+    executor costs a read and not a recomputation. Empty frames keep their schema. `instead`: an earlier
+    step that nothing reads any more; its files go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if instead is not None:
+        discard(instead)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.step = path
+    return made
+
+
+def discard(step: DataFrame) -> None:
+    """Deletes what materialise() wrote for this frame."""
+    path = step.sparkSession._jvm.org.apache.hadoop.fs.Path(step.step)
+    path.getFileSystem(step.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -66,26 +88,44 @@ def split_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return doc, number, pa.array([x for r in rows for x in r], pa.large_string())
 
 
+STEP = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-STEP = 0x9E3779B97F4A7C15
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Keeps the first k bytes of a little-endian number of eight.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 
 
-def powers(n: int) -> list[np.ndarray]:
-    """The first n powers of STEP modulo 2**64 at least, and of its inverse; kept for the next batch."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((STEP, pow(STEP, -1, 1 << 64))):
-            _POWERS[k] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
-    return _POWERS
+def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts and the offsets of each; null counts as empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    return data, off - off[0]
+
+
+def hashed_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[start:end]: eight bytes at a time through a finaliser that is a bijection, so equal
+    lengths of up to eight bytes never collide; longer ones of over LONG_WORD bytes by xxh3."""
+    size = end - start
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix(size.astype(np.uint64) * STEP + np.uint64(1))
+    live = np.flatnonzero(size <= LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        live = live[size[live] > k]
+        if not len(live):
+            break
+        h[live] = mix(h[live] ^ (eight[start[live] + k] & FIRST[np.minimum(size[live] - k, 8)]))
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return h
 
 
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words between ASCII white space as 64-bit hashes, straight from the UTF-8 bytes: all bytes, offsets of the
-    texts in them, first byte of each word, hash of each word (a polynomial in its bytes, finalised)."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
-    off, n = off - off[0], len(data)
+    texts in them, first byte of each word, hash of each word."""
+    data, off = raw_bytes(texts)
+    n = len(data)
     letter = ~SPACE[data]
     first, last = letter.copy(), letter.copy()
     first[1:] &= ~letter[:-1]
@@ -94,35 +134,31 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     first[cut] |= letter[cut]
     last[cut - 1] |= letter[cut - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    return data, off, start, mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    return data, off, start, hashed_spans(data, start, end)
+
 
+def bits_for(n: int) -> int:
+    """Bits of a bitmap of n values: a sixteenth of them set at most, from 2**20 to 2**26 (a million rows, some 30 MB)."""
+    return min(1 << 26, max(1 << 20, 1 << (16 * n).bit_length()))
 
-def bitmap(df: DataFrame, column: str, bits: int = 1 << 23) -> DataFrame:
+
+def bitmap(df: DataFrame, column: str, bits: int) -> DataFrame:
     """The set of a column's values (longs) as at most bits / 64 rows (__slot, __mask), whatever the input: small
     enough to broadcast. See possibly()."""
     slot = F.pmod(F.col(column), F.lit(bits))
     return df.select(F.shiftright(slot, 6).alias("__slot"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("__bit")).groupBy("__slot").agg(F.bit_or("__bit").alias("__mask"))
 
 
-def possibly(df: DataFrame, column: str, among: DataFrame, bits: int = 1 << 23) -> DataFrame:
-    """df with boolean __may: whether the column's value may be in the bitmap; false is certain. An exact join of
-    those that may be follows; the others need not be shuffled."""
+def possibly(df: DataFrame, column: str, step: DataFrame, of: str) -> DataFrame:
+    """df with boolean __may: whether the column's value may be among those of `of` in a materialised step, by a
+    bitmap; false is certain. An exact join of those that may be follows; the others need not be shuffled."""
+    bits = bits_for(step.count())
+    among = bitmap(step, of, bits)
     slot = F.pmod(F.col(column), F.lit(bits))
     met = df.withColumn("__slot", F.shiftright(slot, 6)).join(F.broadcast(among), "__slot", "left")
     return met.withColumn("__may", F.coalesce(F.getbit("__mask", (slot % 64).cast("int")) == 1, F.lit(False))).drop("__slot", "__mask")
 
 
-def word_codes(flat: pa.Array, seed: int = 0) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Index of each word in the batch's vocabulary, a 64-bit hash of each vocabulary entry, the vocabulary."""
-    enc = flat.dictionary_encode()
-    vocab = enc.dictionary
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in vocab.to_pylist()), np.uint64, len(vocab))
-    return enc.indices.to_numpy().astype(np.int64), hashes, vocab
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -137,7 +173,7 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     g = np.zeros(n, np.uint64)
     for j in range(k):
-        g = g * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
+        g = g * STEP + h[j : j + n]
     return mix(g)
 
 
@@ -151,7 +187,7 @@ def bucket(column: str, n: int):
     return F.crc32(F.col(column).cast("string")) % n
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in parts of about `most` bytes of the text column, to bound memory; a text is never cut."""
     for b in batches:
         size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()

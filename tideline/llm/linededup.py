@@ -28,74 +28,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIMILARITY, bitmap, hashed_words, materialise, mix, partitions, possibly, slices
+from .common import SIMILARITY, STEP, hashed_words, materialise, mix, partitions, possibly, slices
 
 BUCKETS = 1 << 16
-SALT = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of a word's name: the bucket above, more of its hash below.
-NAME, REST = 42, 26
-#: Bytes of text that are worked on at a time.
-SLICE = 4_000_000
 #: Words of a set that gets a sketch of twice as many bits.
 LARGE = 64
 #: Rows of a prefix word from which they are compared in blocks.
 LONG = 64
+#: Classes that a task remembers to have emitted, eight bytes each.
+REMEMBERED = 500_000
 
 
 def lines_of(texts: pa.Array, rank: np.ndarray):
-    """For each line with a word: its text, its number (from 0), the first of its words in `key`; then `key`, the
-    words of all lines (each once, ordered by the rank of their bucket), and the hashes of all occurrences."""
+    """For each line with a word: its text, its number (from 0), the first of its words in `name`; then `name`, the
+    hashes of the words of all lines (each once, ordered by the rank of their bucket), and the hashes of all
+    occurrences."""
     data, off, at, h = hashed_words(texts)
     feeds = np.flatnonzero(data == 10)
     doc = np.searchsorted(off, at, "right") - 1
     number = np.searchsorted(feeds, at) - np.searchsorted(feeds, off)[doc]
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])])[: len(at)]
-    line = (np.cumsum(new) - 1).astype(np.uint64)
-    key = (rank[h >> np.uint64(48)] << np.uint64(REST)) | ((h >> np.uint64(64 - NAME)) & np.uint64((1 << REST) - 1))
-    if new.sum() < 1 << (64 - NAME):
-        both = np.sort(line << np.uint64(NAME) | key)
-        line, key = both >> np.uint64(NAME), both & np.uint64((1 << NAME) - 1)
-    else:  # one text of very many lines
-        order = np.lexsort((key, line))
-        line, key = line[order], key[order]
-    once = np.concatenate([[True], (line[1:] != line[:-1]) | (key[1:] != key[:-1])])[: len(line)]
-    line, key = line[once], key[once]
+    line = np.cumsum(new) - 1
+    # Line, rank and some bits of the hash in one number; only where those don't tell, the hash too.
+    key = line.astype(np.uint64) << np.uint64(42) | rank[h >> np.uint64(48)] << np.uint64(26) | (h >> np.uint64(22) & np.uint64((1 << 26) - 1))
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    if len(at) and (line[-1] >= 1 << 22 or (same & (h[order][1:] != h[order][:-1])).any()):
+        order = np.lexsort((h, h >> np.uint64(22) & np.uint64((1 << 26) - 1), rank[h >> np.uint64(48)], line))
+    line, name = line[order], h[order]
+    once = np.concatenate([[True], (line[1:] != line[:-1]) | (name[1:] != name[:-1])])[: len(line)]
+    line, name = line[once], name[once]
     start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])[: len(line)])
     first = np.flatnonzero(new)
-    return doc[first], number[first], start, key, h
+    return doc[first], number[first], start, name, h
 
 
-def names_of(key: np.ndarray, back: np.ndarray) -> np.ndarray:
-    """Words by name, whatever the ranks."""
-    return back[key >> np.uint64(REST)] << np.uint64(REST) | (key & np.uint64((1 << REST) - 1))
-
-
-def classes_of(name: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Hash of each set: a sum, so the order of words doesn't matter."""
-    return np.add.reduceat(mix(name * SALT + np.uint64(1)), start)
+def classes_of(name: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that stand for each set: two sums, so the order of words doesn't matter."""
+    one = np.add.reduceat(mix(name * STEP + np.uint64(1)), start)
+    two = np.add.reduceat(mix(name ^ STEP), start)
+    return one.view(np.int64), two.view(np.int64)
 
 
 def places(docs: DataFrame) -> DataFrame:
-    """doc_id, tie (a hash of the text), line and class of each line that has a word; besides, bucket and n: word
-    counts of each task."""
+    """doc_id, tie (a hash of the text), line and class (with `rest`, the other half of its name) of each line that
+    has a word; besides, bucket and n: word counts of each task."""
     same = np.arange(BUCKETS, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("class", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64())])
-        for b in slices(batches, most=SLICE):
-            doc, number, start, key, h = lines_of(b.column(1), same)
+        schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("class", pa.int64()), ("rest", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64())])
+        for b in slices(batches):
+            doc, number, start, name, h = lines_of(b.column(1), same)
             if not len(start):
                 continue
             total += np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
             of = pa.array(doc)
             none = pa.nulls(len(doc), pa.int64())
-            yield pa.record_batch([b.column(0).take(of), b.column(2).take(of), pa.array(number.astype(np.int32)), pa.array(classes_of(key, start).view(np.int64)), none.cast(pa.int32()), none], schema=schema)
+            yield pa.record_batch([b.column(0).take(of), b.column(2).take(of), pa.array(number.astype(np.int32)), *map(pa.array, classes_of(name, start)), none.cast(pa.int32()), none], schema=schema)
         at = np.flatnonzero(total)
         none = pa.nulls(len(at), pa.int64())
-        yield pa.record_batch([none, none, none.cast(pa.int32()), none, pa.array(at.astype(np.int32)), pa.array(total[at])], schema=schema)
+        yield pa.record_batch([none, none, none.cast(pa.int32()), none, none, pa.array(at.astype(np.int32)), pa.array(total[at])], schema=schema)
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, tie long, line int, class long, bucket int, n long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, tie long, line int, class long, rest long, bucket int, n long")
 
 
 def rarity(every: DataFrame) -> np.ndarray:
@@ -107,32 +102,39 @@ def rarity(every: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, rank: np.ndarray, t: float) -> DataFrame:
-    """at (prefix word, size and place in one long), class, sketch and more (of it, for larger sets): once for each class of a slice of texts, so that
-    hot lines are reduced before the shuffle. Sizes from 65,535 on are written as that and escape the filters."""
+    """at (prefix word, size and place in one long), class, sketch and more (of it, for larger sets) of each class, as
+    a rule once for each task, so that hot lines are reduced before the shuffle. Sizes from 65,535 on are written as
+    that and escape the filters."""
     rank = docs.sparkSession.sparkContext.broadcast(rank)  # half a megabyte, whatever the input
     small = 4 if t > 0.75 else 1  # smaller sets match only equal sets, which are one class already
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        back = np.argsort(rank.value).astype(np.uint64)
-        for b in slices(batches, 0, SLICE):
-            _, _, start, key, _ = lines_of(b.column(0), rank.value)
+        seen = np.zeros(0, np.int64)
+        for b in slices(batches, 0):
+            _, _, start, name, _ = lines_of(b.column(0), rank.value)
             if not len(start):
                 continue
-            name = names_of(key, back)
-            group, which = np.unique(classes_of(name, start), return_index=True)
-            size = np.diff(np.append(start, len(key)))[which]
+            group, which = np.unique(classes_of(name, start)[0], return_index=True)
+            fresh = ~np.isin(group, seen, assume_unique=True)
+            size = np.diff(np.append(start, len(name)))
+            fresh &= size[which] >= small
+            group, which = group[fresh], which[fresh]
+            if not len(which):
+                continue
+            seen = group if len(seen) > REMEMBERED else np.concatenate([seen, group])
+            size = size[which]
             spot = mix(name)
             bit, low = np.uint64(1) << (spot & np.uint64(63)), (spot & np.uint64(64)) > 0
             sketch = np.bitwise_xor.reduceat(np.where(low, bit, np.uint64(0)), start)[which]
             more = np.bitwise_xor.reduceat(np.where(low, np.uint64(0), bit), start)[which]
             few = size < LARGE
             sketch, more = np.where(few, sketch ^ more, sketch), np.where(few, np.uint64(0), more)
-            many = np.where(size >= small, size - np.ceil(size * t - 1e-9).astype(np.int64) + 1, 0)
+            many = size - np.ceil(size * t - 1e-9).astype(np.int64) + 1
             of = np.repeat(np.arange(len(which)), many)
             place = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-            word = name[start[which][of] + place] & np.uint64(0xFFFFFFFF)
+            word = name[start[which][of] + place] >> np.uint64(32)
             at = word << np.uint64(32) | np.minimum(size, 65535)[of].astype(np.uint64) << np.uint64(16) | np.minimum(place, 65535).astype(np.uint64)
-            yield pa.record_batch([pa.array(at.view(np.int64)), pa.array(group[of].view(np.int64)), pa.array(sketch[of].view(np.int64)), pa.array(more[of].view(np.int64))], names=["at", "class", "sketch", "more"])
+            yield pa.record_batch([pa.array(at.view(np.int64)), pa.array(group[of]), pa.array(sketch[of].view(np.int64)), pa.array(more[of].view(np.int64))], names=["at", "class", "sketch", "more"])
 
     return docs.select("text").mapInArrow(run, "at long, class long, sketch long, more long")
 
@@ -208,60 +210,56 @@ def candidates(rows: DataFrame, t: float) -> DataFrame:
 
 
 def members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted(class, doc_id, tie, line, under): word, class, doc_id, tie, line and words (32-bit names) of each class
-    under each of its words `under`, from the texts."""
-    lists = materialise(wanted.groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).agg(F.collect_list(F.struct("line", "class", "under")).alias("lines")))
-    texts = possibly(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")), "tie", bitmap(lists, "__tie")).where("__may")
+    """wanted(class, rest, doc_id, tie, line, under): word, class, rest, doc_id, tie, line and words (64-bit hashes) of
+    each class under each of its words `under`, from the texts."""
+    lists = materialise(wanted.groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).agg(F.collect_list(F.struct("line", "class", "rest", "under")).alias("lines")))
+    texts = possibly(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")), "tie", lists, "__tie").where("__may")
     met = texts.join(lists, texts.doc_id.eqNullSafe(F.col("__id")) & (F.col("tie") == F.col("__tie")))
     same = np.arange(BUCKETS, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, most=SLICE):
-            doc, number, start, key, _ = lines_of(b.column(1), same)
-            end = np.append(start[1:], len(key))
+        for b in slices(batches):
+            doc, number, start, name, _ = lines_of(b.column(1), same)
+            end = np.append(start[1:], len(name))
             width = int(number.max(initial=0)) + 1
             found = doc * width + number  # in order
-            name = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
             lists = b.column(3)
             item = lists.flatten()
             owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
             at = np.searchsorted(found, owner * width + item.field("line").to_numpy())
             under = item.field("under")
             of = np.repeat(np.arange(len(item)), under.value_lengths().to_numpy(zero_copy_only=False))
-            words = pa.array([name[start[i] : end[i]] for i in at[of]], pa.list_(pa.int32()))
+            words = pa.array([name[start[i] : end[i]].view(np.int64) for i in at[of]], pa.list_(pa.int64()))
             take, row = pa.array(of), pa.array(owner[of])
-            yield pa.record_batch([under.flatten(), item.field("class").take(take), b.column(0).take(row), b.column(2).take(row), item.field("line").take(take), words], names=["word", "class", "doc_id", "tie", "line", "words"])
+            yield pa.record_batch([under.flatten(), item.field("class").take(take), item.field("rest").take(take), b.column(0).take(row), b.column(2).take(row), item.field("line").take(take), words], names=["word", "class", "rest", "doc_id", "tie", "line", "words"])
 
-    return met.select("doc_id", "text", "tie", "lines").mapInArrow(run, "word int, class long, doc_id long, tie long, line int, words array<int>")
+    return met.select("doc_id", "text", "tie", "lines").mapInArrow(run, "word int, class long, rest long, doc_id long, tie long, line int, words array<long>")
 
 
 def matched(rows: DataFrame, t: float) -> DataFrame:
-    """rows(word, class, doc_id, tie, line, words): classes with an earlier match under some word."""
+    """rows(word, class, rest, doc_id, tie, line, words): classes with an earlier match under some word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if got is None:
             return
         # Null ids come first in order of occurrence, as in min() of a struct.
-        word, group = got["word"].to_numpy(), got["class"].to_numpy()
+        word, group, rest = got["word"].to_numpy(), got["class"].to_numpy(), got["rest"].to_numpy()
         ids, nulls = got["doc_id"].fill_null(0).to_numpy(), ~got["doc_id"].is_null().to_numpy()
         tie, line = got["tie"].to_numpy(), got["line"].to_numpy()
         order = np.lexsort((line, tie, ids, nulls, word))
-        again = (word[order][1:] == word[order][:-1]) & (group[order][1:] == group[order][:-1])
+        again = (word[order][1:] == word[order][:-1]) & (group[order][1:] == group[order][:-1]) & (rest[order][1:] == rest[order][:-1])
         order = order[np.concatenate([[True], ~again])]  # repeated rows
         lists = got["words"].combine_chunks()
         off, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-        word, group = word[order], group[order]
-        out = []
+        word, found = word[order], np.zeros(len(order), bool)
         start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         for s, e in zip(start, np.append(start[1:], len(word)), strict=True):
-            own = order[s:e]
-            found = np.zeros(e - s, bool)
+            own, late = order[s:e], found[s:e]
             if e - s <= 4:
                 sets = [set(flat[off[i] : off[i + 1]].tolist()) for i in own]
                 for y in range(1, e - s):
-                    found[y] = any(len(sets[x] & sets[y]) >= least(len(sets[x]), len(sets[y]), t) for x in range(y))
-                out.append(group[s:e][found])
+                    late[y] = any(len(sets[x] & sets[y]) >= least(len(sets[x]), len(sets[y]), t) for x in range(y))
                 continue
             sizes = off[own + 1] - off[own]
             ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -269,32 +267,32 @@ def matched(rows: DataFrame, t: float) -> DataFrame:
             mark = np.zeros(len(values), np.int64)
             for x in range(e - s - 1):
                 size = sizes[x + 1 :]
-                far = np.flatnonzero(~found[x + 1 :] & (np.minimum(size, sizes[x]) >= t * np.maximum(size, sizes[x]) - 1e-9))
+                far = np.flatnonzero(~late[x + 1 :] & (np.minimum(size, sizes[x]) >= t * np.maximum(size, sizes[x]) - 1e-9))
                 if not len(far):
                     continue
                 own_values = values[ends[x] : ends[x + 1]]
                 mark[own_values] = 1
                 common = np.add.reduceat(mark[values[ends[x + 1] :]], ends[x + 1 : -1] - ends[x + 1])[far]
                 mark[own_values] = 0
-                found[far[common >= needed(sizes[x], size[far], t)] + x + 1] = True
-                if found[x + 1 :].all():
+                late[far[common >= needed(sizes[x], size[far], t)] + x + 1] = True
+                if late[x + 1 :].all():
                     break
-            out.append(group[s:e][found])
-        yield pa.record_batch([pa.array(np.unique(np.concatenate(out)))], names=["class"])
+        gone = order[found]
+        yield pa.record_batch([pa.array(group[gone]), pa.array(rest[gone])], names=["class", "rest"])
 
-    return rows.repartition(partitions(rows.sparkSession), "word").mapInArrow(run, "class long").distinct()
+    return rows.repartition(partitions(rows.sparkSession), "word").mapInArrow(run, "class long, rest long").distinct()
 
 
 def removals(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     """doc_id, tie and the array `lines` of the numbers of the lines to remove, for texts that lose any."""
     every = materialise(places(docs))
-    lines, place = every.where("bucket IS NULL"), F.struct("doc_id", "tie", "line")
+    lines, place, name = every.where("bucket IS NULL"), F.struct("doc_id", "tie", "line"), ["class", "rest"]
     # What is one row for each class: hot lines are reduced on the map side.
-    classes = materialise(lines.groupBy("class").agg(F.min(place).alias("first")))
+    classes = materialise(lines.groupBy(*name).agg(F.min(place).alias("first")))
     some = candidates(prefixes(docs, rarity(every), t), t).groupBy("class").agg(F.collect_set("word").alias("under"))
-    late = matched(members(docs, some.join(classes, "class").select("class", "under", "first.*")), t)
-    state = classes.join(late.withColumn("late", F.lit(True)), "class", "left")
-    lost = lines.select("class", "doc_id", "tie", "line").join(state, "class").where(F.coalesce("late", F.lit(False)) | ~place.eqNullSafe(F.col("first")))
+    late = matched(members(docs, some.join(classes, "class").select(*name, "under", "first.*")), t)
+    state = classes.join(late.withColumn("late", F.lit(True)), name, "left")
+    lost = lines.select(*name, "doc_id", "tie", "line").join(state, name).where(F.coalesce("late", F.lit(False)) | ~place.eqNullSafe(F.col("first")))
     return materialise(lost.groupBy("doc_id", "tie").agg(F.collect_set("line").alias("lines")))
 
 
@@ -306,10 +304,11 @@ def dedup_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     order (doc_id, a hash of the text, line number), null doc_id first, goes if an earlier line of the table,
     removed or not, has a Jaccard similarity of its set of words >= t. Lines without words stay. Null text stays
     null, with 0 lines. Repeated rows are one document: what leaves one leaves the other. Other columns are kept
-    as they are. An empty table gives an empty result. Words are compared by 32-bit and sets by 64-bit hashes.
+    as they are. An empty table gives an empty result. A text of any length is worked on whole. Words are compared by
+    64-bit and whole sets by 128-bit hashes.
     """
     gone = removals(docs, t).select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("lines").alias("__lines"))
-    rows = possibly(docs.withColumn("__of", F.xxhash64("text")), "__of", bitmap(gone, "__tie"))
+    rows = possibly(docs.withColumn("__of", F.xxhash64("text")), "__of", gone, "__tie")
     some = rows.where("__may")
     some = some.join(gone, some.doc_id.eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__tie")), "left").select(*docs.columns, "__lines")
     rows = some.union(rows.where("NOT __may").select(*docs.columns, F.lit(None).cast("array<int>")))

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, owner, sampled, slices, word_codes, words_of
+from .common import held_out, owner, raw_bytes, sampled, slices, words_of
 
 #: About this many positives and unlabelled texts are learned from, at most.
 MOST_POSITIVE, MOST_UNLABELLED = 12_000, 24_000
@@ -29,22 +29,23 @@ FEATURES = len(CLASSES) + 13
 
 def features(texts: pa.Array) -> np.ndarray:
     """One row of FEATURES numbers for each text; null counts as empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     n = len(texts)
     out = np.zeros((n, FEATURES))
-    length = pc.binary_length(texts).to_numpy().astype(np.int64)
-    raw = np.frombuffer(b"".join(x.encode("utf-8", "replace") for x in texts.to_pylist()), np.uint8)
-    ends = np.concatenate([[0], np.cumsum(length)])
+    raw, ends = raw_bytes(texts)
+    length = np.diff(ends)
+    full = np.flatnonzero(length)
     for i, members in enumerate(CLASSES.values()):
-        hit = np.isin(raw, np.frombuffer(members, np.uint8))
-        out[:, i] = np.diff(np.concatenate([[0], np.cumsum(hit)])[ends]) / np.maximum(length, 1)
+        hit = np.isin(np.arange(256), np.frombuffer(members, np.uint8))[raw]
+        if len(full):
+            out[full, i] = np.add.reduceat(hit, ends[:-1][full], dtype=np.int64) / length[full]
     off, flat = words_of(texts)
     count = np.diff(off)
     doc = owner(off)
     per = np.maximum(count, 1)
     k = len(CLASSES)
     if len(flat):
-        codes, _, vocab = word_codes(flat)
+        enc = flat.dictionary_encode()
+        codes, vocab = enc.indices.to_numpy().astype(np.int64), enc.dictionary
         chars = pc.utf8_length(flat).to_numpy().astype(np.float64)
         both, times = np.unique(doc * len(vocab) + codes, return_counts=True)
         at = both // len(vocab)
@@ -63,10 +64,10 @@ def features(texts: pa.Array) -> np.ndarray:
         out[:, k + 8] = np.bincount(doc, letters, n) / per
         shout = pc.match_substring_regex(vocab, r"^\p{Lu}{2,}").to_numpy(zero_copy_only=False)[codes]
         out[:, k + 9] = np.bincount(doc, shout, n) / per
-        pair = codes[:-1] * len(vocab) + codes[1:]
         inside = doc[1:] == doc[:-1]
-        pairs = np.unique(np.stack([doc[1:][inside], pair[inside]]), axis=1)[0] if inside.any() else np.zeros(0, np.int64)
-        out[:, k + 10] = np.bincount(pairs, minlength=n) / np.maximum(count - 1, 1)  # distinct pairs of words
+        # One number for a text and a pair: fits, as a slice of many texts has a small vocabulary.
+        pair = np.unique(((doc[1:] * len(vocab) + codes[:-1]) * len(vocab) + codes[1:])[inside])
+        out[:, k + 10] = np.bincount(pair // len(vocab) ** 2, minlength=n) / np.maximum(count - 1, 1)  # distinct pairs of words
     out[:, k + 11] = np.log1p(count)
     out[:, k + 12] = np.log1p(length / np.maximum(count, 1))
     return out

@@ -3,10 +3,12 @@
 Shards are cut by content, so that a window of WINDOW words meets every other window of the same words in one
 shard, and each text is streamed against one shard and not against all: consecutive windows whose smallest hash
 of SEED words (minimiser) sits at the same place form a piece, and a piece goes to the shard of its minimiser.
-A first pass finds the minimisers that two documents hold; only their pieces are shipped, by a bitmap of them of
-bounded size (beyond some hundred million of them it rules out little, and more pieces are shipped; results stay
-exact). Equal pieces of a slice of texts are one row with the smallest and greatest doc_id that holds them, so a
-passage that a third of all documents share is one row for each slice.
+A first pass finds the minimisers that two documents hold; only their pieces are shipped, by a bitmap of them whose
+size follows the input up to MOST_BITS (beyond some thousand million of them it rules out little, and more pieces
+are shipped; results stay exact). A second bitmap marks minimisers of so many pieces that one task would feel it:
+their windows are pieces of their own and go to the shards of their own hash. Equal pieces of a part of a task are
+one row with the smallest and greatest doc_id that holds them, so a passage that a third of all documents share is
+a few rows for each task.
 
 In a shard, the pieces are concatenated and indexed: suffixes sorted as deep as a window, the Burrows-Wheeler
 transform in a wavelet matrix of packed bits with counts for each block. Backward search gives the interval of
@@ -25,17 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, hashed_words, materialise, owner, partitions, possibly, rolling, slices, words_of
+from .common import bitmap, hashed_words, materialise, mix, owner, partitions, possibly, rolling, slices, words_of
 
 WINDOW, SEED = 13, 5
 #: Words that one index holds; a larger shard gets several, and its pieces are streamed against each.
-MOST_WORDS = 4_000_000
+MOST_WORDS = 2_000_000
 #: Stands for a null doc_id, which is never smaller than another.
 NO_ID = np.iinfo(np.int64).max
-#: Bits of the bitmap of minimisers, 8 MB whatever the input.
-BITS = 1 << 26
-#: Bytes of text that are worked on at a time.
-SLICE = 4_000_000
+#: Bits of each bitmap of minimisers: as many as bytes of text, within these bounds (the greater is 64 MB).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
+#: Words of pieces that a task gathers before it ships what is distinct among them.
+GATHERED = 500_000
+#: Salts by a word's place in a piece.
+PLACE = mix(np.arange(1, 2 * WINDOW + 1, dtype=np.uint64))
 
 
 def pieces_of(off: np.ndarray, h: np.ndarray, window: int = WINDOW, seed: int = SEED):
@@ -64,11 +68,15 @@ def pieces_of(off: np.ndarray, h: np.ndarray, window: int = WINDOW, seed: int =
     return doc[start], start - off[doc[start]], windows, least[start]
 
 
-def shared_minimisers(docs: DataFrame) -> np.ndarray:
-    """Bitmap (as 64-bit words) of the minimisers that documents of two ids hold, gathered on the executors."""
+def shared_minimisers(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps (as 64-bit words) of the minimisers that documents of two ids hold, and of those of very many
+    pieces, gathered on the executors. size: bytes of all texts."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(size).bit_length()))
+    # A piece is about 35 bytes of text; a task of the index should have no minimiser of over an eighth of its pieces.
+    hot = max(500, size // 35 // (8 * shards(docs.sparkSession, size)))
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, most=SLICE):
+        for b in slices(batches):
             _, off, at, h = hashed_words(b.column(1))
             doc, _, _, seed = pieces_of(np.searchsorted(at, off), h)
             if not len(doc):
@@ -76,66 +84,102 @@ def shared_minimisers(docs: DataFrame) -> np.ndarray:
             ids = pc.fill_null(b.column(0), int(NO_ID)).to_numpy()[doc]
             order = np.lexsort((ids, seed))
             seed, ids = seed[order], ids[order]
-            first = np.concatenate([[True], seed[1:] != seed[:-1]])
-            last = np.append(first[1:], True)
-            keep = first | (last & (ids != ids[np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))]))
-            yield pa.record_batch([pa.array(seed[keep].view(np.int64)), pa.array(ids[keep])], names=["minimiser", "id"])
+            start = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
+            end = np.append(start[1:], len(seed))
+            two = ids[start] != ids[end - 1]
+            seed, n = seed[start], (end - start).astype(np.int32)
+            rows = [np.concatenate([seed, seed[two]]).view(np.int64), np.concatenate([ids[start], ids[end[two] - 1]]), np.concatenate([n, np.zeros(two.sum(), np.int32)])]
+            yield pa.record_batch([pa.array(x) for x in rows], names=["minimiser", "id", "n"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        got = [[c.to_numpy() for c in b.columns] for b in batches]
         if not got:
             return
-        seed, ids = (np.concatenate(c) for c in zip(*got, strict=True))
+        seed, ids, n = (np.concatenate(c) for c in zip(*got, strict=True))
         order = np.argsort(seed, kind="stable")
-        seed, ids = seed[order], ids[order]
+        seed, ids, n = seed[order], ids[order], n[order].astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
         two = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)
-        yield pa.record_batch([pa.array(seed[start[two]])], names=["minimiser"])
-
-    rows = docs.select("doc_id", "text").mapInArrow(seeds, "minimiser long, id long").repartition(partitions(docs.sparkSession), "minimiser")
-    got = bitmap(rows.mapInArrow(meet, "minimiser long"), "minimiser", BITS).toArrow()
-    out = np.zeros(BITS // 64, np.int64)
+        many = np.add.reduceat(n, start) > hot
+        # The hot ones are told apart by the range of the number: two bitmaps in one.
+        slot = seed[start].view(np.uint64) & np.uint64(bits - 1)
+        yield pa.record_batch([pa.array(np.concatenate([slot[two], slot[two & many] + np.uint64(bits)]).view(np.int64))], names=["minimiser"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(seeds, "minimiser long, id long, n int").repartition(partitions(docs.sparkSession), "minimiser")
+    got = bitmap(rows.mapInArrow(meet, "minimiser long"), "minimiser", 2 * bits).toArrow()
+    out = np.zeros(2 * bits // 64, np.int64)
     out[got["__slot"].to_numpy()] = got["__mask"].to_numpy()
-    return out.view(np.uint64)
+    return out.view(np.uint64)[: bits // 64], out.view(np.uint64)[bits // 64 :]
+
+
+def marked(bits: np.ndarray, value: np.ndarray) -> np.ndarray:
+    slot = value & np.uint64(len(bits) * 64 - 1)
+    return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)) > 0
 
 
 def pieces(docs: DataFrame, shared, words: bool) -> DataFrame:
-    """Pieces whose minimiser may be shared (a broadcast bitmap). With words, once for each slice of texts: minimiser,
-    piece (hash of its words), windows, words (32-bit hashes), least and most doc_id. Without: piece, doc_id, tie and
+    """Pieces whose minimiser may be shared (a broadcast pair of bitmaps). With words: shard (what they are dealt by),
+    piece (hash of its words), windows, words (64-bit hashes), least and most doc_id. Without: piece, doc_id, tie and
     at (first word) of each occurrence."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, most=SLICE):
-            _, text_off, begin, h = hashed_words(b.column(1))
-            off = np.searchsorted(begin, text_off)
-            doc, at, windows, seed = pieces_of(off, h)
-            slot = seed & np.uint64(BITS - 1)
-            may = np.flatnonzero(shared.value[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
-            if not len(may):
-                continue
-            doc, at, windows, seed = doc[may], at[may], windows[may], seed[may]
-            size = windows + WINDOW - 1
-            ends = np.concatenate([[0], np.cumsum(size)])
-            place = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
-            w = h[np.repeat(off[doc] + at, size) + place]
-            # A polynomial in the place of a word: pieces are equal if their words are, in order.
-            power = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
-            name = np.add.reduceat(w * power[place], ends[:-1]) ^ (size.astype(np.uint64) << np.uint64(1))
-            if not words:
+    def found(b: pa.RecordBatch):
+        """Text, first word, windows, shard and name of each piece; where its words end in the last, hashes of words."""
+        _, text_off, begin, h = hashed_words(b.column(1))
+        off = np.searchsorted(begin, text_off)
+        doc, at, windows, seed = pieces_of(off, h)
+        may = np.flatnonzero(marked(shared.value[0], seed))
+        doc, at, windows, seed = doc[may], at[may], windows[may], seed[may]
+        hot = marked(shared.value[1], seed)
+        if hot.any():  # a piece for each window
+            each = np.where(hot, windows, 1)
+            of = np.repeat(np.arange(len(doc)), each)
+            at = at[of] + np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
+            doc, seed, windows, hot = doc[of], seed[of], np.where(hot, 1, windows)[of], hot[of]
+        size = windows + WINDOW - 1
+        ends = np.concatenate([[0], np.cumsum(size)])
+        place = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
+        w = h[np.repeat(off[doc] + at, size) + place]
+        # Every word goes through a finaliser with its place: pieces are equal if their words are, in order.
+        name = np.add.reduceat(mix(w ^ PLACE[place]), ends[:-1]) ^ size.astype(np.uint64) if len(doc) else np.zeros(0, np.uint64)
+        return doc, at, windows, np.where(hot, name, seed), name, ends, w
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            doc, at, _, _, name, _, _ = found(b)
+            if len(doc):
                 take = pa.array(doc)
                 yield pa.record_batch([pa.array(name.view(np.int64)), b.column(0).take(take), b.column(2).take(take), pa.array(at.astype(np.int32))], names=["piece", "doc_id", "tie", "at"])
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in slices(batches):
+            doc, _, windows, shard, name, ends, w = found(b)
+            if not len(doc):
                 continue
             ids = pc.fill_null(b.column(0), int(NO_ID)).to_numpy()[doc]
-            order = np.lexsort((ids, name))
-            first = np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]]))
-            one = order[first]
-            most = ids[order[np.append(first[1:], len(order)) - 1]]
-            data = pa.py_buffer(w.astype(np.uint32).tobytes())
-            lists = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), data]).take(pa.array(one))
-            yield pa.record_batch([pa.array(seed[one].view(np.int64)), pa.array(name[one].view(np.int64)), pa.array(windows[one].astype(np.int32)), lists, pa.array(ids[one]), pa.array(most)], names=["minimiser", "piece", "windows", "words", "least", "most"])
-
-    schema = "minimiser long, piece long, windows int, words binary, least long, most long" if words else "piece long, doc_id long, tie long, at int"
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, schema)
+            lists = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer((ends * 8).astype(np.int64).tobytes()), pa.py_buffer(w.tobytes())])
+            held.append(distinct(pa.record_batch([pa.array(shard.view(np.int64)), pa.array(name.view(np.int64)), pa.array(windows.astype(np.int32)), lists, pa.array(ids), pa.array(ids)], names=["shard", "piece", "windows", "words", "least", "most"])))
+            n += held[-1].column("words").nbytes // 8
+            if n > GATHERED:
+                yield whole(distinct(pa.Table.from_batches(held).combine_chunks().to_batches()[0]))
+                held, n = [], 0
+        if held:
+            yield whole(distinct(pa.Table.from_batches(held).combine_chunks().to_batches()[0]))
+
+    whole = lambda b: b.set_column(3, "words", b.column(3).cast(pa.binary()))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    if words:
+        return rows.mapInArrow(classes, "shard long, piece long, windows int, words binary, least long, most long")
+    return rows.mapInArrow(occurrences, "piece long, doc_id long, tie long, at int")
+
+
+def distinct(b: pa.RecordBatch) -> pa.RecordBatch:
+    """One row for each piece, with the least and the most of its rows."""
+    name, least, most = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("piece", "least", "most"))
+    order = np.argsort(name, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]]))
+    kept = b.select(["shard", "piece", "windows", "words"]).take(pa.array(order[start]))
+    return pa.record_batch([*kept.columns, pa.array(np.minimum.reduceat(least[order], start)), pa.array(np.maximum.reduceat(most[order], start))], names=["shard", "piece", "windows", "words", "least", "most"])
 
 
 class Bits:
@@ -267,24 +311,20 @@ def first_docs(words: np.ndarray, ends: np.ndarray, windows: np.ndarray, least:
     return result
 
 
-def repeated(classes: DataFrame, shards: int) -> DataFrame:
-    """classes(piece, minimiser, windows, words, least, most), some of them of one piece: piece and firsts (of each window, the smallest doc_id)
+def repeated(classes: DataFrame, n: int) -> DataFrame:
+    """classes(shard, piece, windows, words, least, most), some of them of one piece: piece and firsts (of each window, the smallest doc_id)
     for pieces in which some document has a window that starts in a smaller one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not sum(b.num_rows for b in got):
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
-        t = pa.Table.from_batches(got).combine_chunks()
+        t = pa.Table.from_batches(got)
+        t = distinct(t.set_column(3, "words", t["words"].cast(pa.large_binary())).combine_chunks().to_batches()[0])
         del got
-        piece, least, most = (t[c].to_numpy() for c in ("piece", "least", "most"))
-        order = np.argsort(piece, kind="stable")
-        start = np.flatnonzero(np.concatenate([[True], piece[order][1:] != piece[order][:-1]]))
-        least, most = np.minimum.reduceat(least[order], start), np.maximum.reduceat(most[order], start)
-        t = t.select(["piece", "windows", "words"]).take(pa.array(order[start]))
-        piece, windows = t["piece"].to_numpy(), t["windows"].to_numpy()
-        size = pc.binary_length(t["words"]).to_numpy().astype(np.int64) // 4
-        words = np.frombuffer(b"".join(t["words"].to_pylist()), np.uint32)
+        piece, windows, least, most = (t.column(c).to_numpy() for c in ("piece", "windows", "least", "most"))
+        size = pc.binary_length(t.column("words")).to_numpy().astype(np.int64) // 8
+        words = np.frombuffer(b"".join(t.column("words").to_pylist()), np.uint64)
         windows = windows.astype(np.int64)
         firsts = first_docs(words, np.concatenate([[0], np.cumsum(size)]), windows, least)
         ends = np.concatenate([[0], np.cumsum(windows)])
@@ -292,20 +332,21 @@ def repeated(classes: DataFrame, shards: int) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(firsts)).take(pa.array(keep))
         yield pa.record_batch([pa.array(piece[keep]), lists], names=["piece", "firsts"])
 
-    return classes.repartition(shards, "minimiser").mapInArrow(run, "piece long, firsts array<long>")
+    return classes.repartition(n, "shard").mapInArrow(run, "piece long, firsts array<long>")
 
 
-def shards(docs: DataFrame) -> int:
-    """As many that one holds about a quarter of MOST_WORDS, if all pieces repeat."""
-    return max(partitions(docs.sparkSession), 1 + int((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / (MOST_WORDS * 2)))
+def shards(spark, size: int) -> int:
+    """As many for so many bytes of text that one holds about a quarter of MOST_WORDS, if all pieces repeat."""
+    return max(partitions(spark), 1 + int(size / (MOST_WORDS * 4)))
 
 
 def covered(docs: DataFrame) -> DataFrame:
     """doc_id, tie and starts (first words of the windows to remove) for texts that have any."""
     ids = F.coalesce("doc_id", F.lit(int(NO_ID)))
-    shared = docs.sparkSession.sparkContext.broadcast(shared_minimisers(docs))
-    firsts = materialise(repeated(pieces(docs, shared, True), shards(docs)))
-    places = possibly(pieces(docs, shared, False), "piece", bitmap(firsts, "piece")).where("__may").drop("__may")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shared = docs.sparkSession.sparkContext.broadcast(shared_minimisers(docs, size))
+    firsts = materialise(repeated(pieces(docs, shared, True), shards(docs.sparkSession, size)))
+    places = possibly(pieces(docs, shared, False), "piece", firsts, "piece").where("__may").drop("__may")
     met = places.join(firsts, "piece").where(F.array_min("firsts") < ids)
     found = F.filter(F.transform("firsts", lambda f, i: F.when(f < ids, F.col("at") + i)), lambda x: x.isNotNull())
     return met.select("doc_id", "tie", found.alias("starts")).groupBy("doc_id", "tie").agg(F.flatten(F.collect_set("starts")).alias("starts"))
@@ -318,13 +359,14 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     A word goes if a window of 13 words over it also starts in a document with a smaller doc_id. Null and shorter
     texts lose nothing; null text has no words, and kept is then empty. Rows with one doc_id, repeated or not,
     don't take from each other. A null doc_id is greater than any other. Other columns are kept as they are. An
-    empty table gives an empty result. Words are compared by 32-bit and pieces by 64-bit hashes.
+    empty table gives an empty result. A text of any length is worked on whole. Words and pieces are compared by
+    64-bit hashes.
     """
     added = ("kept", "n_words", "n_removed", "spans")
     names = [c for c in docs.columns if c not in added]
     lost = covered(docs).select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("starts").alias("__starts"))
     lost = materialise(lost)
-    rows = possibly(docs.select(*names, F.xxhash64("text").alias("__of")), "__of", bitmap(lost, "__tie"))
+    rows = possibly(docs.select(*names, F.xxhash64("text").alias("__of")), "__of", lost, "__tie")
     some = rows.where("__may")
     some = some.join(lost, some.doc_id.eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__tie")), "left").select(*names, "__starts")
     rows = some.union(rows.where("NOT __may").select(*names, F.lit(None).cast("array<int>")))
