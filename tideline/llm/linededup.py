@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIMILARITY, STEP, hashed_words, materialise, mix, partitions, possibly, slices
+from .common import SIMILARITY, STEP, discard, hashed_words, materialise, mix, partitions, possibly, slices
 
 BUCKETS = 1 << 16
 #: Words of a set that gets a sketch of twice as many bits.
 LARGE = 64
 #: Rows of a prefix word from which they are compared in blocks.
 LONG = 64
+#: Classes of more than this part of all lines are broadcast (fewer than HOT of them, some 60 bytes each).
+HOT = 4096
 #: Classes that a task remembers to have emitted, eight bytes each.
 REMEMBERED = 500_000
 
@@ -288,12 +290,21 @@ def removals(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     every = materialise(places(docs))
     lines, place, name = every.where("bucket IS NULL"), F.struct("doc_id", "tie", "line"), ["class", "rest"]
     # What is one row for each class: hot lines are reduced on the map side.
-    classes = materialise(lines.groupBy(*name).agg(F.min(place).alias("first")))
+    classes = materialise(lines.groupBy(*name).agg(F.min(place).alias("first"), F.count("*").alias("n")))
     some = candidates(prefixes(docs, rarity(every), t), t).groupBy("class").agg(F.collect_set("word").alias("under"))
     late = matched(members(docs, some.join(classes, "class").select(*name, "under", "first.*")), t)
-    state = classes.join(late.withColumn("late", F.lit(True)), name, "left")
-    lost = lines.select(*name, "doc_id", "tie", "line").join(state, name).where(F.coalesce("late", F.lit(False)) | ~place.eqNullSafe(F.col("first")))
-    return materialise(lost.groupBy("doc_id", "tie").agg(F.collect_set("line").alias("lines")))
+    state = materialise(classes.join(late.withColumn("late", F.lit(True)), name, "left"), instead=classes)
+    # At most HOT classes have so many lines; they are broadcast, and their lines needn't meet in a task.
+    limit = (state.agg(F.sum("n")).first()[0] or 0) // HOT
+    hot = F.broadcast(state.where(F.col("n") > limit).select(*name, F.col("first").alias("own"), F.coalesce("late", F.lit(False)).alias("gone")))
+    rows = lines.select(*name, "doc_id", "tie", "line").join(hot, name, "left")
+    hot_lost = rows.where(F.col("own").isNotNull() & (F.col("gone") | ~place.eqNullSafe(F.col("own"))))
+    rows = rows.where("own IS NULL").drop("own", "gone").join(state.where(F.col("n") <= limit), name)
+    lost = rows.where(F.coalesce("late", F.lit(False)) | ~place.eqNullSafe(F.col("first")))
+    lost = lost.select("doc_id", "tie", "line").union(hot_lost.select("doc_id", "tie", "line"))
+    found = materialise(lost.groupBy("doc_id", "tie").agg(F.collect_set("line").alias("lines")), instead=every)
+    discard(state)
+    return found
 
 
 def dedup_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
