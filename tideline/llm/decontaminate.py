@@ -4,7 +4,9 @@ Names, numbers and units of a text become typed placeholders; punctuation and ca
 words are hashed and joined with those of the benchmark. A document that holds at least `share` of an item's
 windows is a candidate; on each alignment of the two, the placeholders must then be filled consistently (one
 value of the item always by one value of the document, and the other way round), as in a re-parameterised
-question. Windows with fewer than two words that are not placeholders say nothing and are not used.
+question. Windows with fewer than two words that are not placeholders say nothing and are not used. An item without
+any other window is met by windows of its plain words, values included; one of fewer than five words by the whole
+lines that consist of its words.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from .common import SHINGLE_WORDS, materialise
 #: Units that may follow a number.
 UNITS = "km|m|cm|mm|mi|miles|ft|feet|in|inch|inches|kg|g|mg|lb|lbs|oz|tons?|l|ml|litres?|liters?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|mph|kmh|usd|eur|dollars?|euros?|cents?|percent|degrees?|celsius|fahrenheit"
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
-#: Benchmark windows up to this many are broadcast (about 40 bytes each); more are joined by a shuffle.
+#: Benchmark windows up to this many are broadcast (about 40 bytes each); more are joined by a shuffle, with one result.
 MOST_BROADCAST = 250_000
 
 
@@ -36,9 +38,16 @@ def template(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(w < F.lit("\u0004"), F.substring(w, 1, 1)).otherwise(F.lower(w)))
 
 
-def windows(rows: DataFrame, keys: list[str], text: str, at: str, telling: bool = False) -> DataFrame:
-    """keys, h (hash) and the place `at` of each window; telling: of those that are used."""
-    words = rows.select(*keys, template(marked(F.coalesce(F.col(text), F.lit("")))).alias("__w"))
+def plain(words: Column) -> Column:
+    """The words without their marks, in lower case."""
+    return F.transform(words, lambda w: F.lower(F.translate(w, NAME + NUMBER + UNIT, "")))
+
+
+def windows(rows: DataFrame, keys: list[str], text: str, at: str, telling: bool = False, values: bool = False) -> DataFrame:
+    """keys, h (hash) and the place `at` of each window; telling: of those that are used; values: of the words as they
+    are and not of the template."""
+    form = plain if values else template
+    words = rows.select(*keys, form(marked(F.coalesce(F.col(text), F.lit("")))).alias("__w"))
     n = SHINGLE_WORDS
     # A hash of each word first: windows then are of numbers. Placeholders are 1 to 3.
     hashed = words.select(*keys, F.transform("__w", lambda w: F.when(w < F.lit("\u0004"), F.ascii(w).cast("long")).otherwise(F.xxhash64(w))).alias("__h"))
@@ -51,27 +60,51 @@ def windows(rows: DataFrame, keys: list[str], text: str, at: str, telling: bool
     return hashed.select(*keys, F.posexplode(F.transform(starts, lambda i: F.when(words_in(i) >= 2, h(i)))).alias(at, "h")).where("h is not null")
 
 
+def small(df: DataFrame, n: int) -> DataFrame:
+    """df with a hint to broadcast it if n rows are few enough."""
+    return F.broadcast(df) if n <= MOST_BROADCAST else df
+
+
+def unmet(items: DataFrame, asked: DataFrame) -> DataFrame:
+    """The items that have no usable window."""
+    some = asked.select(F.col("item_id").alias("i"), F.col("item_tie").alias("t")).distinct()
+    return items.join(some, items.item_id.eqNullSafe(F.col("i")) & (F.col("item_tie") == F.col("t")), "left_anti")
+
+
 def hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each place of a text (at) that holds a window (item_at) of an item: doc_id, tie, item_id, item_tie, item_at, at;
     and the items' windows."""
-    asked = materialise(windows(items.select("item_id", "text").distinct().withColumn("item_tie", F.xxhash64("text")), ["item_id", "item_tie"], "text", "item_at", telling=True))
-    n = asked.count()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    found = windows(keyed, ["doc_id", "tie"], "text", "at")
-    return found.join(F.broadcast(asked) if n <= MOST_BROADCAST else asked, "h"), asked
+    asked = materialise(windows(items, ["item_id", "item_tie"], "text", "item_at", telling=True))
+    other = materialise(windows(unmet(items, asked), ["item_id", "item_tie"], "text", "item_at", values=True))
+    found = windows(keyed, ["doc_id", "tie"], "text", "at").join(small(asked, asked.count()), "h")
+    if n := other.count():
+        found = found.union(windows(keyed, ["doc_id", "tie"], "text", "at", values=True).join(small(other, n), "h"))
+    return found, asked.union(other)
+
+
+def short_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """leaks() of the items of one to four words: whole lines of the same words."""
+    named = lambda text: F.xxhash64(F.array_join(plain(marked(text)), " "))
+    some = materialise(items.withColumn("__n", F.size(marked(F.coalesce("text", F.lit(""))))).where(F.col("__n").between(1, SHINGLE_WORDS - 1)).select("item_id", named(F.col("text")).alias("h")))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.explode(F.split("text", "\n")).alias("__l")) if (n := some.count()) else docs.select("doc_id", F.lit(0).cast("long").alias("tie"), F.lit("").alias("__l")).limit(0)
+    met = lines.select("doc_id", "tie", named(F.col("__l")).alias("h")).join(small(some, n), "h")
+    return met.select("doc_id", "tie", "item_id", F.lit(1.0).alias("found"), F.lit(True).alias("exact")).distinct()
 
 
 def leaks(docs: DataFrame, items: DataFrame, share: float = 0.5) -> DataFrame:
     """doc_id, tie, item_id, found (share of the item's windows) and exact (no value differs) of each leak."""
+    items = items.select("item_id", "text").distinct().withColumn("item_tie", F.xxhash64("text"))
     met, asked = hits(docs, items)
     sizes = asked.groupBy("item_id", "item_tie").agg(F.count_distinct("item_at").alias("windows"))
     shift = F.col("at") - F.col("item_at")
     near = met.groupBy("doc_id", "tie", "item_id", "item_tie").agg(F.count_distinct("item_at").alias("n"), F.collect_set(shift).alias("shifts"))
-    near = near.join(F.broadcast(sizes) if asked.count() <= MOST_BROADCAST else sizes, ["item_id", "item_tie"]).where(F.col("n") >= share * F.col("windows"))
+    sizes = sizes.select(F.col("item_id").alias("i"), F.col("item_tie").alias("t"), "windows")
+    near = near.join(small(sizes, asked.count()), near.item_id.eqNullSafe(F.col("i")) & (near.item_tie == F.col("t"))).drop("i", "t").where(F.col("n") >= share * F.col("windows"))
     near = materialise(near)
     # The words of candidate documents and items: keys with a null id are met by the hash of the text alone.
     texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("tie"), "text").join(near.select(F.col("doc_id").alias("d"), "tie").distinct(), ["tie"], "left_semi").dropDuplicates(["d", "tie"])
-    asks = items.select(F.col("item_id").alias("i"), F.xxhash64("text").alias("item_tie"), F.col("text").alias("item_text")).dropDuplicates(["i", "item_tie"])
+    asks = items.select(F.col("item_id").alias("i"), "item_tie", F.col("text").alias("item_text"))
     pairs = near.join(texts, (near.tie == texts.tie) & near.doc_id.eqNullSafe(F.col("d"))).drop(texts.tie).join(asks, (near.item_tie == asks.item_tie) & near.item_id.eqNullSafe(F.col("i"))).drop(asks.item_tie)
     # Written, so that the words are not made anew for each place of an alignment.
     pairs = materialise(pairs.select("doc_id", "tie", "item_id", "n", "windows", "shifts", marked(F.col("text")).alias("w"), marked(F.col("item_text")).alias("v")))
@@ -88,14 +121,14 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = 0.5) -> DataFrame:
 
     fine = pairs.where(F.exists("shifts", consistent))
     exact = F.exists("shifts", lambda s: F.forall(slots(s), lambda p: p.x == p.y))
-    return fine.select("doc_id", "tie", "item_id", (F.col("n") / F.col("windows")).alias("found"), exact.alias("exact"))
+    return fine.select("doc_id", "tie", "item_id", (F.col("n") / F.col("windows")).alias("found"), exact.alias("exact")).union(short_leaks(docs, items))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.5) -> DataFrame:
     """doc_id, contaminated, n_items and item_ids (ascending) of each row of docs.
 
-    Null and empty texts hold nothing; items with fewer than five words or no usable window are never found.
-    Rows with a null doc_id are judged; a null item_id counts in n_items and is left out of item_ids. Repeated
+    Null and empty texts hold nothing, and null and empty items are never found. A text of any length is judged
+    whole; a share equal to `share` is a leak. Items that are equal but for their ids are found alike. Rows with a null doc_id are judged; a null item_id counts in n_items and is left out of item_ids. Repeated
     rows come out as often as they come in; other columns are ignored; an empty table gives an empty result,
     and with an empty benchmark nothing is contaminated.
     """
