@@ -1,10 +1,12 @@
 """Language ID of the words of code-switched text by a linear-chain conditional random field.
 
-The words of a line are a chain (lines of over CHAIN words are several). A word's features are its affixes of one
+The words of a line are a chain, however long. A word's features are its affixes of one
 to three characters, its character bigrams and trigrams, the word itself, and whether it is in the lexicon of a
 language (its most frequent words in the sample); all but the lexicon are hashed. The weights of the features and
-of the transitions between languages are learned together by maximising the likelihood of the training lines;
-forward-backward gives each word's marginals. A text has the language with the greatest sum of marginals.
+of the transitions between languages are learned together by maximising the likelihood of the training lines, some
+of which are joined from the halves of two lines of different languages, so that switches are seen;
+forward-backward gives each word's marginals, and its label is the likeliest. A text has the language with the
+greatest sum of marginals.
 """
 
 from __future__ import annotations
@@ -19,9 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import held_out, mix, owner, slices, split_lines, words_of
 
-#: About this many texts of each language are learned from, and this many languages, the most frequent, at most.
-MOST_TEXTS, MOST_LANGUAGES = 120, 64
-HASHED, LEXICON, CHAIN, ROUNDS = 1 << 16, 200, 256, 45
+#: About this many texts of each language are learned from (default of a parameter); all languages are.
+MOST_TEXTS = 120
+HASHED, LEXICON, ROUNDS = 1 << 16, 200, 45
+#: One line joined of two languages for so many lines.
+JOINED = 4
 
 
 def clean(vocab: pa.Array) -> pa.Array:
@@ -44,9 +48,7 @@ def chains(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Arra
     code = code[keep]
     first = np.concatenate([[True], line[1:] != line[:-1]]) if len(line) else np.zeros(0, bool)
     begin = np.flatnonzero(first)
-    place = np.arange(len(line)) - np.repeat(begin, np.diff(np.append(begin, len(line)))) if len(line) else np.zeros(0, np.int64)
-    start = np.flatnonzero(place % CHAIN == 0)
-    return doc[line[start]], np.append(start, len(line)), code, again.dictionary
+    return doc[line[begin]], np.append(begin, len(line)), code, again.dictionary
 
 
 def features(vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -128,11 +130,30 @@ class Crf:
         return (m, moves) if pairs else m
 
 
+def joined(bounds: np.ndarray, gold: np.ndarray, seed: int = 0) -> list[np.ndarray]:
+    """For some chains, word numbers of a new one: the first half of it and the second of one of another language."""
+    r, size = np.random.default_rng(seed), np.diff(bounds)
+    long = np.flatnonzero(size > 1)
+    out = []
+    for i in long[r.permutation(len(long))[: len(long) // JOINED]]:
+        other = long[r.integers(0, len(long), 16)]
+        other = other[gold[other] != gold[i]]
+        if len(other):
+            j = other[0]
+            out.append(np.concatenate([np.arange(bounds[i], bounds[i] + size[i] // 2), np.arange(bounds[j] + size[j] // 2, bounds[j + 1])]))
+    return out
+
+
 def learn(texts: pa.Array, labels: list[str]) -> Crf:
     languages = sorted(set(labels))
     doc, bounds, code, vocab = chains(texts)
-    gold = np.array([languages.index(x) for x in labels])[doc]
+    number = {x: i for i, x in enumerate(languages)}
+    gold = np.array([number[x] for x in labels], np.int64)[doc]
     label = np.repeat(gold, np.diff(bounds))
+    more = joined(bounds, gold)
+    words = np.concatenate([np.arange(len(code)), *more])
+    code, label = code[words], label[words]
+    bounds = np.concatenate([bounds, bounds[-1] + np.cumsum([len(x) for x in more], dtype=np.int64)])
     k, n = len(languages), len(code)
     by = np.zeros((k, len(vocab)))
     np.add.at(by, (label, code), 1)
@@ -162,33 +183,32 @@ def learn(texts: pa.Array, labels: list[str]) -> Crf:
     return crf
 
 
-def trained(docs: DataFrame) -> Crf | None:
+def trained(docs: DataFrame, most_texts: int = MOST_TEXTS) -> Crf | None:
+    """Learned from about most_texts texts of each language of the rows that are not held out."""
     free = docs.where("lang is not null and text is not null").where(~held_out("doc_id", 4, 2))
-    rows = free.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not rows:
-        return None
-    pick = F.lit(False)
-    for r in rows:
-        pick = pick | ((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, MOST_TEXTS / r["count"]))))
-    got = free.where(pick).select("doc_id", F.xxhash64("text").alias("tie"), "text", "lang").toArrow().sort_by([("doc_id", "ascending"), ("tie", "ascending")])
+    count = free.groupBy("lang").agg(F.count("*").alias("__n"))
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) * F.col("__n") < F.lit(most_texts << 30)
+    got = free.join(F.broadcast(count), "lang").where(chosen).select("doc_id", F.xxhash64("text").alias("tie"), "text", "lang").toArrow().sort_by([("doc_id", "ascending"), ("tie", "ascending")])
     return learn(got["text"].combine_chunks(), got["lang"].to_pylist()) if got.num_rows else None
 
 
 def identify(docs: DataFrame, crf: Crf | None) -> DataFrame:
-    """doc_id, lang_pred, score (mean marginal of that language over the text's words) and switches (changes of
-    the likeliest language from word to word) of each row of docs.
+    """doc_id, lang_pred, score (mean marginal of that language over the text's words), switches (changes of label
+    from word to word) and labels (runs of words of one label: first and last word, of those with a letter, from 0,
+    and the language) of each row of docs.
 
-    Null text and text without a letter: und, score 0. Without a model, every text is und. Ties go to the language
+    A text of any length is labelled whole. Null text and text without a letter: und, score 0. Without a model, every text is und. Ties go to the language
     first in order of name. Repeated rows come out as often as they come in; other columns are ignored; an empty
     table gives an empty result. Rows with a null doc_id are judged, and are not held out.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(crf)  # HASHED weights for each of MOST_LANGUAGES at most
+    sent = docs.sparkSession.sparkContext.broadcast(crf)  # HASHED weights for each language, whatever the rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = sent.value
         for b in slices(batches):
             n = b.num_rows
             names, score, switches = np.full(n, "und", object), np.zeros(n), np.zeros(n, np.int64)
+            of = best = np.zeros(0, np.int64)
             doc, bounds, code, vocab = chains(b.column(1)) if crf else (np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), None)
             if len(code):
                 feature, starts = features(vocab)
@@ -201,9 +221,14 @@ def identify(docs: DataFrame, crf: Crf | None) -> DataFrame:
                 score[some] = np.clip(sums[some].max(axis=1) / total[some], 0, 1)
                 best = m.argmax(axis=1)
                 switches = np.bincount(of[1:], (best[1:] != best[:-1]) & (of[1:] == of[:-1]), n).astype(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(switches)], names=["doc_id", "lang_pred", "score", "switches"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, switches long")
+            begin = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (of[1:] != of[:-1])])[: len(of)])
+            base, first = np.searchsorted(of, of[begin]), np.searchsorted(of[begin], np.arange(n + 1))
+            said = pa.array(crf.languages if crf else [], pa.string()).take(pa.array(best[begin]))
+            parts = [pa.array((begin - base).astype(np.int32)), pa.array((np.append(begin[1:], len(of)) - 1 - base).astype(np.int32)), said]
+            labels = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays(parts, ["first", "last", "lang"]))
+            yield pa.record_batch([b.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(switches), labels], names=["doc_id", "lang_pred", "score", "switches", "labels"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, switches long, labels array<struct<first:int,last:int,lang:string>>")
 
 
 def predict(docs: DataFrame) -> DataFrame:
