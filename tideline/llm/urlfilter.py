@@ -4,8 +4,8 @@ Two Markov models of order 3, one of accepted and one of rejected URLs, are smoo
 (Witten-Bell), so the order in use varies with what a context has been seen to be followed by. A URL's score
 is the mean difference of log-likelihood for each character, calibrated on a held-out fold.
 
-Labels come from seed words in the host (a parameter). Counts are gathered over all URLs; the table of
-character sequences has SYMBOLS ** (ORDER + 1) entries at most, which bounds what is broadcast (11 MB).
+Labelled URLs are a parameter; without them, the table's own URLs are labelled by seed words in the host (another
+parameter). Counts are gathered over all labelled URLs but the held-out fold; the table of character sequences has SYMBOLS ** (ORDER + 1) entries at most, which bounds what is broadcast (11 MB).
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bucket
+from .common import slices
 
 ORDER = 3
 #: Characters with a symbol of their own; all digits count as 0, any other as one symbol.
@@ -78,7 +79,7 @@ def counted(labelled: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * SYMBOLS ** (ORDER + 1), np.int32)
-        for b in batches:
+        for b in slices(batches, 0):
             runs, starts = symbols(b.column(0))
             bad = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             code, n = np.unique(runs + np.repeat(bad, np.diff(starts)) * SYMBOLS ** (ORDER + 1), return_counts=True)
@@ -123,31 +124,43 @@ def calibrated(scores: DataFrame) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def judge(pages: DataFrame, rules=RULES, seeds=SEEDS, threshold: float = 0.5) -> DataFrame:
+def scored(rows: DataFrame, ratio) -> DataFrame:
+    """rows with `score`, the mean log-likelihood difference over the characters of the column url; ratio: a broadcast
+    table."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, names.index("url")):
+            runs, starts = symbols(b.column(names.index("url")))
+            score = np.add.reduceat(ratio.value[runs].astype(np.float64), starts[:-1]) / np.diff(starts) if b.num_rows else np.zeros(0)
+            yield pa.record_batch([*b.columns, pa.array(score)], names=[*names, "score"])
+
+    return rows.mapInArrow(run, T.StructType(list(rows.schema.fields)).add("score", T.DoubleType()))
+
+
+def seeded(pages: DataFrame, seeds=SEEDS) -> DataFrame:
+    """url and rejected of the URLs with a host: rejected if a word of the host is a seed."""
+    host = host_of(F.col("url"))
+    return pages.where(host != "").select("url", F.arrays_overlap(F.split(host, r"[.\-]"), F.lit(list(seeds))).alias("rejected"))
+
+
+def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block), score (mean log-likelihood difference for each
     character; above 0: more like accepted URLs) and p_block of each row of pages.
 
-    A rule that fits decides; else the URL is blocked if p_block >= threshold. A null URL or one without ://
-    has empty host and path, fits no rule, and is judged as the text it is. Without accepted or rejected URLs
-    to learn from, nothing is blocked but by rules. Repeated rows come out as often as they come in; other
-    columns are ignored; an empty table gives an empty result.
+    labelled(url, rejected): what is learned from, nulls left out; by default seeded(pages). A rule that fits decides;
+    else the URL is blocked if p_block >= threshold, also if they are equal. A null URL or one without :// has empty
+    host and path, fits no rule, and is judged as the text it is; a URL of any length is judged whole. Without accepted
+    or rejected URLs to learn from, nothing is blocked but by rules. Repeated rows come out as often as they come in;
+    other columns are ignored; an empty table gives an empty result.
     """
-    rows = pages.select("page_id", "url").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    words = F.split("host", r"[.\-]")
-    rows = rows.withColumn("rejected", F.arrays_overlap(words, F.lit(list(seeds))))
-    fold = F.coalesce(bucket("page_id", 5), F.lit(1))
-    counts = counted(rows.where((fold != 0) & (F.col("host") != "")))
+    known = (seeded(pages) if labelled is None else labelled).where("url is not null and rejected is not null").select("url", "rejected")
+    fold = F.crc32(F.col("url")) % 5
+    counts = counted(known.where(fold != 0))
     accepted, refused = smoothed(counts[0]), smoothed(counts[1])
     ratio = pages.sparkSession.sparkContext.broadcast((accepted - refused).astype(np.float32).ravel())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            runs, starts = symbols(b.column(1))
-            score = np.add.reduceat(ratio.value[runs].astype(np.float64), starts[:-1]) / np.diff(starts) if b.num_rows else np.zeros(0)
-            yield pa.record_batch([*b.columns, pa.array(score)], names=[*b.schema.names, "score"])
-
-    scored = rows.mapInArrow(run, "page_id long, url string, host string, path string, rejected boolean, score double")
-    slope, intercept = calibrated(scored.where((fold == 0) & (F.col("host") != "")).select("score", "rejected"))
+    slope, intercept = calibrated(scored(known.where(fold == 0), ratio).select("score", "rejected"))
+    rows = scored(pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), ratio)
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     p = 1 / (1 + F.exp(-(F.lit(slope) * F.col("score") + F.lit(intercept))))
-    return scored.select("page_id", "host", "path", rule.alias("rule"), "score", p.alias("p_block"), F.coalesce(says, F.when(p >= threshold, "block").otherwise("allow")).alias("verdict"))
+    return rows.select("page_id", "host", "path", rule.alias("rule"), "score", p.alias("p_block"), F.coalesce(says, F.when(p >= threshold, "block").otherwise("allow")).alias("verdict"))
