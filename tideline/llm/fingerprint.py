@@ -4,9 +4,10 @@ A text is the multiset of its non-empty paragraphs (split at line feeds). Each p
 STRONG + LANES numbers, and the fingerprint is their sum modulo 2**32, lane by lane. So the order of paragraphs
 does not matter, and paragraphs can be added to or taken from a fingerprint without the text.
 
-The strong lanes are words of the paragraph's SHA-256: equal fingerprints mean equal multisets. The other lanes
-count, for each bit of a 64-bit hash of the paragraph's runs of three words, set less unset bits; the cosine of
-two such vectors estimates the share of runs that two texts have in common.
+The strong lanes are the words of two SHA-512 digests of the paragraph, 1,024 bits in all: wide enough that lists of
+paragraphs of one sum can't be had by a generalised birthday search (some 2**64 steps). The other lanes count, for
+each bit of two 64-bit hashes of the paragraph's runs of three words, set less unset bits; the cosine of two such
+vectors estimates the share of runs that two texts have in common, with a deviation of about 1 / sqrt(LANES).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STRONG, LANES, RUN = 8, 64, 3
+STRONG, LANES, RUN = 32, 128, 3
 #: Ranges of doc_id, at most: bounds what the driver and a broadcast hold (a doc_id and a hash for each).
 MOST_RANGES, ROWS_PER_RANGE = 1 << 16, 1000
 
@@ -24,8 +25,9 @@ def paragraphs(text: Column) -> Column:
 
 
 def strong(paras: Column) -> Column:
-    """Sums of the eight 32-bit words of each paragraph's SHA-256."""
-    digests = F.transform(paras, lambda p: F.sha2(p.cast("binary"), 256))
+    """Sums of the 32-bit words of two SHA-512 digests of each paragraph."""
+    digest = lambda p, salt: F.sha2(F.concat(F.lit(salt), p).cast("binary"), 512)
+    digests = F.transform(paras, lambda p: F.concat(digest(p, "0"), digest(p, "1")))
     word = lambda s, k: F.conv(F.substring(s, 8 * k + 1, 8), 16, 10).cast("long")
     lane = lambda k: F.aggregate(digests, F.lit(0).cast("long"), lambda a, s: F.pmod(a + word(s, k), F.lit(1 << 32)))
     return F.array(*map(lane, range(STRONG)))
@@ -48,11 +50,13 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataF
     # In two steps: what stands beside a generator is made anew for each row that it gives.
     hashed = paras.select(*keys, strong(F.col("__p")).alias("__s"), runs(F.col("__p")).alias("__r"))
     rows = hashed.select(*keys, "__s", F.explode_outer("__r").alias("__h"))
-    # Two lanes to a number: the bits i and i + 32 of the hash, 32 bits apart, so that 32 sums do for 64 lanes.
-    pair = lambda i: F.shiftrightunsigned("__h", i).bitwiseAND(F.lit(0x100000001))
-    sums = rows.groupBy(*keys, "__s").agg(F.count("__h").alias("__n"), *(F.coalesce(F.sum(pair(i)), F.lit(0)).alias(f"__{i}") for i in range(LANES // 2)))
-    low = [F.col(f"__{i}").bitwiseAND(F.lit(0xFFFFFFFF)) for i in range(LANES // 2)]
-    high = [F.shiftrightunsigned(f"__{i}", 32) for i in range(LANES // 2)]
+    # Two lanes to a number: the bits i and i + 32 of a hash, 32 bits apart, so that one sum does for two lanes.
+    hashes, half = [F.col("__h"), F.xxhash64(F.col("__h"))], LANES // 4
+    pair = lambda h, i: F.shiftrightunsigned(h, i).bitwiseAND(F.lit(0x100000001))
+    lanes = [(k, i) for k in range(len(hashes)) for i in range(half)]
+    sums = rows.groupBy(*keys, "__s").agg(F.count("__h").alias("__n"), *(F.coalesce(F.sum(F.when(F.col("__h").isNotNull(), pair(hashes[k], i))), F.lit(0)).alias(f"__{k}_{i}") for k, i in lanes))
+    low = [F.col(f"__{k}_{i}").bitwiseAND(F.lit(0xFFFFFFFF)) for k, i in lanes]
+    high = [F.shiftrightunsigned(f"__{k}_{i}", 32) for k, i in lanes]
     counts = [F.pmod(2 * c - F.col("__n"), F.lit(1 << 32)) for c in (*low, *high)]
     return sums.select(*keys, F.concat(F.col("__s"), F.array(*counts)).alias("vector"))
 
@@ -111,7 +115,7 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     """For each row of docs: its fingerprint, that of its text with the last quarter replaced from the next
     document's start, and their likeness.
 
-    Null text counts as empty. Rows come in ascending doc_id, null first, rows with one doc_id by a hash of
+    Null text counts as empty; a text of any length counts whole. Rows come in ascending doc_id, null first, rows with one doc_id by a hash of
     the text; the last row's next is the first, also if there is only one row. Columns other than doc_id and
     text are ignored. An empty table gives an empty result.
     """
