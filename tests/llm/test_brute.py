@@ -198,3 +198,19 @@ def test_url_models(spark, folder):
     free = got[got.rule.isna()]
     bad = free.host.str.contains(r"casino|bets|pills|ads-track|adult|spam")
     assert (free[bad].verdict == "block").mean() > 0.95 and (free[~bad].verdict == "allow").mean() > 0.99
+
+
+def test_labels_of_mixed_text(spark):
+    """Words of lines of two languages get their own labels; a 70th language is learned too."""
+    r = np.random.default_rng(3)
+    sounds = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "ter"], "cc": ["ión", "que", "ñas"]}
+    word = lambda k: "".join(r.choice(sounds[k], 3))
+    line = lambda k, n: " ".join(word(k) for _ in range(n))
+    rows = [(i, "\n".join(line(k, 8) for _ in range(5)), k) for i, k in enumerate(sorted(sounds) * 30)]
+    rows += [(1000 + i, f"zz{i} yy{i} xx{i}", f"l{i:02}") for i in range(70)]
+    crf = langid.trained(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(crf.languages) > 40
+    mixed = spark.createDataFrame([(1, line("aa", 400) + " " + line("bb", 300)), (2, "12 ?"), (3, line("cc", 5))], "doc_id long, text string")
+    got = {x.doc_id: x for x in langid.identify(mixed, crf).collect()}
+    assert [(x.first, x.last, x.lang) for x in got[1].labels] == [(0, 399, "aa"), (400, 699, "bb")] and got[1].switches == 1 and got[1].lang_pred == "aa"
+    assert got[2].labels == [] and got[2].lang_pred == "und" and got[3].lang_pred == "cc"

@@ -124,12 +124,15 @@ def build(m: Model, prefix: bool = True):
     if m.kind == 1:
         t = Tokenizer(models.Unigram([(p, s) for p, s, _ in m.pieces], m.unk_id, m.byte_fallback))
     elif m.kind == 2:
-        t = Tokenizer(models.BPE({p: i for i, (p, _, _) in enumerate(m.pieces)}, merges(m), unk_token=m.pieces[m.unk_id][0], fuse_unk=True, byte_fallback=m.byte_fallback))
+        own = [p for p, _, kind in m.pieces if kind == USER]
+        t = Tokenizer(models.BPE({p: i for i, (p, _, _) in enumerate(m.pieces)}, merges(m), unk_token=m.pieces[m.unk_id][0], fuse_unk=True, byte_fallback=m.byte_fallback, ignore_merges=bool(own)))
+        if own:  # pieces that users define are split off first, the longest at each place
+            t.pre_tokenizer = pre_tokenizers.Split(Regex("|".join(re.escape(p) for p in sorted(own, key=len, reverse=True))), "isolated")
     else:
         raise ValueError(f"model type {m.kind} is neither unigram nor BPE")
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
     if m.extra_spaces_removed:
-        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
+        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex(r"\A +| +\z"), "")]  # spaces only, as the library does
     if m.dummy_prefix and prefix:
         steps.append(normalizers.Prepend(" "))
     if m.spaces_escaped:
