@@ -154,8 +154,7 @@ def floats(column: pa.Array) -> np.ndarray:
 
 def featured(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep` and __f, the features of a text as bytes of 32-bit floats; written once, read often."""
-    names = keep if "text" in keep else [*keep, "text"]
-    at, out = names.index("text"), range(len(keep))
+    names, at, out = [*keep, "text"], len(keep), range(len(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, at):
@@ -257,14 +256,14 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, all columns, that score() doesn't reject; an empty table gives an empty result."""
-    rows = featured(docs, docs.columns)
-    net, prior = model(rows, labels)
+    """The rows of docs, all columns, that score() doesn't reject; an empty table gives an empty result. Features are
+    made again here: writing all texts with them would cost the disk that they take."""
+    net, prior = model(featured(docs, ["doc_id"]), labels)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, names.index("text")):
-            s = net.score(floats(b.column(len(names)))) if net else np.full(b.num_rows, prior)
-            yield b.select(range(len(names))).filter(pa.array(s >= threshold))
+            s = net.score(features(b.column(names.index("text"))).astype(np.float32)) if net else np.full(b.num_rows, prior)
+            yield b.filter(pa.array(s >= threshold))
 
-    return rows.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
