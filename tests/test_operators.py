@@ -58,6 +58,37 @@ def test_worked_profile(spark):
     got = evidence.reasons(evidence.profile(spark.createDataFrame([row]))).first()
     assert abs(got["score"] - 0.4997) < 1e-4 and got["classification"] == "moderate_over"
     assert got["reasons"][:1] == ["window_agreement_support"]
+    # Rules of the method, one change of the row at a time: class, cap, direction, reasons that must be there.
+    flat = {"a5": 5, "b5": 0, "a10": 9, "b10": 1, "a20": 18, "b20": 2, "as": 60, "bs": 5, "avg10": 6.0, "med10": 6.0, "avgs": 6.0, "meds": 6.0, "consensus": 24.0, "books_at_line": 8}
+    cases = [
+        (flat, "strong_over", "none", "over", {"positive_margin_support", "favorable_consensus_difference"}),
+        (flat | {"books": 2, "books_at_line": 2}, "moderate_over", "insufficient_book_coverage", "over", {"insufficient_book_coverage"}),
+        (flat | {"one_sided": "over_only"}, "moderate_over", "one_sided_offering", "over", {"one_sided_offering"}),
+        (flat | {"freshness": "stale"}, "moderate_over", "stale_current_market", "over", {"stale_current_market"}),
+        (flat | {"e10": 4}, "moderate_over", "push_heavy_sample", "over", {"push_heavy_sample"}),
+        # Market against history is a cap, not a mixed profile.
+        (flat | {"consensus": 12.0}, "moderate_over", "market_disagrees_with_history", "over", {"market_disagrees_with_history", "unfavorable_consensus_difference"}),
+        (flat | {"a10": 1, "b10": 9}, "mixed", "none", None, {"windows_disagree"}),
+        (flat | {"as": 20, "bs": 21}, "strong_over", "none", "over", set()),  # the season's sign is no clause
+        (flat | {"span_days": None}, "insufficient_evidence", "none", None, {"incomplete_historical_coverage"}),
+        (flat | {"n10": 4, "ns": 4}, "insufficient_evidence", "none", None, {"insufficient_l10_sample", "incomplete_historical_coverage"}),
+        (flat | {"game_status": "postponed", "books": 0}, "unavailable", "none", None, {"postponed_game"}),
+        (flat | {"player_resolved": False, "event_resolved": False}, "unavailable", "none", None, {"unresolved_player_mapping"}),
+        (flat | {"freshness": "stale", "books": 0}, "unavailable", "none", None, {"no_current_market"}),
+        (flat | {"consensus": None, "availability": "source_unavailable"}, "unavailable", "none", None, {"no_unique_consensus_line", "source_unavailable"}),
+    ]
+    base = row | {"game_status": "scheduled", "player_resolved": True, "event_resolved": True, "freshness": "fresh", "availability": "present", "k": 0}
+    schema = ", ".join(f"`{k}` {'string' if isinstance(v, str) else 'boolean' if isinstance(v, bool) else 'double' if isinstance(v, float) else 'int'}" for k, v in base.items())
+    rows = spark.createDataFrame([tuple((base | c[0] | {"k": i}).values()) for i, c in enumerate(cases)], schema)
+    for r in evidence.reasons(evidence.profile(rows)).collect():
+        _, want, cap, direction, codes = cases[r["k"]]
+        assert (r["classification"], r["cap"], r["direction"]) == (want, cap, direction), (r["k"], r["score"], r["caps"])
+        assert codes <= set(r["reasons"]), (r["k"], r["reasons"])
+        assert (r["score"] is None) == (want in ("unavailable", "insufficient_evidence"))
+        assert want not in ("unavailable", "insufficient_evidence") or codes == set(r["reasons"])
+    signs = spark.createDataFrame([(1.0, 1.0, -1.0, -1.0), (1.0, 1.0, 1.0, 0.0), (-1.0, -1.0, -1.0, -1.0), (0.0, -0.5, 0.2, 0.2)], "a double, b double, c double, d double")
+    got = [round(x[0], 6) for x in signs.select(evidence.window_agreement([signs[c] for c in "abcd"])).collect()]
+    assert got == [-1.0, 0.75, -1.0, 0.1]
 
 
 def test_close_boundary_and_capture(spark):

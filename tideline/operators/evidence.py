@@ -1,7 +1,9 @@
 """The evidence profile: four components, composite, quality rules, classes and reasons, as columns of one row.
 
-Input columns: line, below/above/equal counts and avg/median minus threshold of L10, L20 and season (a10, b10, e10,
-avg10, med10, ... with 20 and s), n10, n20, ns, consensus line, books, books_at_line, net movement, normaliser m.
+Input columns: line, below/above/equal counts and avg/median minus threshold of L5, L10, L20 and season (a5, b5, ...,
+a10, b10, e10, avg10, med10, ... with 20 and s), n10, n20, ns, consensus line, books, books_at_line, net movement,
+normaliser m. Optional: span_days (days of history; null is too few), one_sided, game_status, player_resolved,
+event_resolved, freshness (of the current market), availability (presence of the player's source).
 """
 
 from __future__ import annotations
@@ -39,12 +41,14 @@ def margin_strength(terms: list[Column], m: Column) -> Column:
 
 
 def window_agreement(rds: list[Column]) -> Column:
-    """How far windows agree with the side that most weight is on, signed by it (E-04)."""
+    """How far windows agree with the sign that most weight is on, signed by it (E-04). Windows without a sign count
+    for neither side; where no sign dominates, they are what agrees and every other counts against."""
     signs = [F.signum(r) for r in rds]
     weighted = [s * w for s, w in zip(signs, AGREEMENT, strict=True)]
     dominant = F.signum(sum(weighted[1:], weighted[0]))
-    agree = [w * s * dominant for s, w in zip(signs, AGREEMENT, strict=True)]
-    return sum(agree[1:], agree[0]) * dominant
+    votes = [F.when(s == dominant, 1.0).when(s == 0, 0.0).otherwise(-1.0) * w for s, w in zip(signs, AGREEMENT, strict=True)]
+    raw = sum(votes[1:], votes[0])
+    return clamp(F.when(dominant == 0, raw).otherwise(dominant * raw))
 
 
 def market_alignment(gap: Column, m: Column, coverage: Column, net: Column, blocked: Column) -> Column:
@@ -59,67 +63,92 @@ def composite(c: list[Column]) -> Column:
 
 
 def opposed(a: Column, b: Column) -> Column:
-    return (a * b < 0) & (F.abs(a) >= DISAGREE) & (F.abs(b) >= DISAGREE)
+    return (F.signum(a) * F.signum(b) < 0) & (F.abs(a) >= DISAGREE) & (F.abs(b) >= DISAGREE)
+
+
+#: Causes of an unavailable profile and reasons of a cap, each in the order that decides.
+UNAVAILABLE = ("postponed_game", "canceled_game", "unresolved_player_mapping", "unresolved_event_mapping", "no_current_market", "no_unique_consensus_line")
+CAPS = ("one_sided_offering", "push_heavy_sample", "stale_current_market", "insufficient_book_coverage", "market_disagrees_with_history")
+COMPOSITE_OF = ("trend", "margin", "agreement", "market")
+COMPONENTS = (*COMPOSITE_OF, "score")
+
+
+def optional(rows: DataFrame, name: str, default: Column) -> Column:
+    return F.col(name) if name in rows.columns else default
+
+
+def gates(rows: DataFrame) -> tuple[dict[str, Column], dict[str, Column]]:
+    """What makes a profile unavailable (E-08, E-13), and what makes its evidence insufficient (E-07)."""
+    books, status = F.coalesce("books", F.lit(0)), optional(rows, "game_status", F.lit(""))
+    freshness = optional(rows, "freshness", F.when(books == 0, "unavailable").otherwise("fresh"))
+    stale = freshness.isin("stale", "failed_latest_poll")
+    no_market = (freshness == "unavailable") | (stale & (books == 0))
+    holds = (status == "postponed", status == "canceled", optional(rows, "player_resolved", F.lit(True)) == F.lit(False), optional(rows, "event_resolved", F.lit(True)) == F.lit(False), no_market, F.col("consensus").isNull() & (books > 0))
+    span = optional(rows, "span_days", F.lit(None).cast("int"))
+    few = {"insufficient_l10_sample": F.coalesce(F.col("n10") < MIN_L10, F.lit(True)), "incomplete_historical_coverage": F.coalesce((F.col("ns") < MIN_SEASON) | (span < MIN_DAYS), F.lit(True)) | span.isNull()}
+    return {k: F.coalesce(v, F.lit(False)) for k, v in zip(UNAVAILABLE, holds, strict=True)}, few
 
 
 def profile(rows: DataFrame) -> DataFrame:
-    """Scores and classes of each row (E-01 to E-12): adds rd10, rd20, rds, trend, margin, agreement, market, score,
-    cap and classification. Optional columns one_sided and span_days say what a sample allows."""
+    """Scores and classes of each row (E-01 to E-14): adds rd5, rd10, rd20, rds, trend, margin, agreement, market,
+    score (null where unavailable or insufficient), cause, caps (all that fire), windows_disagree, classification,
+    direction, quality_capped and cap (the reason that held a strong class down to moderate, else none)."""
+    gone, few = gates(rows)
     r = rows
     for k in ("5", "10", "20", "s"):
         r = r.withColumn(f"rd{k}", rate_deviation(F.col(f"a{k}"), F.col(f"b{k}")))
     long = F.when(F.col("n20") >= 10, F.col("rd20")).otherwise(F.col("rds"))
     gap = F.col("consensus") - F.col("line")
     coverage = F.when(F.col("books") > 0, F.col("books_at_line") / F.col("books")).otherwise(F.lit(0.0))
-    one_side = F.coalesce(F.col("one_sided").isin("over_only", "under_only"), F.lit(False))
-    tied = F.col("consensus").isNull()
+    one_side = F.coalesce(optional(rows, "one_sided", F.lit("neither")).isin("over_only", "under_only"), F.lit(False))
+    stale = F.coalesce(optional(rows, "freshness", F.lit("fresh")).isin("stale", "failed_latest_poll"), F.lit(False))
+    cause = first_true([(gone[k], k) for k in UNAVAILABLE], None)
+    r = r.withColumns({"cause": cause, "few_l10": few["insufficient_l10_sample"], "few_season": few["incomplete_historical_coverage"]})
     r = r.withColumns(
         {
             "trend_raw": trend(F.col("rd10"), long, F.col("rds")),
             "margin": margin_strength([F.col("avg10"), F.col("med10"), F.col("avgs"), F.col("meds")], F.col("m")),
             "agreement": window_agreement([F.col(f"rd{k}") for k in ("5", "10", "20", "s")]),
-            "market": market_alignment(gap, F.col("m"), coverage, F.col("net"), tied | one_side),
+            "market": market_alignment(gap, F.col("m"), coverage, F.col("net"), F.col("consensus").isNull() | one_side),
         }
     ).withColumn("trend", clamp(F.col("trend_raw")))
-    r = r.withColumn("score", composite([F.col("trend"), F.col("margin"), F.col("agreement"), F.col("market")]))
-    pushes = F.col("e10") / F.greatest(F.col("n10"), F.lit(1))
-    disagree = opposed(F.col("rd10"), F.col("rd20")) | opposed(F.col("rd10"), F.col("rds")) | opposed(F.col("rd20"), F.col("rds"))
-    market_against = (F.abs(F.col("trend")) >= DISAGREE) & (F.abs(F.col("market")) >= DISAGREE) & (F.col("trend") * F.col("market") < 0)
-    cap = first_true([(one_side, "one_sided_offering"), (pushes > PUSH_SHARE, "push_heavy_sample"), (F.col("books").between(1, MIN_BOOKS - 1), "insufficient_book_coverage"), (market_against, "market_disagrees_with_history")], "none")
-    r = r.withColumns({"cap": cap, "windows_disagree": disagree})
-    size = F.abs(F.col("score"))
-    sign = F.when(F.col("score") > 0, "over").otherwise("under")
-    agree = (F.signum("rd10") == F.signum("score")) & (F.signum("rds") == F.signum("score"))
-    strong = (size >= STRONG) & (F.col("n10") >= MIN_STRONG) & agree & (F.abs(F.col("trend_raw")) >= MODERATE) & (F.col("cap") == "none") & ~disagree
-    return r.withColumn(
-        "classification",
-        F.when((F.col("books") == 0) | tied, "unavailable")
-        .when((F.col("n10") < MIN_L10) | (F.col("ns") < MIN_SEASON) | (F.col("span_days") < MIN_DAYS), "insufficient_evidence")
-        .when(disagree | market_against, "mixed")
-        .when(size < NEUTRAL, "mixed")
-        .when(strong, F.concat(F.lit("strong_"), sign))
-        .when(size >= MODERATE, F.concat(F.lit("moderate_"), sign))
-        .otherwise("mixed"),
-    )
+    r = r.withColumn("score", composite([F.col(c) for c in COMPOSITE_OF]))
+    fires = (one_side, F.coalesce(F.col("e10") / F.col("n10") > PUSH_SHARE, F.lit(False)), stale, F.coalesce(F.col("books").between(1, MIN_BOOKS - 1), F.lit(False)), opposed(F.col("trend"), F.col("market")))
+    scored = F.col("cause").isNull() & ~F.col("few_l10") & ~F.col("few_season")
+    caps = F.when(scored, F.filter(F.array(*[F.when(f, k) for f, k in zip(fires, CAPS, strict=True)]), lambda c: c.isNotNull())).otherwise(F.array().cast("array<string>"))
+    r = r.withColumns({"caps": caps, "windows_disagree": scored & (opposed(F.col("rd10"), F.col("rd20")) | opposed(F.col("rd10"), F.col("rds")) | opposed(F.col("rd20"), F.col("rds")))})
+    size, side = F.abs(F.col("score")), F.when(F.col("score") > 0, "over").otherwise("under")
+    capped = F.size("caps") > 0
+    strong = (size >= STRONG) & (F.col("n10") >= MIN_STRONG) & (F.signum("rd10") == F.signum("score")) & (F.abs(F.col("trend_raw")) >= MODERATE) & ~capped
+    level = F.when(strong, "strong_").when(size >= MODERATE, "moderate_")
+    r = r.withColumn("level", F.when(scored & ~F.col("windows_disagree") & (size >= NEUTRAL), level)).withColumn("direction", F.when(F.col("level").isNotNull(), side))
+    held = F.coalesce((F.col("level") == "moderate_") & capped, F.lit(False))
+    named = F.when(F.col("cause").isNotNull(), "unavailable").when(~scored, "insufficient_evidence").when(F.col("level").isNull(), "mixed").otherwise(F.concat("level", "direction"))
+    r = r.withColumns({"classification": named, "quality_capped": held, "cap": F.when(held, F.get("caps", F.lit(0))).otherwise("none")})
+    return r.withColumns({c: F.when(scored, F.col(c)) for c in (*COMPONENTS, "trend_raw")}).drop("level")
 
 
 def reasons(rows: DataFrame) -> DataFrame:
-    """Ranked reason codes of a profile (E-15, W-05): within a category by size, then by code."""
-    code = lambda category, name, holds, size: F.when(holds, F.struct(F.lit(category).alias("category"), (-F.abs(size)).cast("double").alias("order"), F.lit(name).alias("code")))
-    gap = F.col("consensus") - F.col("line")
-    sign = F.signum("score")
-    zero = F.lit(0.0)
+    """Ranked reason codes of a profile (E-15, W-05): support, contradiction, quality; within each by size, then by
+    code. What makes a profile unavailable or insufficient stands alone, but for a source that is unavailable."""
+    code = lambda category, name, holds, size=None: F.when(holds, F.struct(F.lit(category).alias("category"), (F.lit(1.0) if size is None else -F.abs(size)).cast("double").alias("order"), F.lit(name).alias("code")))
+    gap, sign = F.col("consensus") - F.col("line"), F.signum("score")
+    toward = F.when(F.col("direction") == "over", gap).when(F.col("direction") == "under", -gap)
+    margin, agreement = F.col("margin"), F.col("agreement")
+    strong_margin = (F.abs(margin) >= MODERATE) & (sign != 0)
+    absent = optional(rows, "availability", F.lit("")) == "source_unavailable"
     made = F.array(
-        code("1_support", "window_agreement_support", F.abs(F.col("agreement")) >= 0.60, F.col("agreement")),
-        code("1_support", "favorable_consensus_difference", (F.abs(gap) >= 0.5) & (F.signum(gap) == sign), gap),
-        code("1_support", "positive_margin_support", (F.abs(F.col("margin")) >= 0.30) & (F.signum("margin") == sign), F.col("margin")),
-        code("2_contradiction", "unfavorable_consensus_difference", (F.abs(gap) >= 0.5) & (F.signum(gap) == -sign), gap),
-        code("2_contradiction", "negative_margin_support", (F.abs(F.col("margin")) >= 0.30) & (F.signum("margin") == -sign), F.col("margin")),
-        code("2_contradiction", "margin_measures_disagree", F.col("avg10") * F.col("med10") < 0, zero),
-        code("2_contradiction", "windows_disagree", F.col("windows_disagree"), zero),
-        code("3_quality", "insufficient_l10_sample", F.col("n10") < MIN_L10, zero),
-        code("3_quality", "incomplete_historical_coverage", F.col("span_days") < MIN_DAYS, zero),
-        code("3_quality", "no_unique_consensus_line", F.col("consensus").isNull(), zero),
-        *[code("3_quality", c, F.col("cap") == c, zero) for c in ("one_sided_offering", "push_heavy_sample", "insufficient_book_coverage")],
+        code("1_support", "positive_margin_support", strong_margin & (F.signum(margin) == sign), margin),
+        code("1_support", "window_agreement_support", (F.abs(agreement) >= 0.60) & (F.signum(agreement) == F.when(F.col("direction") == "over", 1.0).when(F.col("direction") == "under", -1.0)), agreement),
+        code("1_support", "favorable_consensus_difference", toward >= 0.5, gap),
+        code("2_contradiction", "negative_margin_support", strong_margin & (F.signum(margin) == -sign), margin),
+        code("2_contradiction", "unfavorable_consensus_difference", toward <= -0.5, gap),
+        code("2_contradiction", "margin_measures_disagree", F.signum("avg10") * F.signum("med10") < 0),
+        code("2_contradiction", "market_disagrees_with_history", opposed(F.col("trend"), F.col("market")), F.least(F.abs(F.col("trend")), F.abs(F.col("market")))),
+        code("2_contradiction", "windows_disagree", F.col("windows_disagree"), F.greatest(F.abs(F.col("rd10")), F.abs(F.col("rd20")), F.abs(F.col("rds")))),
+        *[code("3_quality", c, F.array_contains("caps", c)) for c in CAPS[:-1]],
+        code("3_quality", "source_unavailable", absent),
     )
-    return rows.withColumn("reasons", F.transform(F.array_sort(F.filter(made, lambda x: x.isNotNull())), lambda x: x.code))
+    alone = F.array(*[code("3_quality", c, F.col("cause") == c) for c in UNAVAILABLE], code("3_quality", "insufficient_l10_sample", F.col("cause").isNull() & F.col("few_l10")), code("3_quality", "incomplete_historical_coverage", F.col("cause").isNull() & F.col("few_season")), code("3_quality", "source_unavailable", absent))
+    chosen = F.when(F.col("classification").isin("unavailable", "insufficient_evidence"), alone).otherwise(made)
+    return rows.withColumn("reasons", F.transform(F.array_sort(F.filter(chosen, lambda x: x.isNotNull())), lambda x: x.code))

@@ -88,13 +88,14 @@ def _(t):
     return market.first_observed(quotes(t)).withColumn("first_at", F.unix_seconds(F.col("first_at").cast("timestamp")))
 
 
-@query("l06_movement_summary", f"""WITH {Q}, x AS (SELECT *, observed_at >= TIMESTAMP '1999-06-01' AS late FROM q), {F1}, a AS (SELECT * FROM q), {mode_sql('a', G)}, c1 AS (SELECT * FROM c)
-    SELECT {G}, CAST(NULL AS DOUBLE) AS net, count(*) FILTER (WHERE side = 'over' AND late) AS side_added, count(*) FILTER (WHERE side = 'under' AND late) AS side_removed FROM x GROUP BY {G}""")
+@query("l06_movement_summary", f"""WITH {Q}, x AS (SELECT *, observed_at >= TIMESTAMP '1999-06-01' AS late FROM q)
+    SELECT {G}, max(point) FILTER (WHERE sportsbook) - min(point) FILTER (WHERE sportsbook) AS net, count(*) FILTER (WHERE side = 'over' AND late) AS side_added, count(*) FILTER (WHERE side = 'under' AND late) AS side_removed FROM x GROUP BY {G}""")
 def _(t):
     rows = quotes(t)
     events = rows.where("observed_at >= TIMESTAMP '1999-06-01'").select(*GRAIN, F.when(F.col("side") == "over", "side_added").otherwise("side_removed").alias("type"))
-    spine = rows.select(*GRAIN).distinct().withColumn("line", F.lit(None).cast("double"))
-    return market.movement_summary(spine, spine, events).select(*GRAIN, "net", "side_added", "side_removed")
+    ends = rows.select(*GRAIN).distinct().join(market.line_range(rows), GRAIN, "left")
+    now, before = (ends.select(*GRAIN, F.col(c).alias("line")) for c in ("high", "low"))
+    return market.movement_summary(now, before, events).select(*GRAIN, "net", "side_added", "side_removed")
 
 
 @query("m01_offerings", f"WITH {Q}, s AS (SELECT {G}, book, point, side, max(struct_pack(o := observed_at, p := price)).p AS price FROM q GROUP BY {G}, book, point, side) SELECT {G}, book, point, max(price) FILTER (WHERE side = 'over') AS over_price, max(price) FILTER (WHERE side = 'under') AS under_price FROM s GROUP BY {G}, book, point")
@@ -212,9 +213,9 @@ def _(t):
     return history.windows(played(t), ["player", "market"], [F.desc("ts"), F.desc("event_id")], F.col("value"), F.lit(50.0))
 
 
-@query("h13_historical_coverage", "SELECT user_id, strftime(min(ts), '%Y-%m-%d') AS earliest, count(*) AS n, bool_or(event_type = 'error') AS backfilled, date_diff('day', min(ts)::DATE, max(ts)::DATE) >= 28 AS covered FROM events GROUP BY user_id")
+@query("h13_historical_coverage", "SELECT user_id, strftime(min(ts), '%Y-%m-%d') AS earliest, count(*) AS n, bool_or(event_type = 'error') AS backfilled, date_diff('day', min(ts)::DATE, max(ts)::DATE) >= 30 AS covered FROM events GROUP BY user_id")
 def _(t):
-    return t.events.groupBy("user_id").agg(S.day_text(F.min("ts")).alias("earliest"), F.count("*").alias("n"), F.bool_or(F.col("event_type") == "error").alias("backfilled"), (F.datediff(F.max("ts"), F.min("ts")) >= 28).alias("covered"))
+    return t.events.groupBy("user_id").agg(S.day_text(F.min("ts")).alias("earliest"), F.count("*").alias("n"), F.bool_or(F.col("event_type") == "error").alias("backfilled"), (F.datediff(F.max("ts"), F.min("ts")) >= 30).alias("covered"))
 
 
 @query("w01_latest_version", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
@@ -615,32 +616,63 @@ def evidence_rows(t: Tables):
     return rows.withColumns({"line": F.lit(50.0), "consensus": F.when(k % 9 != 0, 50.0 + (k % 5) - 2), "books": (k % 6).cast("long"), "books_at_line": F.least(k % 6, F.lit(2)).cast("long"), "net": F.lit(0.5), "m": F.lit(60.0), "one_sided": F.when(k % 13 == 0, "over_only").otherwise("neither"), "span_days": F.lit(60)})
 
 
-def evidence_sql() -> str:
+def evidence_sql(columns: str) -> str:
     inner = windows_sql(None)
     of = lambda k, c, a: f"max({c}) FILTER (WHERE \"window\" = '{k}')::DOUBLE AS {a}"
     cols = ", ".join(of(k, c, p + s) for k, s in (("L5", "5"), ("L10", "10"), ("L20", "20"), ("season", "z")) for c, p in (("above", "a"), ("below", "b"), ("equal", "e"), ("n", "n"), ("avg_margin", "avg"), ("median_margin", "med")))
     rd = ", ".join(f"CASE WHEN a{k} + b{k} > 0 THEN 2 * (a{k} / (a{k} + b{k})) - 1 ELSE 0.0 END::DOUBLE AS rd{k}" for k in ("5", "10", "20", "z"))
     clamp = lambda x: f"greatest(-1.0::DOUBLE, least(1.0::DOUBLE, {x}))"
-    score = "greatest(-1.0::DOUBLE, least(1.0::DOUBLE, 0.35::DOUBLE * trend + 0.25::DOUBLE * margin + 0.2::DOUBLE * agreement + 0.2::DOUBLE * market_c))"
+    apart = lambda x, y: f"(sign({x}) * sign({y}) < 0 AND abs({x}) >= 0.3 AND abs({y}) >= 0.3)"
+    vote = " + ".join(f"CASE WHEN sign(rd{k}) = dom THEN {w} WHEN rd{k} = 0 THEN 0 ELSE -{w} END" for k, w in (("5", "0.1::DOUBLE"), ("10", "0.4::DOUBLE"), ("20", "0.25::DOUBLE"), ("z", "0.25::DOUBLE")))
+    reason = lambda c, o, k, when: f"CASE WHEN {when} THEN {{'c': {c}, 'o': ({o})::DOUBLE, 'k': '{k}'}} END"
+    scored = [
+        reason(1, "-abs(margin)", "positive_margin_support", "abs(margin) >= 0.3 AND sign(margin) = sign(raw) AND raw <> 0"),
+        reason(1, "-abs(agreement)", "window_agreement_support", "abs(agreement) >= 0.6 AND sign(agreement) = side"),
+        reason(1, "-abs(consensus - 50)", "favorable_consensus_difference", "side * (consensus - 50) >= 0.5"),
+        reason(2, "-abs(margin)", "negative_margin_support", "abs(margin) >= 0.3 AND sign(margin) = -sign(raw) AND raw <> 0"),
+        reason(2, "-abs(consensus - 50)", "unfavorable_consensus_difference", "side * (consensus - 50) <= -0.5"),
+        reason(2, "1", "margin_measures_disagree", "sign(avg10) * sign(med10) < 0"),
+        reason(2, "-least(abs(trend), abs(market_c))", "market_disagrees_with_history", "against"),
+        reason(2, "-greatest(abs(rd10), abs(rd20), abs(rdz))", "windows_disagree", "apart"),
+        reason(3, "1", "one_sided_offering", "one"),
+        reason(3, "1", "push_heavy_sample", "pushy"),
+        reason(3, "1", "insufficient_book_coverage", "thin"),
+    ]
+    alone = [reason(3, "1", k, f"cause = '{k}'") for k in ("no_current_market", "no_unique_consensus_line")] + [reason(3, "1", "insufficient_l10_sample", "cause IS NULL AND n10 < 5"), reason(3, "1", "incomplete_historical_coverage", "cause IS NULL AND nz < 10")]
+    ranked = lambda rows: f"list_transform(list_sort(list_filter([{', '.join(rows)}], lambda q: q IS NOT NULL)), lambda q: q.k)"
     return f"""WITH wn AS ({inner}), x AS (SELECT player, market, {cols} FROM wn GROUP BY player, market),
-    y AS (SELECT *, {rd}, CASE WHEN player % 9 <> 0 THEN 50.0::DOUBLE + (player % 5) - 2 END AS consensus, player % 6 AS books, least(player % 6, 2) AS books_at_line, player % 13 = 0 AS one FROM x),
+    y AS (SELECT *, {rd}, CASE WHEN player % 9 <> 0 THEN 50.0::DOUBLE + (player % 5) - 2 END AS consensus, player % 6 AS books, least(player % 6, 2) AS books_at_line, player % 13 = 0 AS one, player % 6 IN (1, 2) AS thin, e10 / n10 > 0.3 AS pushy FROM x),
     z AS (SELECT *, {clamp("0.55::DOUBLE * rd10 + 0.25::DOUBLE * CASE WHEN n20 >= 10 THEN rd20 ELSE rdz END + 0.2::DOUBLE * rdz")} AS trend,
       (0.4::DOUBLE * {clamp('avg10 / 60')} + 0.3::DOUBLE * {clamp('med10 / 60')} + 0.2::DOUBLE * {clamp('avgz / 60')} + 0.1::DOUBLE * {clamp('medz / 60')}) / (0.4::DOUBLE + 0.3::DOUBLE + 0.2::DOUBLE + 0.1::DOUBLE) AS margin,
-      sign(0.1::DOUBLE * sign(rd5) + 0.4::DOUBLE * sign(rd10) + 0.25::DOUBLE * sign(rd20) + 0.25::DOUBLE * sign(rdz)) AS dom FROM y),
-    u AS (SELECT *, (0.1::DOUBLE * sign(rd5) * dom + 0.4::DOUBLE * sign(rd10) * dom + 0.25::DOUBLE * sign(rd20) * dom + 0.25::DOUBLE * sign(rdz) * dom) * dom AS agreement,
-      CASE WHEN consensus IS NULL OR one THEN 0.0 ELSE 0.6::DOUBLE * {clamp('(consensus - 50) / 60')} + 0.2::DOUBLE * CASE WHEN books > 0 THEN books_at_line / books ELSE 0 END * sign(consensus - 50) + 0.2::DOUBLE * {clamp('0.5::DOUBLE / 60')} END::DOUBLE AS market_c FROM z)
-    SELECT player, market, floor({score} * 10000 + 0.5) / 10000 AS score FROM u"""
+      sign(0.1::DOUBLE * sign(rd5) + 0.4::DOUBLE * sign(rd10) + 0.25::DOUBLE * sign(rd20) + 0.25::DOUBLE * sign(rdz)) AS dom,
+      CASE WHEN books = 0 THEN 'no_current_market' WHEN consensus IS NULL THEN 'no_unique_consensus_line' END AS cause,
+      {apart('rd10', 'rd20')} OR {apart('rd10', 'rdz')} OR {apart('rd20', 'rdz')} AS apart FROM y),
+    u AS (SELECT *, CASE WHEN dom = 0 THEN 1 ELSE dom END * ({vote}) AS agreement,
+      CASE WHEN consensus IS NULL OR one THEN 0.0 ELSE 0.6::DOUBLE * {clamp('(consensus - 50) / 60')} + 0.2::DOUBLE * CASE WHEN books > 0 THEN books_at_line / books ELSE 0 END * sign(consensus - 50) + 0.2::DOUBLE * {clamp('0.5::DOUBLE / 60')} END::DOUBLE AS market_c FROM z),
+    v AS (SELECT *, {clamp('0.35::DOUBLE * trend + 0.25::DOUBLE * margin + 0.2::DOUBLE * agreement + 0.2::DOUBLE * market_c')} AS raw, {apart('trend', 'market_c')} AS against, cause IS NULL AND n10 >= 5 AND nz >= 10 AS scored FROM u),
+    w AS (SELECT *, one OR pushy OR thin OR against AS capped, scored AND NOT apart AND abs(raw) >= 0.05 AS open FROM v),
+    p AS (SELECT *, CASE WHEN NOT open THEN '' WHEN abs(raw) >= 0.55 AND n10 >= 8 AND sign(rd10) = sign(raw) AND abs(trend) >= 0.3 AND NOT capped THEN 'strong_' WHEN abs(raw) >= 0.3 THEN 'moderate_' ELSE '' END AS level FROM w),
+    q AS (SELECT *, CASE WHEN level <> '' THEN sign(raw) END AS side, CASE WHEN raw > 0 THEN 'over' ELSE 'under' END AS dir FROM p)
+    SELECT player, market, {columns.replace('#ALONE', ranked(alone)).replace('#SCORED', ranked(scored))} FROM q"""
 
 
-@query("e06_composite", evidence_sql())
+SCORE_SQL = "CASE WHEN scored THEN floor(raw * 10000 + 0.5) / 10000 END AS score"
+
+
+@query("e06_composite", evidence_sql(SCORE_SQL))
 def _(t):
     return evidence.profile(evidence_rows(t).withColumnRenamed("market", "of")).select("player", F.col("of").alias("market"), S.rounded(F.col("score"), 4).alias("score"))
 
 
-@query("e11_classification")
+CLASS_SQL = """CASE WHEN cause IS NOT NULL THEN 'unavailable' WHEN NOT scored THEN 'insufficient_evidence' WHEN level = '' THEN 'mixed' ELSE level || dir END AS classification,
+    CASE WHEN level = 'moderate_' AND capped THEN CASE WHEN one THEN 'one_sided_offering' WHEN pushy THEN 'push_heavy_sample' WHEN thin THEN 'insufficient_book_coverage' ELSE 'market_disagrees_with_history' END ELSE 'none' END AS cap,
+    array_to_string(CASE WHEN scored THEN #SCORED ELSE #ALONE END, ',') AS reasons"""
+
+
+@query("e11_classification", evidence_sql(CLASS_SQL))
 def _(t):
     rows = evidence.reasons(evidence.profile(evidence_rows(t).withColumnRenamed("market", "of")))
-    return rows.select("player", F.col("of").alias("market"), "classification", "cap", serving.labelled(F.col("classification")).alias("label"), F.concat_ws(",", "reasons").alias("reasons"))
+    return rows.select("player", F.col("of").alias("market"), "classification", "cap", F.concat_ws(",", "reasons").alias("reasons"))
 
 
 def queries():
