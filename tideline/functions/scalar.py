@@ -130,3 +130,27 @@ def first_true(cases: list[tuple[Column, str]], otherwise: str | None = None) ->
     """The name of the first case that holds."""
     chain = reduce(lambda acc, c: F.when(c[0], F.lit(c[1])) if acc is None else acc.when(c[0], F.lit(c[1])), cases, None)
     return chain if otherwise is None else chain.otherwise(F.lit(otherwise))
+
+
+def zero_filled(stat: Column, eligible: Column, took_part: Column) -> Column:
+    """A counting stat, with 0 for null only of an eligible row that took part (F-11)."""
+    return F.when(stat.isNull() & eligible & took_part, F.lit(0.0)).otherwise(stat)
+
+
+def outcome(name: Column, description: Column, point: Column, price: Column) -> Column:
+    """struct(ok, reason, side, price) of a quoted outcome (F-13): the side from the trimmed name, the rest mandatory,
+    the price cut to a whole number."""
+    side = F.trim(F.lower(name))
+    reason = F.when(~F.coalesce(side.isin("over", "under"), F.lit(False)), "unknown_side").when(F.coalesce(description, F.lit("")) == "", "missing_description").when(point.isNull(), "missing_point").when(price.isNull(), "missing_price").otherwise("ok")
+    good = reason == "ok"
+    return F.struct(good.alias("ok"), reason.alias("reason"), F.when(good, side).alias("side"), F.when(good, price.cast("long")).alias("price"))
+
+
+def matchup(team: Column, opponent: Column, home: Column) -> Column:
+    """team vs opponent at home, else team @ opponent (F-19)."""
+    return F.concat(team, F.when(home, " vs ").otherwise(" @ "), opponent)
+
+
+def tip_off(at: Column) -> Column:
+    """A UTC time as a clock of New York, twelve hours (F-19)."""
+    return F.date_format(F.from_utc_timestamp(at, "America/New_York"), "h:mm a")

@@ -107,3 +107,27 @@ def merge_versions(current: DataFrame, incoming: DataFrame, keys: list[str], val
         same = same & F.col(v).eqNullSafe(F.col(f"__old_{v}"))
     action = first_true([(F.col("__c").isNull(), "inserted"), (F.col("__i").isNull(), "kept"), (same, "unchanged")], "updated")
     return both.select(*keys, *[F.when(F.col("__i"), F.col(v)).otherwise(F.col(f"__old_{v}")).alias(v) for v in values], action.alias("action"))
+
+
+def nearest_ranks(rows: DataFrame, counts: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Values at rank floor(p n), from 0, of each key (A-14): rows are numbered in order, no group is gathered in
+    memory. counts(key, n)."""
+    w = Window.partitionBy(key).orderBy(value)
+    numbers = rows.select(key, value).withColumn("__rn", F.row_number().over(w)).join(counts.select(key, F.col("n").alias("__n")), key)
+    pick = [F.max(F.when(F.col("__rn") == F.least(F.col("__n"), F.floor(F.lit(p) * F.col("__n")) + 1), F.col(value))).alias(c) for c, p in shares.items()]
+    return numbers.groupBy(key).agg(*pick)
+
+
+def strip(rows: DataFrame, keys: list[str], newest_first: list[Column], eligible: Column, n: int) -> DataFrame:
+    """The newest rows of each key down to the n-th eligible one, with all between (W-17)."""
+    w = Window.partitionBy(*keys).orderBy(*newest_first).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.when(eligible, 1).otherwise(0)).over(w), F.lit(0))
+    return rows.withColumn("__before", before).where(F.col("__before") < n).drop("__before")
+
+
+def mismatches(series: DataFrame, outcomes: DataFrame, keys: list[str]) -> DataFrame:
+    """Where a series' eligibility and the presence of an outcome disagree (H-17): keys and violation."""
+    s = series.select(*keys, F.coalesce("eligible", F.lit(False)).alias("__e"), F.lit(True).alias("__s"))
+    both = s.join(outcomes.select(*keys, F.lit(True).alias("__o")), keys, "full")
+    said = first_true([(F.col("__s").isNull(), "outcome_without_game"), (F.col("__e") & F.col("__o").isNull(), "eligible_without_outcome"), (~F.col("__e") & F.col("__o").isNotNull(), "outcome_of_ineligible")], None)
+    return both.select(*keys, said.alias("violation")).where("violation IS NOT NULL")

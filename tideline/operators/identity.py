@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.scalar import first_true
@@ -12,17 +12,18 @@ TOLERANCE = 900
 
 def reconcile_events(events: DataFrame, games: DataFrame) -> DataFrame:
     """events(event_id, home, away, at), games(game_id, home, away, at): outcome and game (I-01, J-15). The join is
-    on the teams of a pair in either order; times are compared within it."""
+    on the teams of a pair in either order; times are compared in buckets of the tolerance, not within all of a pair."""
     ordered = lambda d: d.withColumn("pair", F.concat_ws("|", F.least("home", "away"), F.greatest("home", "away")))
     e = ordered(events)
     g = ordered(games).select("pair", "game_id", F.col("home").alias("g_home"), F.col("at").alias("g_at"))
-    delta = F.abs(F.unix_micros("at") - F.unix_micros("g_at")) / 1e6
-    both = e.join(g, "pair", "left").withColumn("delta", delta)
-    same = F.col("home") == F.col("g_home")
-    exact, near = same & (F.col("delta") == 0), same & (F.col("delta") <= TOLERANCE)
-    got = both.groupBy("event_id", "home", "away", "at").agg(
-        F.count("game_id").alias("candidates"), F.count_if(same).alias("ordered"), F.count_if(exact).alias("exact"), F.count_if(near).alias("near"), F.min(F.when(exact, F.col("game_id"))).alias("exact_id"), F.min(F.when(near, F.col("game_id"))).alias("near_id")
-    )
+    slot = lambda c: F.floor(F.unix_micros(c) / (TOLERANCE * 1_000_000))
+    near_by = e.select("event_id", "pair", "home", "at", F.explode(F.array(*[slot("at") + i for i in (-1, 0, 1)])).alias("slot"))
+    met = near_by.join(g.select("pair", F.col("g_home").alias("home"), slot("g_at").alias("slot"), "game_id", "g_at"), ["pair", "home", "slot"])
+    met = met.withColumn("delta", F.abs(F.unix_micros("at") - F.unix_micros("g_at"))).where(F.col("delta") <= TOLERANCE * 1_000_000)
+    exact = F.col("delta") == 0
+    close = met.groupBy("event_id").agg(F.count_if(exact).alias("exact"), F.count("*").alias("near"), F.min(F.when(exact, F.col("game_id"))).alias("exact_id"), F.min("game_id").alias("near_id"))
+    pairs, sides = g.groupBy("pair").agg(F.count("*").alias("candidates")), g.groupBy("pair", F.col("g_home").alias("home")).agg(F.count("*").alias("ordered"))
+    got = e.join(pairs, "pair", "left").join(sides, ["pair", "home"], "left").join(close, "event_id", "left").na.fill(0, ["candidates", "ordered", "exact", "near"])
     outcome = first_true(
         [
             (F.col("home").isNull() | F.col("away").isNull(), "unresolved_team"),
@@ -53,8 +54,56 @@ def reconcile_players(provider: DataFrame, reviewed: DataFrame, aliases: DataFra
 
 
 def nearest_unique(left: DataFrame, right: DataFrame, key: str, at: str, other: str, other_id: str) -> DataFrame:
-    """The nearest row in time of each left row, if no other is as near (J-16)."""
-    delta = F.abs(F.unix_micros(at) - F.unix_micros(other)) / 1e6
-    both = left.join(right, key).withColumn("delta", delta)
-    got = both.groupBy(*left.columns).agg(F.min("delta").alias("delta"), F.min_by(other_id, F.struct("delta", other_id)).alias("nearest"), F.sort_array(F.collect_list("delta")).alias("ds"))
-    return got.select(*left.columns, "delta", F.when(F.coalesce(F.get("ds", F.lit(1)) > F.get("ds", F.lit(0)), F.lit(True)), F.col("nearest")).alias("nearest"))
+    """The nearest row in time of each left row, if no other is as near (J-16). Each left row meets the last right row
+    up to it and the first from it on, by two ordered windows; no pairs are made."""
+    found = right.groupBy(key, F.col(other).alias("__t")).agg(F.min(other_id).alias("__id"), F.count("*").alias("__n"))
+    names = left.columns
+    rows = left.select(F.col(key).alias("__k"), F.col(at).alias("__t"), F.struct(*names).alias("__left"), F.lit(None).cast("struct<t:timestamp,id:bigint,n:bigint>").alias("__r"))
+    spots = found.select(F.col(key).alias("__k"), "__t", F.lit(None).cast(rows.schema["__left"].dataType).alias("__left"), F.struct(F.col("__t").cast("timestamp").alias("t"), F.col("__id").cast("bigint").alias("id"), F.col("__n").alias("n")).alias("__r"))
+    side = F.col("__left").isNotNull()
+    over = lambda *order: F.last("__r", ignorenulls=True).over(Window.partitionBy("__k").orderBy(*order, side).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = rows.union(spots).withColumn("__p", over(F.col("__t"))).withColumn("__q", over(F.col("__t").desc())).where(side)
+    gap = lambda c: F.abs(F.unix_micros(F.col("__t").cast("timestamp")) - F.unix_micros(F.col(f"{c}.t")))
+    p, q = gap("__p"), gap("__q")
+    one = F.when(F.col("__q").isNull() | (p < q), F.col("__p")).when(F.col("__p").isNull() | (q < p) | (p == 0), F.col("__q"))
+    got = both.where(F.col("__p").isNotNull() | F.col("__q").isNotNull()).select("__left.*", (F.least(p, q) / 1e6).alias("delta"), one.alias("__one"))
+    return got.select(*names, "delta", F.when(F.col("__one.n") == 1, F.col("__one.id")).alias("nearest"))
+
+
+def by_any_name(rows: DataFrame, name: str, teams: DataFrame, names: list[str], team_id: str) -> DataFrame:
+    """rows with team_id of the team that has the name in any of its columns, whatever the case; null where none or
+    several have it (J-17)."""
+    known = teams.select(team_id, F.explode(F.array(*[F.lower(F.trim(F.col(c))) for c in names])).alias("__name")).where("__name IS NOT NULL").groupBy("__name").agg(F.count_distinct(team_id).alias("__n"), F.min(team_id).alias("__id"))
+    met = rows.join(known, F.lower(F.trim(F.col(name))) == F.col("__name"), "left")
+    return met.select(*rows.columns, F.when(F.col("__n") == 1, F.col("__id")).alias(team_id))
+
+
+def name_index(players: DataFrame, player_id: str, display: str, stored: str) -> DataFrame:
+    """name and player_id: stored normalised names go before display names that normalise alike (J-18); of several the
+    smallest id."""
+    keys = players.select(F.lower(F.trim(F.col(stored))).alias("name"), F.lit(0).alias("rank"), player_id).union(players.select(F.lower(F.trim(F.col(display))), F.lit(1), player_id))
+    return keys.where("name IS NOT NULL").groupBy("name").agg(F.min_by(player_id, F.struct("rank", player_id)).alias(player_id))
+
+
+def queue_reason(wanted: DataFrame, queue: DataFrame) -> DataFrame:
+    """wanted(id), queue(candidate_ids, resolution, reason, created_at): reason of the queue row that names the id,
+    open rows first, then the oldest; unmatched without one (H-18, J-12, W-09)."""
+    rows = queue.select(F.explode(F.array_distinct("candidate_ids")).alias("id"), "resolution", "reason", "created_at")
+    best = rows.groupBy("id").agg(F.min_by("reason", F.struct((F.col("resolution") != "open").alias("a"), F.col("created_at"), F.col("reason"))).alias("reason"))
+    return wanted.join(best, "id", "left").select("id", F.coalesce("reason", F.lit("unmatched")).alias("reason"))
+
+
+def last_token(provider: DataFrame, players: DataFrame) -> DataFrame:
+    """provider(provider_id, name), players(player_id, name): a proposal where one internal name is a single word, and
+    equal to the provider name's last (F-15)."""
+    words = lambda c: F.split(F.lower(F.trim(F.col(c))), r"\s+")
+    single = players.where(F.size(words("name")) == 1).groupBy(F.lower(F.trim(F.col("name"))).alias("token")).agg(F.count_distinct("player_id").alias("n"), F.min("player_id").alias("player_id")).where("n = 1")
+    return provider.withColumn("token", F.element_at(words("name"), -1)).join(single, "token").select("provider_id", "player_id")
+
+
+def superseded(current: DataFrame, approved: DataFrame, key: str, value: str) -> DataFrame:
+    """History events of newly approved mappings (I-03): superseded with the old value where one is replaced, approved
+    with the new; none where nothing changes."""
+    both = approved.join(current.select(key, F.col(value).alias("__old")), key, "left").where(~F.col("__old").eqNullSafe(F.col(value)))
+    events = F.array(F.when(F.col("__old").isNotNull(), F.struct(F.lit("superseded").alias("event"), F.col("__old").alias(value))), F.struct(F.lit("approved").alias("event"), F.col(value).alias(value)))
+    return both.select(key, F.explode(F.filter(events, lambda x: x.isNotNull())).alias("__e")).select(key, "__e.*")

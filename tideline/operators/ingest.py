@@ -59,3 +59,13 @@ def within_budget(calls: DataFrame, group: str, order: list[Column], cost: str,
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Counts of rows that break each named constraint; a null verdict breaks none, as with CHECK."""
     return rows.agg(*[F.count_if(~rule).alias(name) for name, rule in rules.items()])
+
+
+def current_only(rows: DataFrame, current: Column, own: Column) -> DataFrame:
+    """Rows of a current poll that this system observed itself (P-01); unknown is no."""
+    return rows.where(F.coalesce(current & own, F.lit(False)))
+
+
+def finalization(stored: Column, reported: Column) -> Column:
+    """What to do with a game's reported state (D-12): unknown goes to quarantine, an equal one changes nothing."""
+    return F.when(reported.isNull(), "quarantine").when(reported.eqNullSafe(stored), "noop").otherwise("update")

@@ -6,7 +6,7 @@ a stateful stream in tideline.streaming.presence with the same transitions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.scalar import first_true
@@ -71,3 +71,13 @@ def watermark(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Newest complete run of each key (T-06); others never move it."""
     done = runs.where(F.col("state") == "complete")
     return done.groupBy(*keys).agg(F.max("completed_at").alias("watermark"), F.max_by("run_id", F.struct("completed_at", "run_id")).alias("run_id"))
+
+
+def slice_watermark(runs: DataFrame, keys: list[str], order: list[Column], terminal: Column, refused: Column) -> DataFrame:
+    """State of each slice after its runs in order (T-07): the first terminal run ends it for good, later ones don't
+    count; a refused run counts, but leaves the cursor (the number of the last run that moved it) where it was."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    ended = F.coalesce(F.max(F.when(terminal, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    live = runs.select("*", F.row_number().over(w).alias("__rn"), ended.alias("__ended")).where("__ended = 0")
+    state = F.when(F.bool_or(F.coalesce(terminal, F.lit(False))), "terminal").otherwise("open")
+    return live.groupBy(*keys).agg(state.alias("state"), F.count("*").alias("runs"), F.max(F.when(~refused, F.col("__rn"))).cast("long").alias("cursor_at"))

@@ -54,3 +54,26 @@ def redacted(rows: DataFrame, grants: dict[str, list[str]], held: set[str]) -> D
     """Columns of a capability that isn't held become null (P-14)."""
     hidden = {c for capability, columns in grants.items() if capability not in held for c in columns}
     return rows.select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) if c in hidden else F.col(c) for c in rows.columns])
+
+
+def restricted(rows: DataFrame, equal: dict, among: dict) -> DataFrame:
+    """rows under optional predicates (P-07): equal(column: value, None for any), among(column: frame of that column,
+    None for any), the latter as semi-joins."""
+    for name, value in equal.items():
+        rows = rows if value is None else rows.where(F.col(name) == F.lit(value))
+    for name, frame in among.items():
+        rows = rows if frame is None else rows.join(frame.select(name), name, "left_semi")
+    return rows
+
+
+def projected(rows: DataFrame, allowed: list[str], forbidden: list[str] = ()) -> DataFrame:
+    """The allowed columns, in order (P-13). An error if one is missing or forbidden, at any depth of a struct."""
+    if bad := set(allowed) & set(forbidden):
+        raise ValueError(f"forbidden columns: {sorted(bad)}")
+    if missing := set(allowed) - set(rows.columns):
+        raise ValueError(f"missing columns: {sorted(missing)}")
+    out = rows.select(*allowed)
+    inner = {f.name for c in out.schema.fields if hasattr(c.dataType, "fields") for f in c.dataType.fields}
+    if bad := inner & set(forbidden):
+        raise ValueError(f"forbidden fields: {sorted(bad)}")
+    return out

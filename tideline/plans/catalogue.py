@@ -681,3 +681,6 @@ def queries():
 
 def oracle_sql():
     return dict(SQL)
+
+
+from tideline.plans import more  # noqa: E402, F401  (adds its queries)
