@@ -24,10 +24,14 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: p != "")
 
 
-def strong(paras: Column) -> Column:
-    """Sums of the 32-bit words of two SHA-512 digests of each paragraph."""
+def digests(paras: Column) -> Column:
+    """Two SHA-512 digests of each paragraph, as one string of hexadecimal digits."""
     digest = lambda p, salt: F.sha2(F.concat(F.lit(salt), p).cast("binary"), 512)
-    digests = F.transform(paras, lambda p: F.concat(digest(p, "0"), digest(p, "1")))
+    return F.transform(paras, lambda p: F.concat(digest(p, "0"), digest(p, "1")))
+
+
+def strong(digests: Column) -> Column:
+    """Sums of the 32-bit words of digests, which should be a column: an expression would be evaluated for each lane."""
     word = lambda s, k: F.conv(F.substring(s, 8 * k + 1, 8), 16, 10).cast("long")
     lane = lambda k: F.aggregate(digests, F.lit(0).cast("long"), lambda a, s: F.pmod(a + word(s, k), F.lit(1 << 32)))
     return F.array(*map(lane, range(STRONG)))
@@ -47,8 +51,9 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataF
     """keys and vector (array of STRONG + LANES longs, each modulo 2**32) of each row of texts, of which keys
     must be unique. Stays in the partitioning of texts if that is by some of the keys."""
     paras = texts.select(*keys, paragraphs(F.col(text)).alias("__p"))
-    # In two steps: what stands beside a generator is made anew for each row that it gives.
-    hashed = paras.select(*keys, strong(F.col("__p")).alias("__s"), runs(F.col("__p")).alias("__r"))
+    # In steps: what stands beside a generator is made anew for each row that it gives, digests for each lane.
+    digested = paras.select(*keys, digests(F.col("__p")).alias("__d"), runs(F.col("__p")).alias("__r"))
+    hashed = digested.select(*keys, strong(F.col("__d")).alias("__s"), "__r")
     rows = hashed.select(*keys, "__s", F.explode_outer("__r").alias("__h"))
     # Two lanes to a number: the bits i and i + 32 of a hash, 32 bits apart, so that one sum does for two lanes.
     hashes, half = [F.col("__h"), F.xxhash64(F.col("__h"))], LANES // 4
@@ -79,12 +84,20 @@ def delete(vector: Column, paragraph: Column) -> Column:
     return F.zip_with(vector, paragraph, lambda a, b: F.pmod(a - b, F.lit(1 << 32)))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1; 1 for equal vectors, also of two empty texts; 0 if only one is empty."""
-    signed = lambda v: F.transform(F.slice(v, STRONG + 1, LANES), lambda x: F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x).cast("double"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    x, y = signed(a), signed(b)
-    norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+
+
+def signed(vector: Column) -> Column:
+    """The lanes of likeness as numbers around zero."""
+    return F.transform(F.slice(vector, STRONG + 1, LANES), lambda x: F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x).cast("double"))
+
+
+def likeness(a: Column, b: Column, x: Column | None = None, y: Column | None = None, norm_x: Column | None = None, norm_y: Column | None = None) -> Column:
+    """0 to 1; 1 for equal vectors, also of two empty texts; 0 if only one is empty. Their signed lanes and the norms
+    of these can be given as columns, so that they are not made anew for each use."""
+    x, y = signed(a) if x is None else x, signed(b) if y is None else y
+    norm = (F.sqrt(dot(x, x)) if norm_x is None else norm_x) * (F.sqrt(dot(y, y)) if norm_y is None else norm_y)
     return F.when(a == b, F.lit(1.0)).when(norm == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(x, y) / norm)))
 
 
@@ -131,13 +144,16 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     both = texts.select("range", "rn", "guest", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("version", "text"))
     made = fingerprints(both.where("guest = 0 or version = 0"), ["range", "rn", "guest", "doc_id", "n_chars", "edited_sha256", "version"])
     w = Window.partitionBy("range").orderBy("rn", "version")
-    rows = made.withColumn("edited", F.lead("vector", 1).over(w)).withColumn("next", F.lead("vector", 2).over(w)).where("guest = 0 and version = 0")
+    made = made.withColumn("lanes", signed(F.col("vector"))).withColumn("norm", F.sqrt(dot(F.col("lanes"), F.col("lanes"))))
+    follow = [F.lead(c, k).over(w).alias(f"{name}_{c}") for name, k in (("edited", 1), ("next", 2)) for c in ("vector", "lanes", "norm")]
+    rows = made.select("*", *follow).where("guest = 0 and version = 0")
+    near = lambda other: likeness(*(F.col(c) for v in ("vector", "lanes", "norm") for c in (v, f"{other}_{v}")))
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         as_text(F.col("vector")).alias("fingerprint"),
-        as_text(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("vector"), F.col("edited")).alias("near_edited"),
-        likeness(F.col("vector"), F.col("next")).alias("near_next"),
+        as_text(F.col("edited_vector")).alias("edited_fingerprint"),
+        near("edited").alias("near_edited"),
+        near("next").alias("near_next"),
     )
