@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, fillmiddle, langid, linededup, quality, secrets, sentencepiece_bridge, substring, urlfilter
+from . import crosstoken, decontaminate, fillmiddle, langid, linededup, quality, secrets, sentencepiece_bridge, substring, urlfilter
 from .common import table
 from .fingerprint import edit_likeness
 from .simhash import near_duplicates
@@ -57,6 +57,11 @@ def op10_fingerprint(spark, sf_dir):
     return edit_likeness(table(spark, sf_dir, "documents"))
 
 
+def op11_crosstoken(spark, sf_dir):
+    rows = crosstoken.align(table(spark, sf_dir, "documents"), crosstoken.default_tokenizers(), groups="groups_sha256")
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_fillmiddle(spark, sf_dir):
     rows = fillmiddle.transform(table(spark, sf_dir, "documents"))
     digest = lambda c: F.sha2(c.cast("binary"), 256)
@@ -70,7 +75,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    made = (op1_quality, op2_urlfilter, op3_secrets, op4_decontaminate, op5_substring, op6_linededup, op7_sentencepiece, op8_simhash, op9_langid, op10_fingerprint, op12_fillmiddle, pipeline)
+    made = (op1_quality, op2_urlfilter, op3_secrets, op4_decontaminate, op5_substring, op6_linededup, op7_sentencepiece, op8_simhash, op9_langid, op10_fingerprint, op11_crosstoken, op12_fillmiddle, pipeline)
     return {f.__name__: f for f in made}
 
 
