@@ -21,6 +21,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -88,6 +89,8 @@ class Aligner:
     def __init__(self, byte_level: bytes, pieces: bytes):
         self.a, self.b = ByteLevel(byte_level), Pieces(pieces)
         self.sizes = [np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b)]
+        most = max(len(t.bytes) for t in (self.a, self.b))
+        self.digits = np.array([str(i).encode() for i in range(most)]).view(np.uint8).reshape(most, -1)
         self.forget()
 
     def forget(self) -> None:
@@ -108,17 +111,19 @@ class Aligner:
         ids, ends, good = [], [], np.ones(len(runs), bool)
         raw = [r.encode() for r in runs]
         length = np.array([len(r) for r in raw], np.int64)
-        base = np.concatenate([[0], np.cumsum(length)])
+        base, whole = np.concatenate([[0], np.cumsum(length)]), b"".join(raw)
         owners = []
         for t, size in zip((self.a, self.b), self.sizes, strict=True):
             got = t.encode(runs)
-            bad = [i for i, (x, r) in enumerate(zip(got, raw, strict=True)) if b"".join([t.bytes[k] for k in x]) != r]
-            good[bad] = False
-            for i in bad:
-                got[i] = []
             count = np.array([len(x) for x in got], np.int64)
-            flat = np.array([k for x in got for k in x], np.int64)
+            flat = np.fromiter(chain.from_iterable(got), np.int64, count.sum())
             own = np.repeat(np.arange(len(runs)), count)
+            if not (np.array_equal(np.bincount(own, size[flat], len(runs)), length) and b"".join([t.bytes[k] for k in flat.tolist()]) == whole):
+                bad = [i for i, (x, r) in enumerate(zip(got, raw, strict=True)) if b"".join([t.bytes[k] for k in x]) != r]
+                good[bad] = False
+                keep = good[own]
+                flat, own = flat[keep], own[keep]
+                count = np.bincount(own, minlength=len(runs))
             within = np.cumsum(size[flat]) if len(flat) else np.zeros(0, np.int64)
             before = np.concatenate([[0], within])[np.cumsum(count) - count]
             ids.append(flat)
@@ -155,15 +160,19 @@ class Aligner:
         self.ends.append(self.ends[-1][-1] + np.cumsum(np.bincount(run[at], minlength=n)))
         self.text += self.written(n, groups, ids, of)
 
-    @staticmethod
-    def written(n: int, groups: list[np.ndarray], ids: list[np.ndarray], of: np.ndarray) -> list[bytes]:
-        """`a,a|b;a|b,b` of each run."""
-        made: list[list[str]] = [[] for _ in range(n)]
-        bounds = [np.searchsorted(g, np.arange(len(of) + 1)).tolist() for g in groups]
-        said = [list(map(str, i.tolist())) for i in ids]
-        for k, run in enumerate(of.tolist()):
-            made[run].append("|".join(",".join(s[b[k] : b[k + 1]]) for s, b in zip(said, bounds, strict=True)))
-        return [";".join(x).encode() for x in made]
+    def written(self, n: int, groups: list[np.ndarray], ids: list[np.ndarray], of: np.ndarray) -> list[bytes]:
+        """`a,a|b;a|b,b` of each run: the digits of all ids and the mark after each, as one array of bytes that is cut."""
+        group, side = np.concatenate(groups), np.repeat([0, 1], [len(g) for g in groups])
+        order = np.lexsort((side, group))  # stable: ids of a side stay in order
+        group, side, flat = group[order], side[order], np.concatenate(ids)[order]
+        last = np.ones(len(flat), bool)
+        last[:-1] = (group[1:] != group[:-1]) | (side[1:] != side[:-1])
+        mark = np.where(~last, ord(","), np.where(side == 0, ord("|"), ord(";"))).astype(np.uint8)
+        cells = np.concatenate([self.digits[flat], mark[:, None]], 1)
+        full = cells != 0
+        ends = np.cumsum(np.bincount(of[group], full.sum(1), n).astype(np.int64)).tolist()
+        data = cells[full].tobytes()
+        return [data[s : max(s, e - 1)] for s, e in zip([0, *ends], ends, strict=False)]
 
     def align(self, texts: list[str | None]) -> tuple[np.ndarray, list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
         """For each text n_a, n_b, n_groups, n_links; its groups as text; its keys, ascending, and the links of each."""
