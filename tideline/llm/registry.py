@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import crosstoken, decontaminate, fillmiddle, langid, linededup, quality, secrets, sentencepiece_bridge, substring, urlfilter
+from . import crosstoken, decontaminate, fillmiddle, langid, linededup, quality, secrets, sentencepiece_bridge, substring, toxicity, urlfilter
 from .common import table
 from .fingerprint import edit_likeness
 from .simhash import near_duplicates
@@ -68,6 +68,10 @@ def op12_fillmiddle(spark, sf_dir):
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fillmiddle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
+def op13_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -75,7 +79,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    made = (op1_quality, op2_urlfilter, op3_secrets, op4_decontaminate, op5_substring, op6_linededup, op7_sentencepiece, op8_simhash, op9_langid, op10_fingerprint, op11_crosstoken, op12_fillmiddle, pipeline)
+    made = (op1_quality, op2_urlfilter, op3_secrets, op4_decontaminate, op5_substring, op6_linededup, op7_sentencepiece, op8_simhash, op9_langid, op10_fingerprint, op11_crosstoken, op12_fillmiddle, op13_toxicity, pipeline)
     return {f.__name__: f for f in made}
 
 
