@@ -42,3 +42,43 @@ def test_hot_minimisers(spark):
     assert np.bitwise_count(shared[1]).sum() > 0
     got = {r.doc_id: r.n_removed for r in substring.dedup_substrings(docs).collect()}
     assert got == {i: 40 if i else 0 for i in range(600)}
+
+
+def forged(key: int, size: int) -> tuple[str, str]:
+    """Two words of printable characters that collide under a known key: their first parts give states whose difference
+    is printable, and their last eight characters differ by it."""
+    import random
+
+    from tideline.llm.common import FIRST, STEP, mix
+
+    r = random.Random(1)
+    odd, more = np.uint64(key | 1), np.uint64(key * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
+    with np.errstate(over="ignore"):
+        start = mix(np.array([size], np.uint64) * STEP + more)
+        heads = ["".join(r.choice("abcdefghijklmnop") for _ in range(size - 8)) for _ in range(60_000)]
+        state = np.repeat(start, len(heads))
+        for k in range(0, size - 8, 8):
+            part = np.array([int.from_bytes(h[k : k + 8].encode(), "little") for h in heads], np.uint64)
+            state = mix((state ^ (part & FIRST[8])) * odd + more)
+    seen: dict[int, int] = {}
+    for i, s in enumerate(state.tolist()):
+        if (j := seen.setdefault(s & 0x8080808080808080, i)) != i:
+            gap = s ^ int(state[j])
+            tail = [next((a for a in range(33, 127) if 33 <= a ^ (gap >> 8 * b & 255) < 127), None) for b in range(8)]
+            if None not in tail:
+                a = bytes(tail)
+                return heads[i] + a.decode(), heads[j] + bytes(x ^ (gap >> 8 * b & 255) for b, x in enumerate(a)).decode()
+    raise AssertionError("no pair")
+
+
+def test_words_that_collide_under_one_key(spark):
+    """Pairs found for one key are told apart under others, so a run's own key can't be met."""
+    pairs = [("RaQNRwdfWBVqjYUe", "4ImlZ5Ar)|3>5nC~"), *(forged(0, size) for size in (16, 24, 40))]
+    for a, b in pairs[1:]:
+        assert a != b and len(np.unique(hashed_words(pa.array([a, b]))[3])) == 1
+        assert all(len(np.unique(hashed_words(pa.array([a, b]), key)[3])) == 2 for key in (1, 2, 1 << 63, 12345678901234567))
+    twelve = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(i, f"{twelve} {w} z{i}") for i, w in enumerate(w for p in pairs for w in p)], "doc_id long, text string")
+    assert {r.n_removed for r in substring.dedup_substrings(docs).collect()} == {0}
+    lines = spark.createDataFrame([(i, w) for i, w in enumerate(w for p in pairs for w in p)], "doc_id long, text string")
+    assert {r.n_removed for r in linededup.dedup_lines(lines).collect()} == {0}

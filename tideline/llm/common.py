@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import os
 import re
 import tempfile
 import uuid
@@ -104,24 +105,31 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def hashed_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end]: eight bytes at a time through a finaliser that is a bijection, so equal
-    lengths of up to eight bytes never collide; longer ones of over LONG_WORD bytes by xxh3."""
+def drawn_key() -> int:
+    """A secret key for the hashes of one run: nobody can write words that collide under it."""
+    return int.from_bytes(os.urandom(8), "little")
+
+
+def hashed_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
+    """A 64-bit hash of each data[start:end], by a key: eight bytes at a time through a finaliser that is a bijection, so
+    equal lengths of up to eight bytes never collide; between the steps the key multiplies and is added, so that which
+    longer words would collide depends on it. Those of over LONG_WORD bytes by xxh3 with the key as its seed."""
+    odd, more = np.uint64(key | 1), np.uint64(key * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
     size = end - start
     eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
-    h = mix(size.astype(np.uint64) * STEP + np.uint64(1))
+    h = mix(size.astype(np.uint64) * STEP + more)
     live = np.flatnonzero(size <= LONG_WORD)
     for k in range(0, LONG_WORD, 8):
         live = live[size[live] > k]
         if not len(live):
             break
-        h[live] = mix(h[live] ^ (eight[start[live] + k] & FIRST[np.minimum(size[live] - k, 8)]))
+        h[live] = mix((h[live] ^ (eight[start[live] + k] & FIRST[np.minimum(size[live] - k, 8)])) * odd + more)
     for i in np.flatnonzero(size > LONG_WORD):
-        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), key)
     return h
 
 
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hashed_words(texts: pa.Array, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words between ASCII white space as 64-bit hashes, straight from the UTF-8 bytes: all bytes, offsets of the
     texts in them, first byte of each word, hash of each word."""
     data, off = raw_bytes(texts)
@@ -134,7 +142,7 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     first[cut] |= letter[cut]
     last[cut - 1] |= letter[cut - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return data, off, start, hashed_spans(data, start, end)
+    return data, off, start, hashed_spans(data, start, end, key)
 
 
 def bits_for(n: int) -> int:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIMILARITY, STEP, discard, hashed_words, materialise, mix, partitions, possibly, slices
+from .common import SIMILARITY, STEP, discard, drawn_key, hashed_words, materialise, mix, partitions, possibly, slices
 
 BUCKETS = 1 << 16
 #: Words of a set that gets a sketch of twice as many bits.
@@ -37,15 +37,17 @@ LARGE = 64
 LONG = 64
 #: Classes of more than this part of all lines are broadcast (fewer than HOT of them, some 60 bytes each).
 HOT = 4096
+#: Words of the input for each task of the join: a prefix has about a quarter of them, in rows of some 30 bytes.
+WORDS_PER_TASK = 8_000_000
 #: Classes that a task remembers to have emitted, eight bytes each.
 REMEMBERED = 500_000
 
 
-def lines_of(texts: pa.Array, rank: np.ndarray):
+def lines_of(texts: pa.Array, rank: np.ndarray, key: int):
     """For each line with a word: its text, its number (from 0), the first of its words in `name`; then `name`, the
     hashes of the words of all lines (each once, ordered by the rank of their bucket), and the hashes of all
     occurrences."""
-    data, off, at, h = hashed_words(texts)
+    data, off, at, h = hashed_words(texts, key)
     feeds = np.flatnonzero(data == 10)
     doc = np.searchsorted(off, at, "right") - 1
     number = np.searchsorted(feeds, at) - np.searchsorted(feeds, off)[doc]
@@ -72,7 +74,7 @@ def classes_of(name: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndar
     return one.view(np.int64), two.view(np.int64)
 
 
-def places(docs: DataFrame) -> DataFrame:
+def places(docs: DataFrame, key: int) -> DataFrame:
     """doc_id, tie (a hash of the text), line and class (with `rest`, the other half of its name) of each line that
     has a word; besides, bucket and n: word counts of each task."""
     same = np.arange(BUCKETS, dtype=np.uint64)
@@ -81,7 +83,7 @@ def places(docs: DataFrame) -> DataFrame:
         total = np.zeros(BUCKETS, np.int64)
         schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("class", pa.int64()), ("rest", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64())])
         for b in slices(batches):
-            doc, number, start, name, h = lines_of(b.column(1), same)
+            doc, number, start, name, h = lines_of(b.column(1), same, key)
             if not len(start):
                 continue
             total += np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
@@ -95,15 +97,15 @@ def places(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, tie long, line int, class long, rest long, bucket int, n long")
 
 
-def rarity(every: DataFrame) -> np.ndarray:
-    """Rank of each of the 2**16 buckets by its words' occurrences in all documents, rarest first."""
+def rarity(every: DataFrame) -> tuple[np.ndarray, int]:
+    """Rank of each of the 2**16 buckets by its words' occurrences in all documents, rarest first; all occurrences."""
     got = every.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(BUCKETS, np.int64)
     n[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return np.argsort(np.argsort(n, kind="stable"), kind="stable").astype(np.uint64)
+    return np.argsort(np.argsort(n, kind="stable"), kind="stable").astype(np.uint64), int(n.sum())
 
 
-def prefixes(docs: DataFrame, rank: np.ndarray, t: float) -> DataFrame:
+def prefixes(docs: DataFrame, rank: np.ndarray, t: float, key: int) -> DataFrame:
     """at (prefix word, size and place in one long), class, sketch and more (of it, for larger sets) of each class, as
     a rule once for each task, so that hot lines are reduced before the shuffle. Sizes from 65,535 on are written as
     that and escape the filters."""
@@ -113,7 +115,7 @@ def prefixes(docs: DataFrame, rank: np.ndarray, t: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
         for b in slices(batches, 0):
-            _, _, start, name, _ = lines_of(b.column(0), rank.value)
+            _, _, start, name, _ = lines_of(b.column(0), rank.value, key)
             if not len(start):
                 continue
             group, which = np.unique(classes_of(name, start)[0], return_index=True)
@@ -191,8 +193,8 @@ def with_partner(word, size, place, sketch, more, t: float) -> np.ndarray:
     return keep
 
 
-def candidates(rows: DataFrame, t: float) -> DataFrame:
-    """word, class: members of each prefix word's list that have a partner left."""
+def candidates(rows: DataFrame, t: float, n: int) -> DataFrame:
+    """word, class: members of each prefix word's list that have a partner left. n: partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[b.column(i).to_numpy() for i in range(4)] for b in batches]
@@ -208,10 +210,10 @@ def candidates(rows: DataFrame, t: float) -> DataFrame:
         keep = with_partner(word, size, place, sketch, more, t)
         yield pa.record_batch([pa.array(word[keep].astype(np.uint32).view(np.int32)), pa.array(group[keep])], names=["word", "class"])
 
-    return rows.repartition(partitions(rows.sparkSession), F.shiftright("at", 32)).mapInArrow(run, "word int, class long")
+    return rows.repartition(n, F.shiftright("at", 32)).mapInArrow(run, "word int, class long")
 
 
-def members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def members(docs: DataFrame, wanted: DataFrame, key: int) -> DataFrame:
     """wanted(class, rest, doc_id, tie, line, under): word, class, rest, doc_id, tie, line and words (64-bit hashes) of
     each class under each of its words `under`, from the texts."""
     lists = materialise(wanted.groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).agg(F.collect_list(F.struct("line", "class", "rest", "under")).alias("lines")))
@@ -221,7 +223,7 @@ def members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            doc, number, start, name, _ = lines_of(b.column(1), same)
+            doc, number, start, name, _ = lines_of(b.column(1), same, key)
             end = np.append(start[1:], len(name))
             width = int(number.max(initial=0)) + 1
             found = doc * width + number  # in order
@@ -238,7 +240,7 @@ def members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.select("doc_id", "text", "tie", "lines").mapInArrow(run, "word int, class long, rest long, doc_id long, tie long, line int, words array<long>")
 
 
-def matched(rows: DataFrame, t: float) -> DataFrame:
+def matched(rows: DataFrame, t: float, n: int) -> DataFrame:
     """rows(word, class, rest, doc_id, tie, line, words): classes with an earlier match under some word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,17 +284,20 @@ def matched(rows: DataFrame, t: float) -> DataFrame:
         gone = order[found]
         yield pa.record_batch([pa.array(group[gone]), pa.array(rest[gone])], names=["class", "rest"])
 
-    return rows.repartition(partitions(rows.sparkSession), "word").mapInArrow(run, "class long, rest long").distinct()
+    return rows.repartition(n, "word").mapInArrow(run, "class long, rest long").distinct()
 
 
 def removals(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     """doc_id, tie and the array `lines` of the numbers of the lines to remove, for texts that lose any."""
-    every = materialise(places(docs))
+    key = drawn_key()
+    every = materialise(places(docs, key))
     lines, place, name = every.where("bucket IS NULL"), F.struct("doc_id", "tie", "line"), ["class", "rest"]
     # What is one row for each class: hot lines are reduced on the map side.
     classes = materialise(lines.groupBy(*name).agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    some = candidates(prefixes(docs, rarity(every), t), t).groupBy("class").agg(F.collect_set("word").alias("under"))
-    late = matched(members(docs, some.join(classes, "class").select(*name, "under", "first.*")), t)
+    rank, words = rarity(every)
+    n = max(partitions(docs.sparkSession), words // WORDS_PER_TASK + 1)
+    some = candidates(prefixes(docs, rank, t, key), t, n).groupBy("class").agg(F.collect_set("word").alias("under"))
+    late = matched(members(docs, some.join(classes, "class").select(*name, "under", "first.*"), key), t, n)
     state = materialise(classes.join(late.withColumn("late", F.lit(True)), name, "left"), instead=classes)
     # At most HOT classes have so many lines; they are broadcast, and their lines needn't meet in a task.
     limit = (state.agg(F.sum("n")).first()[0] or 0) // HOT
@@ -316,7 +321,7 @@ def dedup_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     removed or not, has a Jaccard similarity of its set of words >= t. Lines without words stay. Null text stays
     null, with 0 lines. Repeated rows are one document: what leaves one leaves the other. Other columns are kept
     as they are. An empty table gives an empty result. A text of any length is worked on whole. Words are compared by
-    64-bit and whole sets by 128-bit hashes.
+    64-bit and whole sets by 128-bit hashes, under a key that is drawn for each run.
     """
     gone = removals(docs, t).select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("lines").alias("__lines"))
     rows = possibly(docs.withColumn("__of", F.xxhash64("text")), "__of", gone, "__tie")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, hashed_words, materialise, mix, owner, partitions, possibly, rolling, slices, words_of
+from .common import bitmap, drawn_key, hashed_words, materialise, mix, owner, partitions, possibly, rolling, slices, words_of
 
 WINDOW, SEED = 13, 5
 #: Words that one index holds; a larger shard gets several, and its pieces are streamed against each.
@@ -68,7 +68,7 @@ def pieces_of(off: np.ndarray, h: np.ndarray, window: int = WINDOW, seed: int =
     return doc[start], start - off[doc[start]], windows, least[start]
 
 
-def shared_minimisers(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+def shared_minimisers(docs: DataFrame, size: int, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Bitmaps (as 64-bit words) of the minimisers that documents of two ids hold, and of those of very many
     pieces, gathered on the executors. size: bytes of all texts."""
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(size).bit_length()))
@@ -77,7 +77,7 @@ def shared_minimisers(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            _, off, at, h = hashed_words(b.column(1))
+            _, off, at, h = hashed_words(b.column(1), key)
             doc, _, _, seed = pieces_of(np.searchsorted(at, off), h)
             if not len(doc):
                 continue
@@ -105,7 +105,7 @@ def shared_minimisers(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
         slot = seed[start].view(np.uint64) & np.uint64(bits - 1)
         yield pa.record_batch([pa.array(np.concatenate([slot[two], slot[two & many] + np.uint64(bits)]).view(np.int64))], names=["minimiser"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(seeds, "minimiser long, id long, n int").repartition(partitions(docs.sparkSession), "minimiser")
+    rows = docs.select("doc_id", "text").mapInArrow(seeds, "minimiser long, id long, n int").repartition(shards(docs.sparkSession, size), "minimiser")
     got = bitmap(rows.mapInArrow(meet, "minimiser long"), "minimiser", 2 * bits).toArrow()
     out = np.zeros(2 * bits // 64, np.int64)
     out[got["__slot"].to_numpy()] = got["__mask"].to_numpy()
@@ -117,14 +117,14 @@ def marked(bits: np.ndarray, value: np.ndarray) -> np.ndarray:
     return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)) > 0
 
 
-def pieces(docs: DataFrame, shared, words: bool) -> DataFrame:
+def pieces(docs: DataFrame, shared, words: bool, key: int) -> DataFrame:
     """Pieces whose minimiser may be shared (a broadcast pair of bitmaps). With words: shard (what they are dealt by),
     piece (hash of its words), windows, words (64-bit hashes), least and most doc_id. Without: piece, doc_id, tie and
     at (first word) of each occurrence."""
 
     def found(b: pa.RecordBatch):
         """Text, first word, windows, shard and name of each piece; where its words end in the last, hashes of words."""
-        _, text_off, begin, h = hashed_words(b.column(1))
+        _, text_off, begin, h = hashed_words(b.column(1), key)
         off = np.searchsorted(begin, text_off)
         doc, at, windows, seed = pieces_of(off, h)
         may = np.flatnonzero(marked(shared.value[0], seed))
@@ -344,9 +344,10 @@ def covered(docs: DataFrame) -> DataFrame:
     """doc_id, tie and starts (first words of the windows to remove) for texts that have any."""
     ids = F.coalesce("doc_id", F.lit(int(NO_ID)))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shared = docs.sparkSession.sparkContext.broadcast(shared_minimisers(docs, size))
-    firsts = materialise(repeated(pieces(docs, shared, True), shards(docs.sparkSession, size)))
-    places = possibly(pieces(docs, shared, False), "piece", firsts, "piece").where("__may").drop("__may")
+    key = drawn_key()
+    shared = docs.sparkSession.sparkContext.broadcast(shared_minimisers(docs, size, key))
+    firsts = materialise(repeated(pieces(docs, shared, True, key), shards(docs.sparkSession, size)))
+    places = possibly(pieces(docs, shared, False, key), "piece", firsts, "piece").where("__may").drop("__may")
     met = places.join(firsts, "piece").where(F.array_min("firsts") < ids)
     found = F.filter(F.transform("firsts", lambda f, i: F.when(f < ids, F.col("at") + i)), lambda x: x.isNotNull())
     return met.select("doc_id", "tie", found.alias("starts")).groupBy("doc_id", "tie").agg(F.flatten(F.collect_set("starts")).alias("starts"))
@@ -360,7 +361,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     texts lose nothing; null text has no words, and kept is then empty. Rows with one doc_id, repeated or not,
     don't take from each other. A null doc_id is greater than any other. Other columns are kept as they are. An
     empty table gives an empty result. A text of any length is worked on whole. Words and pieces are compared by
-    64-bit hashes.
+    64-bit hashes, under a key that is drawn for each run.
     """
     added = ("kept", "n_words", "n_removed", "spans")
     names = [c for c in docs.columns if c not in added]
