@@ -98,10 +98,29 @@ def test_close_boundary_and_capture(spark):
     assert got == [("scheduled_plus_grace", 900), ("none", None), ("actual_start", 60)]
 
 
+GAMES = "player int, market string, ts int, value double"
+
+
 def test_streak_that_begins_with_a_push_is_one(spark):
-    rows = spark.createDataFrame([(1, "m", 5 - i, v) for i, v in enumerate([10.0, 10.0, 12.0])], "player int, market string, ts int, value double")
-    run = lambda frozen: history.windows(rows, ["player", "market"], [F.desc("ts")], F.col("value"), F.lit(10.0), frozen).where("window = 'season'").first()["streak"]
-    assert (run("push"), run(None)) == (1, 2)
+    rows = spark.createDataFrame([(1, "m", 5 - i, v) for i, v in enumerate([10.0, 10.0, 12.0])], GAMES)
+    margin, outcome = history.line_result(F.col("value"), F.lit(10.0))
+    real = history.real_line_windows(rows.select("*", margin.alias("margin"), outcome.alias("outcome"), F.lit(False).alias("single_book")), ["player", "market"], [F.desc("ts")]).first()
+    plain = history.threshold_windows(rows, ["player", "market"], [F.desc("ts")], F.col("value"), F.lit(10.0)).first()
+    assert (real.season.streak, plain.season.streak) == (1, 2)
+    assert (real.L5.label, real.season.label, real.L5.requested, real.season.requested) == ("incomplete", "complete", 5, 3)
+
+
+def test_threshold_windows_compare_values_as_they_are(spark):
+    """Less than a hundredth above the threshold is above; a key without values has no data."""
+    rows = spark.createDataFrame([(1, "m", i, 10.004) for i in range(4)] + [(2, "m", 1, None), (3, "m", 2, 9.0), (3, "m", 1, 11.0), (3, "m", 3, None)], GAMES)
+    got = {r.player: r for r in history.threshold_windows(rows, ["player", "market"], [F.desc("ts")], F.col("value"), F.lit(10.0)).collect()}
+    one = got[1].L5
+    assert (one.n, one.above, one.equal, one.avg, one.avg_minus, one.median_minus, one.streak_of, one.streak, one.label) == (4, 4, 0, 10.004, 0.004, 0.004, "above", 4, "incomplete")
+    none = got[2].season
+    assert (none.n, none.avg, none.median_minus, none.streak_of, none.streak, none.label) == (0, None, None, None, None, "no_data") and got[2].L10.label == "no_data"
+    assert (got[3].season.streak_of, got[3].season.streak, got[3].season.avg, got[3].season.label) == ("below", 1, 10.0, "complete")
+    games = history.evaluated(rows, ["player", "market"], [F.desc("ts")], F.col("value"), F.lit(10.0)).where("player = 3").collect()
+    assert {(r.ts, r.number, r.outcome) for r in games} == {(2, 1, "below"), (1, 2, "above")}
 
 
 def test_presence_batch_and_transition_agree(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.scalar import age_rounded, first_true, rounded
-from tideline.operators.market import unique_mode
+from tideline.operators.market import summary
 
 #: Seconds after the scheduled start that a line still closes, and that a snapshot may be old.
 GRACE, STALE_AFTER = 900, 600
@@ -33,16 +33,9 @@ def capture_state(snapshot: Column, boundary: Column) -> Column:
 
 def closing_points(quotes: DataFrame, keys: list[str]) -> DataFrame:
     """Canonical closing point (H-04, H-05) of quotes(keys, book, point, eligible); a tie gives none."""
-    got = quotes.select(*keys).distinct().join(unique_mode(quotes.where("eligible"), keys, "point", "book"), keys, "left")
-    none, one, unique = F.col("voters").isNull(), F.col("voters") == 1, F.col("ties") == 1
-    return got.select(
-        *keys,
-        F.when(one, F.col("least")).when(unique, F.col("mode")).alias("closing_point"),
-        first_true([(none, "no_eligible_source"), (one, "single_book"), (unique, "unique_modal")], "tied_no_unique_mode").alias("method"),
-        first_true([(none, "no_closing_line"), (one, "single_book"), (unique, "complete")], "unresolved_closing_consensus").alias("coverage"),
-        F.coalesce("voters", F.lit(0)).alias("books"),
-        F.when(unique | one, F.col("votes")).alias("books_at_point"),
-    )
+    got = summary(quotes.select(*keys, "book", "point", F.col("eligible").alias("sportsbook")), keys)
+    named = {"no_line": "no_closing_line", "unresolved_consensus": "unresolved_closing_consensus"}
+    return got.select(*keys, F.col("line").alias("closing_point"), "method", F.col("coverage").alias("coverage"), "books", F.col("books_at_line").alias("books_at_point")).replace(named, subset=["coverage"])
 
 
 def line_result(stat: Column, point: Column) -> tuple[Column, Column]:
@@ -56,33 +49,79 @@ def numbered(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def streak(rn: Column, value: Column, first: Column, n: Column, frozen: str | None = None) -> Column:
-    """Length of the run of the newest value (W-04), for an aggregation; a run that begins with `frozen` is 1."""
-    run = F.least(F.coalesce(F.min(F.when(value != first, rn)) - 1, n), n)
-    return run if frozen is None else F.when(F.first(first) == frozen, F.lit(1)).otherwise(run)
-
-
-def windows(rows: DataFrame, keys: list[str], order: list[Column], value: Column, threshold: Column, frozen: str | None = None) -> DataFrame:
-    """All windows of each key in one shuffle (H-08 to H-11): counts above, equal and below the threshold, the
-    over rate, mean and median margin to four places, and the streak of the newest outcome. Means are of whole
-    hundredths, so the order of summation doesn't matter."""
-    margin = F.floor((value - threshold) * 100 + 0.5)
-    outcome = F.when(margin > 0, "over").when(margin < 0, "under").otherwise("push")
-    ranked = numbered(rows.withColumn("__m", margin).withColumn("__o", outcome), keys, order)
-    ranked = ranked.withColumn("__first", F.first("__o").over(Window.partitionBy(*keys).orderBy("rn")))
-    spread = ranked.select(*keys, "rn", "__m", "__o", "__first", F.explode(F.array(*[F.struct(F.lit(k).alias("window"), F.lit(n).alias("wanted")) for k, n in WINDOWS.items()])).alias("w"))
-    inside = spread.where(F.col("w.wanted").isNull() | (F.col("rn") <= F.col("w.wanted")))
-    n = F.count("*")
-    above, below = F.count_if(F.col("__o") == "over"), F.count_if(F.col("__o") == "under")
-    run = F.coalesce(F.min(F.when(F.col("__o") != F.col("__first"), F.col("rn"))) - 1, n)
-    if frozen:
-        run = F.when(F.max("__first") == frozen, F.lit(1)).otherwise(run)
-    got = inside.groupBy(*keys, F.col("w.window").alias("window"), F.col("w.wanted").alias("wanted")).agg(
-        n.alias("n"), above.alias("above"), below.alias("below"), F.count_if(F.col("__o") == "push").alias("equal"), F.sum("__m").alias("sum_m"), F.percentile("__m", 0.5).alias("median_m"), run.alias("streak"), F.max("__first").alias("streak_of")
-    )
-    rate = F.when(F.col("above") + F.col("below") > 0, rounded(F.col("above") / (F.col("above") + F.col("below")), 4))
-    label = first_true([(F.col("wanted").isNotNull() & (F.col("n") < F.col("wanted")), "incomplete")], "complete")
-    return got.select(*keys, "window", "n", "above", "equal", "below", rate.alias("over_rate"), rounded(F.col("sum_m") / F.col("n") / 100.0, 4).alias("avg_margin"), rounded(F.col("median_m") / 100.0, 4).alias("median_margin"), "streak", "streak_of", label.alias("label"))
+def judged(rows: DataFrame, keys: list[str], order: list[Column], outcome: Column, counts: Column) -> DataFrame:
+    """Rows with __rn (1 for the newest that counts), __o (its outcome) and __first (the newest outcome of the key).
+    Rows that don't count come last and have no outcome, so a key stays even if none does."""
+    w = Window.partitionBy(*keys).orderBy(F.col("__none"), *order)
+    return rows.withColumns({"__none": ~F.coalesce(counts, F.lit(False)), "__o": F.when(counts, outcome)}).withColumns({"__rn": F.row_number().over(w), "__first": F.first("__o").over(w)})
+
+
+def inside(n: int | None) -> Column:
+    """Whether a row of judged() is in the window of the newest n."""
+    return ~F.col("__none") & (F.lit(True) if n is None else F.col("__rn") <= n)
+
+
+def run_of(rows: Column, frozen: str | None = None) -> Column:
+    """Length of the run of the newest outcome within a window of so many rows (W-04), null without any; one that begins
+    with `frozen` has length 1. For an aggregation of judged() rows."""
+    run = F.least(F.coalesce(F.min(F.when(F.col("__o") != F.col("__first"), F.col("__rn"))) - 1, rows), rows)
+    run = run if frozen is None else F.when(F.first("__first") == frozen, F.lit(1)).otherwise(run)
+    return F.when(rows > 0, run).cast("long")
+
+
+def centre(x: Column, c: Column) -> tuple[Column, Column]:
+    """Mean (summed in the rows' order) and median of x over rows that meet c, to four places; null without any."""
+    return rounded(F.sum(F.when(c, x)) / F.count_if(c), 4), rounded(F.percentile(F.when(c, x), 0.5), 4)
+
+
+def threshold_windows(rows: DataFrame, keys: list[str], order: list[Column], value: Column, threshold: Column, names: list[str] = tuple(WINDOWS), extra: list[Column] = ()) -> DataFrame:
+    """A struct for each window of each key (H-09 to H-11): n, requested, above, equal and below the threshold, avg,
+    median, avg_minus and median_minus (to four places), streak_of, streak and label (no_data, incomplete or complete).
+
+    Values are compared as they are; only what is averaged is rounded. The threshold is the same for all rows of a key. Rows
+    with a null value don't count; a key without others has n 0 and nulls. extra: further aggregates of the same grouping.
+    """
+    made = judged(rows.withColumns({"__v": value, "__t": threshold}), keys, order, first_true([(value > threshold, "above"), (value < threshold, "below")], "equal"), value.isNotNull())
+    aggregates = []
+    for k in names:
+        c, v, t = inside(WINDOWS[k]), F.col("__v"), F.first("__t")
+        n, (avg, med) = F.count_if(c), centre(v, c)
+        requested = n if WINDOWS[k] is None else F.lit(WINDOWS[k]).cast("long")
+        label = first_true([(n == 0, "no_data"), (n < requested, "incomplete")], "complete")
+        counts = [F.count_if(c & (F.col("__o") == o)).alias(o) for o in ("above", "equal", "below")]
+        aggregates.append(F.struct(n.alias("n"), requested.alias("requested"), *counts, avg.alias("avg"), med.alias("median"), rounded(avg - t, 4).alias("avg_minus"), rounded(med - t, 4).alias("median_minus"), F.first("__first").alias("streak_of"), run_of(n).alias("streak"), label.alias("label")).alias(k))
+    return made.groupBy(*keys).agg(*aggregates, *extra)
+
+
+def evaluated(rows: DataFrame, keys: list[str], order: list[Column], value: Column, threshold: Column) -> DataFrame:
+    """The games that a threshold window was counted over, one row each: number (1 for the newest) and outcome."""
+    made = judged(rows, keys, order, first_true([(value > threshold, "above"), (value < threshold, "below")], "equal"), value.isNotNull())
+    return made.where(~F.col("__none")).withColumns({"number": F.col("__rn"), "outcome": F.col("__o")}).drop("__none", "__rn", "__o", "__first")
+
+
+def real_line_windows(rows: DataFrame, keys: list[str], order: list[Column], names: list[str] = tuple(WINDOWS)) -> DataFrame:
+    """A struct for each window of graded results (H-08): n, requested, over, under and push counts, over_rate, mean and
+    median of margin and value (to four places), streak_of, streak (a push is a run of its own) and label (incomplete,
+    single_book, no_closing_line or complete). rows(keys, outcome, margin, value, single_book): margin as it was graded."""
+    made = judged(rows, keys, order, F.col("outcome"), F.col("outcome").isNotNull())
+    aggregates = []
+    for k in names:
+        c = inside(WINDOWS[k])
+        n, requested = F.count_if(c), F.lit(WINDOWS[k]).cast("long")
+        over, under, push = (F.count_if(c & (F.col("__o") == o)) for o in ("over", "under", "push"))
+        rate = F.when(over + under > 0, rounded(over / (over + under), 4))
+        single = F.coalesce(F.bool_or(c & F.col("single_book")), F.lit(False))
+        short = F.coalesce(n < requested, F.lit(False))
+        label = first_true([(short, "incomplete"), (single, "single_book"), (n == 0, "no_closing_line")], "complete")
+        (avg_m, med_m), (avg_v, med_v) = centre(F.col("margin"), c), centre(F.col("value"), c)
+        aggregates.append(F.struct(n.alias("n"), F.coalesce(requested, n).alias("requested"), over.alias("over"), under.alias("under"), push.alias("push"), rate.alias("over_rate"), avg_m.alias("avg_margin"), med_m.alias("median_margin"), avg_v.alias("avg_value"), med_v.alias("median_value"), F.first("__first").alias("streak_of"), run_of(n, "push").alias("streak"), label.alias("label")).alias(k))
+    return made.groupBy(*keys).agg(*aggregates)
+
+
+def one_each(windows: DataFrame, keys: list[str], names: list[str] = tuple(WINDOWS)) -> DataFrame:
+    """A row for each window instead of a column."""
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("window"), F.col(k).alias("__w")) for k in names]))
+    return windows.select(*keys, rows.alias("__x")).select(*keys, "__x.window", "__x.__w.*")
 
 
 def series(games: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:

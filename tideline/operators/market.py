@@ -32,16 +32,38 @@ def unique_mode(rows: DataFrame, keys: list[str], value: str, voter: str) -> Dat
     return top.join(everyone, keys).select(*keys, F.when(ties == 1, F.col("top.v")).alias("mode"), F.col("top.n").alias("votes"), "voters", "kinds", "least", ties.alias("ties"))
 
 
+def summary(rows: DataFrame, keys: list[str] = GRAIN, point: str = "point", book: str = "book", dealt_by: list[str] | None = None) -> DataFrame:
+    """What the quotes of each key say, in two exchanges: line, method and coverage (L-01), books, books_at_line, low and
+    high (of sportsbooks' points), one_sided (of all), line_observed_at (of all). First each (key, book, point) becomes one row,
+    on the map side already; then keys are dealt out once, by dealt_by (a part of keys, by default all of them)."""
+    at, side = (F.col(c) if c in rows.columns else F.lit(None) for c in ("observed_at", "side"))
+    priced = F.col("price").isNotNull() if "price" in rows.columns else F.lit(True)
+    one = rows.groupBy(*keys, book, point).agg(F.bool_or("sportsbook").alias("__sb"), F.max(at).alias("__at"), F.bool_or((side == "over") & priced).alias("__over"), F.bool_or((side == "under") & priced).alias("__under"))
+    votes = F.col("__sb") & F.col(book).isNotNull() & F.col(point).isNotNull()
+    points = one.repartition(*(dealt_by or keys)).groupBy(*keys, point).agg(F.count_if(votes).alias("__n"), F.collect_set(F.when(votes, F.col(book))).alias("__books"), F.max("__at").alias("__at"), F.bool_or("__over").alias("__over"), F.bool_or("__under").alias("__under"))
+    voted = F.col("__n") > 0
+    got = points.groupBy(*keys).agg(
+        F.collect_list(F.when(voted, F.struct("__n", F.col(point).alias("point")))).alias("__votes"), F.size(F.array_distinct(F.flatten(F.collect_list("__books")))).cast("long").alias("books"),
+        F.min(F.when(voted, F.col(point))).alias("low"), F.max(F.when(voted, F.col(point))).alias("high"), F.max("__at").alias("line_observed_at"), F.bool_or("__over").alias("__over"), F.bool_or("__under").alias("__under"),
+    )
+    top = F.array_max("__votes")
+    ties = F.size(F.filter("__votes", lambda v: v["__n"] == top["__n"]))
+    none, single, unique = F.col("books") == 0, F.col("books") == 1, ties == 1
+    line = F.when(single, F.col("low")).when(unique & ~none, top["point"])
+    method = first_true([(none, "no_eligible_source"), (single, "single_book"), (unique, "unique_modal")], "tied_no_unique_mode")
+    coverage = first_true([(none, "no_line"), (single, "single_book"), (unique, "complete")], "unresolved_consensus")
+    over, under = F.coalesce("__over", F.lit(False)), F.coalesce("__under", F.lit(False))
+    return got.select(*keys, line.alias("line"), method.alias("method"), coverage.alias("coverage"), "books", F.when(line.isNotNull(), top["__n"]).alias("books_at_line"), "low", "high", one_sided(over, under).alias("one_sided"), "line_observed_at")
+
+
 def consensus(rows: DataFrame, keys: list[str] = GRAIN, point: str = "point", book: str = "book", spine: DataFrame | None = None) -> DataFrame:
     """Line consensus among sportsbooks (L-01): line, method and coverage. One book: its least point; else the
-    unique mode; a tie gives no line. Keys of the spine without a sportsbook have no_eligible_source."""
-    spine = rows.select(*keys).distinct() if spine is None else spine.select(*keys).distinct()
-    got = spine.join(unique_mode(rows.where("sportsbook"), keys, point, book), keys, "left")
-    none, one, unique = F.col("voters").isNull(), F.col("voters") == 1, F.col("ties") == 1
-    line = F.when(one, F.col("least")).when(unique, F.col("mode"))
-    method = first_true([(none, "no_eligible_source"), (one, "single_book"), (unique, "unique_modal")], "tied_no_unique_mode")
-    coverage = first_true([(none, "no_line"), (one, "single_book"), (unique, "complete")], "unresolved_consensus")
-    return got.select(*keys, line.alias("line"), method.alias("method"), coverage.alias("coverage"), F.coalesce("voters", F.lit(0)).alias("books"))
+    unique mode; a tie gives no line. Keys without a sportsbook, those of the spine too, have no_eligible_source."""
+    got = summary(rows, keys, point, book).select(*keys, "line", "method", "coverage", "books")
+    if spine is None:
+        return got
+    filled = {"method": "no_eligible_source", "coverage": "no_line", "books": 0}
+    return spine.select(*keys).distinct().join(got, keys, "left").fillna(filled)
 
 
 def line_range(rows: DataFrame, keys: list[str] = GRAIN) -> DataFrame:
@@ -96,14 +118,17 @@ def freshness_v2(books: Column, age: Column) -> Column:
     return first_true([(books == 0, "absent"), (age <= 900, "fresh"), (age <= 1800, "aging"), (age <= 3600, "stale_present")], "beyond_horizon")
 
 
-def market_row(quotes: DataFrame, spine: DataFrame, now: Column, gated: bool = True, keys: list[str] = GRAIN) -> DataFrame:
-    """The current row of each grain of the spine (M-05 to M-08): freshness from the latest quote; gated: a row
-    that is neither fresh nor aging keeps its grain but loses its line (v1); not gated: as it is (v2)."""
-    seen = quotes.groupBy(*keys).agg(F.max("observed_at").alias("line_observed_at"))
-    base = spine.select(*keys).distinct().join(seen, keys, "left")
-    base = base.withColumn("freshness", freshness(age_rounded(now, F.col("line_observed_at")), F.lit(True), F.lit(False), ROW_AGES))
-    usable = quotes.join(base.where(F.col("freshness").isin("fresh", "aging")).select(*keys), keys, "left_semi") if gated else quotes
-    return base.join(consensus(usable, keys, spine=base), keys).join(line_range(usable, keys), keys, "left").select(*keys, "freshness", "line_observed_at", "line", "method", "coverage", "books", "low", "high")
+def market_row(quotes: DataFrame, spine: DataFrame | None, now: Column, gated: bool = True, keys: list[str] = GRAIN) -> DataFrame:
+    """The current row of each grain of the spine, or of the quotes if that is None (M-05 to M-08): freshness from the
+    latest quote; gated: a row that is neither fresh nor aging keeps its grain but loses its line (v1); not gated: as it
+    is (v2)."""
+    rows = summary(quotes, keys)
+    if spine is not None:
+        rows = spine.select(*keys).distinct().join(rows, keys, "left")
+    rows = rows.withColumn("freshness", freshness(age_rounded(now, F.col("line_observed_at")), F.lit(True), F.lit(False), ROW_AGES))
+    usable = F.col("freshness").isin("fresh", "aging") if gated else F.lit(True)
+    kept = {c: F.when(usable, F.col(c)) for c in ("line", "method", "coverage", "books", "low", "high")}
+    return rows.withColumns(kept).fillna({"method": "no_eligible_source", "coverage": "no_line", "books": 0}).select(*keys, "freshness", "line_observed_at", "line", "method", "coverage", "books", "low", "high")
 
 
 def movement_summary(current: DataFrame, first: DataFrame, events: DataFrame, keys: list[str] = GRAIN) -> DataFrame:

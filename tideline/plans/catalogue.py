@@ -128,13 +128,13 @@ GATE = f"l AS (SELECT {G}, greatest(0, floor(epoch({NOW}) - epoch(max(observed_a
 @query("m06_market_row_gated", f"WITH {Q}, {GATE}, {mode_sql('fresh', G)}, r AS (SELECT {G}, min(point) AS low, max(point) AS high FROM fresh WHERE sportsbook GROUP BY {G}) SELECT {G}, CASE WHEN age <= 90 THEN 'fresh' WHEN age <= 300 THEN 'aging' WHEN age <= 900 THEN 'stale' ELSE 'unavailable' END AS freshness, line, coalesce(method, 'no_eligible_source') AS method, coalesce(books, 0) AS books, low, high FROM l LEFT JOIN c USING ({G}) LEFT JOIN r USING ({G})")
 def _(t):
     rows = quotes(t)
-    return market.market_row(rows, rows, F.expr(NOW)).select(*GRAIN, "freshness", "line", "method", "books", "low", "high")
+    return market.market_row(rows, None, F.expr(NOW)).select(*GRAIN, "freshness", "line", "method", "books", "low", "high")
 
 
 @query("m07_market_row_neutral", f"WITH {Q}, {mode_sql('q', G)}, r AS (SELECT {G}, min(point) AS low, max(point) AS high FROM q WHERE sportsbook GROUP BY {G}) SELECT {G}, line, method, coverage, books, low, high FROM c LEFT JOIN r USING ({G})")
 def _(t):
     rows = quotes(t)
-    return market.market_row(rows, rows, F.expr(NOW), gated=False).select(*GRAIN, "line", "method", "coverage", "books", "low", "high")
+    return market.market_row(rows, None, F.expr(NOW), gated=False).select(*GRAIN, "line", "method", "coverage", "books", "low", "high")
 
 
 @query("m10_feed_freshness", "WITH a AS (SELECT event_id, epoch(TIMESTAMP '2024-01-15') - epoch(ts) AS age, event_type = 'error' AS bad FROM events) SELECT event_id, CASE WHEN bad THEN 'failed_latest_poll' WHEN age <= 600 THEN 'fresh' WHEN age <= 1800 THEN 'aging' ELSE 'stale' END AS freshness FROM a")
@@ -194,23 +194,52 @@ def _(t):
     return market.consensus(quotes(t)).where("line is not null").join(stats, "player").select(*GRAIN, margin.alias("margin"), outcome.alias("outcome"))
 
 
-def windows_sql(frozen: str | None) -> str:
-    run = "coalesce(min(rn) FILTER (WHERE o <> first_o) - 1, count(*))"
-    run = f"CASE WHEN any_value(first_o) = '{frozen}' THEN 1 ELSE {run} END" if frozen else run
-    return f"""WITH a AS (SELECT user_id AS player, event_type AS market, floor((value - 50.0) * 100 + 0.5) AS m, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events),
-    b AS (SELECT *, CASE WHEN m > 0 THEN 'over' WHEN m < 0 THEN 'under' ELSE 'push' END AS o FROM a), f AS (SELECT *, first(o) OVER (PARTITION BY player, market ORDER BY rn) AS first_o FROM b), w(w, wanted) AS (VALUES ('L5', 5), ('L10', 10), ('L20', 20), ('season', NULL))
-    SELECT player, market, w AS "window", count(*) AS n, count(*) FILTER (WHERE o = 'over') AS above, count(*) FILTER (WHERE o = 'push') AS equal, count(*) FILTER (WHERE o = 'under') AS below, CASE WHEN count(*) FILTER (WHERE o <> 'push') > 0 THEN floor(count(*) FILTER (WHERE o = 'over') / count(*) FILTER (WHERE o <> 'push') * 10000 + 0.5) / 10000 END AS over_rate,
-    floor(sum(m) / count(*) / 100.0 * 10000 + 0.5) / 10000 AS avg_margin, floor(median(m) / 100.0 * 10000 + 0.5) / 10000 AS median_margin, {run} AS streak, any_value(first_o) AS streak_of, CASE WHEN wanted IS NOT NULL AND count(*) < wanted THEN 'incomplete' ELSE 'complete' END AS label FROM f JOIN w ON wanted IS NULL OR rn <= wanted GROUP BY player, market, w, wanted"""
+def played_sql(outcome: str, more: str = "") -> str:
+    """Graded games of events, numbered from the newest, with the newest outcome of each player and market."""
+    return f"""a AS (SELECT user_id AS player, event_type AS market, value AS v, {more}row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events),
+    f AS (SELECT *, first(o) OVER (PARTITION BY player, market ORDER BY rn) AS first_o FROM (SELECT *, {outcome} AS o FROM a)), w(w, wanted) AS (VALUES ('L5', 5), ('L10', 10), ('L20', 20), ('season', NULL))"""
 
 
-@query("h08_real_line_windows", windows_sql("push"))
+def four(x: str) -> str:
+    return f"floor(({x}) * 10000 + 0.5) / 10000"
+
+
+def mean_sql(x: str) -> str:
+    """Summed from the newest game on."""
+    return f"list_reduce(list({x} ORDER BY rn), lambda p, q: p + q) / count(*)"
+
+
+def threshold_sql(line: str = "50.0::DOUBLE") -> str:
+    return f"""WITH {played_sql(f"CASE WHEN v > {line} THEN 'above' WHEN v < {line} THEN 'below' ELSE 'equal' END")},
+    g AS (SELECT player, market, w AS "window", wanted, count(*) AS n, count(*) FILTER (WHERE o = 'above') AS above, count(*) FILTER (WHERE o = 'equal') AS equal, count(*) FILTER (WHERE o = 'below') AS below, {four(mean_sql('v'))} AS avg, {four('median(v)')} AS median, least(coalesce(min(rn) FILTER (WHERE o <> first_o) - 1, count(*)), count(*)) AS streak, any_value(first_o) AS streak_of
+      FROM f JOIN w ON wanted IS NULL OR rn <= wanted GROUP BY player, market, w, wanted)
+    SELECT player, market, "window", n, coalesce(wanted, n) AS requested, above, equal, below, avg, median, {four(f'avg - {line}')} AS avg_minus, {four(f'median - {line}')} AS median_minus, streak_of, streak, CASE WHEN n < wanted THEN 'incomplete' ELSE 'complete' END AS label FROM g"""
+
+
+REAL_SQL = f"""WITH {played_sql("CASE WHEN m > 0 THEN 'over' WHEN m < 0 THEN 'under' ELSE 'push' END", "floor((value - 50.0::DOUBLE) * 100 + 0.5) / 100 AS m, event_id % 11 = 0 AS single, ")},
+    g AS (SELECT player, market, w AS "window", wanted, count(*) AS n, count(*) FILTER (WHERE o = 'over') AS over, count(*) FILTER (WHERE o = 'under') AS under, count(*) FILTER (WHERE o = 'push') AS push, {four(mean_sql('m'))} AS avg_margin, {four('median(m)')} AS median_margin, {four(mean_sql('v'))} AS avg_value, {four('median(v)')} AS median_value,
+      CASE WHEN any_value(first_o) = 'push' THEN 1 ELSE least(coalesce(min(rn) FILTER (WHERE o <> first_o) - 1, count(*)), count(*)) END AS streak, any_value(first_o) AS streak_of, bool_or(single) AS single FROM f JOIN w ON wanted IS NULL OR rn <= wanted GROUP BY player, market, w, wanted)
+    SELECT player, market, "window", n, coalesce(wanted, n) AS requested, over, under, push, CASE WHEN over + under > 0 THEN {four('over / (over + under)')} END AS over_rate, avg_margin, median_margin, avg_value, median_value, streak_of, streak, CASE WHEN n < wanted THEN 'incomplete' WHEN single THEN 'single_book' ELSE 'complete' END AS label FROM g"""
+
+def newest():
+    return [F.desc("ts"), F.desc("event_id")]
+
+
+@query("h08_real_line_windows", REAL_SQL)
+def _(t):
+    margin, outcome = history.line_result(F.col("value"), F.lit(50.0))
+    rows = played(t).select("*", margin.alias("margin"), outcome.alias("outcome"), (F.col("event_id") % 11 == 0).alias("single_book"))
+    return history.one_each(history.real_line_windows(rows, ["player", "market"], newest()), ["player", "market"])
+
+
+@query("h09_threshold_windows", threshold_sql())
 def _(t):
-    return history.windows(played(t), ["player", "market"], [F.desc("ts"), F.desc("event_id")], F.col("value"), F.lit(50.0), frozen="push")
+    return history.one_each(history.threshold_windows(played(t), ["player", "market"], newest(), F.col("value"), F.lit(50.0)), ["player", "market"])
 
 
-@query("h09_threshold_windows", windows_sql(None))
+@query("h09_games_evaluated", "SELECT user_id AS player, event_type AS market, event_id, CASE WHEN value > 50 THEN 'above' WHEN value < 50 THEN 'below' ELSE 'equal' END AS outcome, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS number FROM events")
 def _(t):
-    return history.windows(played(t), ["player", "market"], [F.desc("ts"), F.desc("event_id")], F.col("value"), F.lit(50.0))
+    return history.evaluated(played(t), ["player", "market"], newest(), F.col("value"), F.lit(50.0)).select("player", "market", "event_id", "outcome", "number")
 
 
 @query("h13_historical_coverage", "SELECT user_id, strftime(min(ts), '%Y-%m-%d') AS earliest, count(*) AS n, bool_or(event_type = 'error') AS backfilled, date_diff('day', min(ts)::DATE, max(ts)::DATE) >= 30 AS covered FROM events GROUP BY user_id")
@@ -608,18 +637,19 @@ def _(t):
 
 def evidence_rows(t: Tables):
     """Windows of each player and market of events as the columns a profile needs; threshold 50."""
-    w = history.windows(played(t), ["player", "market"], [F.desc("ts"), F.desc("event_id")], F.col("value"), F.lit(50.0))
-    of = lambda k, c: F.max(F.when(F.col("window") == k, F.col(c)))
-    cols = [of(k, c).alias(f"{p}{s}") for k, s in (("L5", "5"), ("L10", "10"), ("L20", "20"), ("season", "s")) for c, p in (("above", "a"), ("below", "b"), ("equal", "e"), ("n", "n"), ("avg_margin", "avg"), ("median_margin", "med"))]
-    rows = w.groupBy("player", "market").agg(*cols)
+    w = history.threshold_windows(played(t), ["player", "market"], newest(), F.col("value"), F.lit(50.0))
+    cols = [F.col(k)[c].alias(f"{p}{s}") for k, s in (("L5", "5"), ("L10", "10"), ("L20", "20"), ("season", "s")) for c, p in (("above", "a"), ("below", "b"), ("equal", "e"), ("n", "n"), ("avg_minus", "avg"), ("median_minus", "med"))]
+    rows = w.select("player", "market", *cols)
     k = F.col("player")
     return rows.withColumns({"line": F.lit(50.0), "consensus": F.when(k % 9 != 0, 50.0 + (k % 5) - 2), "books": (k % 6).cast("long"), "books_at_line": F.least(k % 6, F.lit(2)).cast("long"), "net": F.lit(0.5), "m": F.lit(60.0), "one_sided": F.when(k % 13 == 0, "over_only").otherwise("neither"), "span_days": F.lit(60)})
 
 
-def evidence_sql(columns: str) -> str:
-    inner = windows_sql(None)
+def evidence_sql(columns: str, source: str | None = None, keys: str = "player, market") -> str:
+    """source: CTEs that end in y(keys, the windows' columns, line, m, net, consensus, books, books_at_line, one, stale, cause,
+    long_enough); by default events against a line of 50."""
+    inner = threshold_sql()
     of = lambda k, c, a: f"max({c}) FILTER (WHERE \"window\" = '{k}')::DOUBLE AS {a}"
-    cols = ", ".join(of(k, c, p + s) for k, s in (("L5", "5"), ("L10", "10"), ("L20", "20"), ("season", "z")) for c, p in (("above", "a"), ("below", "b"), ("equal", "e"), ("n", "n"), ("avg_margin", "avg"), ("median_margin", "med")))
+    cols = ", ".join(of(k, c, p + s) for k, s in (("L5", "5"), ("L10", "10"), ("L20", "20"), ("season", "z")) for c, p in (("above", "a"), ("below", "b"), ("equal", "e"), ("n", "n"), ("avg_minus", "avg"), ("median_minus", "med")))
     rd = ", ".join(f"CASE WHEN a{k} + b{k} > 0 THEN 2 * (a{k} / (a{k} + b{k})) - 1 ELSE 0.0 END::DOUBLE AS rd{k}" for k in ("5", "10", "20", "z"))
     clamp = lambda x: f"greatest(-1.0::DOUBLE, least(1.0::DOUBLE, {x}))"
     apart = lambda x, y: f"(sign({x}) * sign({y}) < 0 AND abs({x}) >= 0.3 AND abs({y}) >= 0.3)"
@@ -628,32 +658,33 @@ def evidence_sql(columns: str) -> str:
     scored = [
         reason(1, "-abs(margin)", "positive_margin_support", "abs(margin) >= 0.3 AND sign(margin) = sign(raw) AND raw <> 0"),
         reason(1, "-abs(agreement)", "window_agreement_support", "abs(agreement) >= 0.6 AND sign(agreement) = side"),
-        reason(1, "-abs(consensus - 50)", "favorable_consensus_difference", "side * (consensus - 50) >= 0.5"),
+        reason(1, "-abs(consensus - line)", "favorable_consensus_difference", "side * (consensus - line) >= 0.5"),
         reason(2, "-abs(margin)", "negative_margin_support", "abs(margin) >= 0.3 AND sign(margin) = -sign(raw) AND raw <> 0"),
-        reason(2, "-abs(consensus - 50)", "unfavorable_consensus_difference", "side * (consensus - 50) <= -0.5"),
+        reason(2, "-abs(consensus - line)", "unfavorable_consensus_difference", "side * (consensus - line) <= -0.5"),
         reason(2, "1", "margin_measures_disagree", "sign(avg10) * sign(med10) < 0"),
         reason(2, "-least(abs(trend), abs(market_c))", "market_disagrees_with_history", "against"),
         reason(2, "-greatest(abs(rd10), abs(rd20), abs(rdz))", "windows_disagree", "apart"),
         reason(3, "1", "one_sided_offering", "one"),
         reason(3, "1", "push_heavy_sample", "pushy"),
+        reason(3, "1", "stale_current_market", "stale"),
         reason(3, "1", "insufficient_book_coverage", "thin"),
     ]
-    alone = [reason(3, "1", k, f"cause = '{k}'") for k in ("no_current_market", "no_unique_consensus_line")] + [reason(3, "1", "insufficient_l10_sample", "cause IS NULL AND n10 < 5"), reason(3, "1", "incomplete_historical_coverage", "cause IS NULL AND nz < 10")]
+    alone = [reason(3, "1", k, f"cause = '{k}'") for k in ("postponed_game", "canceled_game", "unresolved_player_mapping", "unresolved_event_mapping", "no_current_market", "no_unique_consensus_line")] + [reason(3, "1", "insufficient_l10_sample", "cause IS NULL AND n10 < 5"), reason(3, "1", "incomplete_historical_coverage", "cause IS NULL AND (nz < 10 OR NOT long_enough)")]
     ranked = lambda rows: f"list_transform(list_sort(list_filter([{', '.join(rows)}], lambda q: q IS NOT NULL)), lambda q: q.k)"
-    return f"""WITH wn AS ({inner}), x AS (SELECT player, market, {cols} FROM wn GROUP BY player, market),
-    y AS (SELECT *, {rd}, CASE WHEN player % 9 <> 0 THEN 50.0::DOUBLE + (player % 5) - 2 END AS consensus, player % 6 AS books, least(player % 6, 2) AS books_at_line, player % 13 = 0 AS one, player % 6 IN (1, 2) AS thin, e10 / n10 > 0.3 AS pushy FROM x),
+    source = source or f"""wn AS ({inner}), x AS (SELECT player, market, {cols} FROM wn GROUP BY player, market),
+    y AS (SELECT *, 50.0::DOUBLE AS line, 60.0::DOUBLE AS m, 0.5::DOUBLE AS net, CASE WHEN player % 9 <> 0 THEN 50.0::DOUBLE + (player % 5) - 2 END AS consensus, player % 6 AS books, least(player % 6, 2) AS books_at_line, player % 13 = 0 AS one, false AS stale, true AS long_enough, CASE WHEN player % 6 = 0 THEN 'no_current_market' WHEN player % 9 = 0 THEN 'no_unique_consensus_line' END AS cause FROM x)"""
+    return f"""WITH {source}, yy AS (SELECT *, {rd}, books IN (1, 2) AS thin, coalesce(e10 / nullif(n10, 0) > 0.3, false) AS pushy FROM y),
     z AS (SELECT *, {clamp("0.55::DOUBLE * rd10 + 0.25::DOUBLE * CASE WHEN n20 >= 10 THEN rd20 ELSE rdz END + 0.2::DOUBLE * rdz")} AS trend,
-      (0.4::DOUBLE * {clamp('avg10 / 60')} + 0.3::DOUBLE * {clamp('med10 / 60')} + 0.2::DOUBLE * {clamp('avgz / 60')} + 0.1::DOUBLE * {clamp('medz / 60')}) / (0.4::DOUBLE + 0.3::DOUBLE + 0.2::DOUBLE + 0.1::DOUBLE) AS margin,
+      CASE WHEN avg10 IS NULL THEN 0.0 ELSE (0.4::DOUBLE * {clamp('avg10 / m')} + 0.3::DOUBLE * {clamp('med10 / m')} + 0.2::DOUBLE * {clamp('avgz / m')} + 0.1::DOUBLE * {clamp('medz / m')}) / (0.4::DOUBLE + 0.3::DOUBLE + 0.2::DOUBLE + 0.1::DOUBLE) END AS margin,
       sign(0.1::DOUBLE * sign(rd5) + 0.4::DOUBLE * sign(rd10) + 0.25::DOUBLE * sign(rd20) + 0.25::DOUBLE * sign(rdz)) AS dom,
-      CASE WHEN books = 0 THEN 'no_current_market' WHEN consensus IS NULL THEN 'no_unique_consensus_line' END AS cause,
-      {apart('rd10', 'rd20')} OR {apart('rd10', 'rdz')} OR {apart('rd20', 'rdz')} AS apart FROM y),
+      {apart('rd10', 'rd20')} OR {apart('rd10', 'rdz')} OR {apart('rd20', 'rdz')} AS apart FROM yy),
     u AS (SELECT *, CASE WHEN dom = 0 THEN 1 ELSE dom END * ({vote}) AS agreement,
-      CASE WHEN consensus IS NULL OR one THEN 0.0 ELSE 0.6::DOUBLE * {clamp('(consensus - 50) / 60')} + 0.2::DOUBLE * CASE WHEN books > 0 THEN books_at_line / books ELSE 0 END * sign(consensus - 50) + 0.2::DOUBLE * {clamp('0.5::DOUBLE / 60')} END::DOUBLE AS market_c FROM z),
-    v AS (SELECT *, {clamp('0.35::DOUBLE * trend + 0.25::DOUBLE * margin + 0.2::DOUBLE * agreement + 0.2::DOUBLE * market_c')} AS raw, {apart('trend', 'market_c')} AS against, cause IS NULL AND n10 >= 5 AND nz >= 10 AS scored FROM u),
-    w AS (SELECT *, one OR pushy OR thin OR against AS capped, scored AND NOT apart AND abs(raw) >= 0.05 AS open FROM v),
+      CASE WHEN consensus IS NULL OR one THEN 0.0 ELSE 0.6::DOUBLE * {clamp('(consensus - line) / m')} + 0.2::DOUBLE * CASE WHEN books > 0 THEN books_at_line / books ELSE 0 END * sign(consensus - line) + 0.2::DOUBLE * {clamp('net / m')} END::DOUBLE AS market_c FROM z),
+    v AS (SELECT *, {clamp('0.35::DOUBLE * trend + 0.25::DOUBLE * margin + 0.2::DOUBLE * agreement + 0.2::DOUBLE * market_c')} AS raw, {apart('trend', 'market_c')} AS against, cause IS NULL AND n10 >= 5 AND nz >= 10 AND long_enough AS scored FROM u),
+    w AS (SELECT *, one OR pushy OR stale OR thin OR against AS capped, scored AND NOT apart AND abs(raw) >= 0.05 AS open FROM v),
     p AS (SELECT *, CASE WHEN NOT open THEN '' WHEN abs(raw) >= 0.55 AND n10 >= 8 AND sign(rd10) = sign(raw) AND abs(trend) >= 0.3 AND NOT capped THEN 'strong_' WHEN abs(raw) >= 0.3 THEN 'moderate_' ELSE '' END AS level FROM w),
     q AS (SELECT *, CASE WHEN level <> '' THEN sign(raw) END AS side, CASE WHEN raw > 0 THEN 'over' ELSE 'under' END AS dir FROM p)
-    SELECT player, market, {columns.replace('#ALONE', ranked(alone)).replace('#SCORED', ranked(scored))} FROM q"""
+    SELECT {keys}, {columns.replace('#ALONE', ranked(alone)).replace('#SCORED', ranked(scored))} FROM q"""
 
 
 SCORE_SQL = "CASE WHEN scored THEN floor(raw * 10000 + 0.5) / 10000 END AS score"
@@ -665,7 +696,7 @@ def _(t):
 
 
 CLASS_SQL = """CASE WHEN cause IS NOT NULL THEN 'unavailable' WHEN NOT scored THEN 'insufficient_evidence' WHEN level = '' THEN 'mixed' ELSE level || dir END AS classification,
-    CASE WHEN level = 'moderate_' AND capped THEN CASE WHEN one THEN 'one_sided_offering' WHEN pushy THEN 'push_heavy_sample' WHEN thin THEN 'insufficient_book_coverage' ELSE 'market_disagrees_with_history' END ELSE 'none' END AS cap,
+    CASE WHEN level = 'moderate_' AND capped THEN CASE WHEN one THEN 'one_sided_offering' WHEN pushy THEN 'push_heavy_sample' WHEN stale THEN 'stale_current_market' WHEN thin THEN 'insufficient_book_coverage' ELSE 'market_disagrees_with_history' END ELSE 'none' END AS cap,
     array_to_string(CASE WHEN scored THEN #SCORED ELSE #ALONE END, ',') AS reasons"""
 
 
@@ -683,4 +714,4 @@ def oracle_sql():
     return dict(SQL)
 
 
-from tideline.plans import more  # noqa: E402, F401  (adds its queries)
+from tideline.plans import built, more  # noqa: E402, F401  (add their queries)
