@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tideline.operators import lifecycle, profiles
+from tideline.operators import lifecycle, prefix, profiles, recompute, seeding
 from tideline.plans.catalogue import CLASS_SQL, G, evidence_sql, four, mode_sql, query, quotes
 
 # ---- lifecycles of lines --------------------------------------------------------------------------------------------
@@ -123,3 +124,104 @@ def _(t):
 @query("e22_grains", "SELECT DISTINCT l_partkey % 10 AS game, l_partkey AS player, l_returnflag AS market FROM lineitem")
 def _(t):
     return profiles.grains(quotes(t))
+
+
+# ---- snapshots, recomputation, ceilings -----------------------------------------------------------------------------
+
+CLASSES = {f"b{k}": "dfs_pickem" if k == 3 else "sportsbook" for k in range(9)}
+
+
+def nested_snapshots(t):
+    """Orders as snapshots: suppliers are books, return flags or high taxes markets, and lines their outcomes, some of them broken."""
+    k, n = F.col("l_partkey"), F.col("l_linenumber")
+    o = F.struct(
+        F.when(n % 7 == 6, "push").when(F.col("l_linestatus") == "O", " Over ").otherwise("UNDER").alias("name"), F.when(k % 13 == 0, " ").otherwise(F.concat(F.lit("Né-"), k % 50)).alias("description"),
+        F.when(k % 11 != 0, F.col("l_extendedprice")).alias("price"), F.when(k % 17 != 0, F.col("l_discount")).alias("point"), F.lit(None).cast("double").alias("multiplier"),
+    )
+    market = ["l_orderkey", (F.col("l_suppkey") % 11).alias("b"), F.when(F.col("l_tax") > 0.06, "other").otherwise(F.col("l_returnflag")).alias("k")]
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "o"))), lambda x: x["o"])
+    markets = t.lineitem.select(*market, n.alias("n"), o.alias("o")).groupBy("l_orderkey", "b", "k").agg(ordered.alias("outcomes"))
+    books = markets.groupBy("l_orderkey", "b").agg(F.array_sort(F.collect_list(F.struct(F.col("k").alias("key"), F.lit(None).cast("timestamp").alias("last_update"), "outcomes"))).alias("markets"))
+    data = books.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("b"), "b").alias("key"), F.lit("t").alias("title"), F.lit(None).cast("timestamp").alias("last_update"), "markets"))).alias("bookmakers"))
+    at = F.expr(AT)
+    return data.select(F.col("l_orderkey").alias("snapshot_id"), at.alias("boundary"), (at - F.make_interval(secs=F.col("l_orderkey") % 900)).alias("taken_at"), F.struct(F.col("l_orderkey").cast("string").alias("id"), "bookmakers").alias("data"))
+
+
+SEEDED = "l AS (SELECT l_orderkey AS snapshot_id, l_suppkey % 11 AS b, 'b' || l_suppkey % 11 AS book, CASE WHEN l_tax > 0.06 THEN 'other' ELSE l_returnflag END AS market, l_partkey AS k, l_linenumber AS n, l_linestatus, l_discount, l_extendedprice FROM lineitem WHERE l_orderkey % 900 <= 600)"
+WHY = "CASE WHEN k % 13 = 0 THEN 'missing_player_description' WHEN k % 17 = 0 THEN 'missing_point' WHEN n % 7 = 6 THEN 'missing_side' END"
+
+
+@query("h03_exclusions", f"WITH {SEEDED} SELECT DISTINCT 0 AS n, snapshot_id, book, '' AS market, CASE WHEN b >= 9 THEN 'unallowlisted_bookmaker_key' ELSE 'dfs_pickem_excluded_from_sportsbook_consensus' END AS reason FROM l WHERE b >= 9 OR b = 3 UNION ALL SELECT DISTINCT 0, snapshot_id, book, market, 'unlaunched_market_key' FROM l WHERE b < 9 AND b <> 3 AND market = 'other' UNION ALL SELECT row_number() OVER (PARTITION BY snapshot_id, book, market, {WHY}), snapshot_id, book, market, {WHY} FROM l WHERE b < 9 AND b <> 3 AND market <> 'other' AND {WHY} IS NOT NULL")
+def _(t):
+    rows = seeding.exclusions(seeding.outcomes(nested_snapshots(t), CLASSES, ("A", "N", "R")))
+    by = Window.partitionBy("snapshot_id", "book", "market", "reason").orderBy("reason")
+    whole = F.col("reason").isin("unallowlisted_bookmaker_key", "dfs_pickem_excluded_from_sportsbook_consensus", "unlaunched_market_key")
+    return rows.withColumn("n", F.when(whole, F.row_number().over(by) - 1).otherwise(F.row_number().over(by))).select("n", "snapshot_id", "book", "market", "reason")
+
+
+@query("h03_closing_quotes", f"WITH {SEEDED}, v AS (SELECT *, CASE WHEN l_linestatus = 'O' THEN 'over' ELSE 'under' END AS side, CASE WHEN k % 11 <> 0 THEN trunc(l_extendedprice)::BIGINT ELSE 0 END AS price, k % 50 AS p FROM l WHERE b < 9 AND b <> 3 AND market <> 'other' AND {WHY} IS NULL) SELECT snapshot_id, book, market, 'Né-' || p AS player, l_discount AS point, arg_max(price, n) FILTER (WHERE side = 'over') AS over_price, arg_max(price, n) FILTER (WHERE side = 'under') AS under_price FROM v GROUP BY snapshot_id, book, market, p, l_discount")
+def _(t):
+    return seeding.closing_quotes(seeding.outcomes(nested_snapshots(t), CLASSES, ("A", "N", "R"))).select("snapshot_id", "book", "market", "player", "point", "over_price", "under_price")
+
+
+@query("d13_quarantine", f"WITH {SEEDED} SELECT 'r1' AS run_id, snapshot_id, book, market, count(*) AS n FROM (SELECT DISTINCT snapshot_id, book, NULL::VARCHAR AS market FROM l WHERE b >= 9 OR b = 3 UNION ALL SELECT DISTINCT snapshot_id, book, market FROM l WHERE b < 9 AND b <> 3 AND market = 'other' UNION ALL SELECT snapshot_id, book, market FROM l WHERE b < 9 AND b <> 3 AND market <> 'other' AND {WHY} IS NOT NULL) GROUP BY ALL")
+def _(t):
+    rows = seeding.quarantined(seeding.exclusions(seeding.outcomes(nested_snapshots(t), CLASSES, ("A", "N", "R"))), "r1")
+    return rows.groupBy("run_id", "snapshot_id", "book", "market").agg(F.count("reason").alias("n"))
+
+
+def recomputable(t):
+    """events as stats, half of them changed since they were graded, and the queue that says so."""
+    e = F.col("event_id")
+    base = t.events.select(e.alias("stat_id"), e.alias("game"), F.col("user_id").alias("player"), F.col("event_type").alias("market"), "value", (e % 9 != 0).alias("eligible"))
+    stats = base.withColumn("value", F.when(e_changed(), F.col("value") + 7).otherwise(F.col("value")))
+    points = base.select("game", "player", "market", F.when(F.col("game") % 13 != 0, 50.0).alias("closing_point"), F.when(F.col("game") % 5 == 0, "single_book").when(F.col("game") % 7 == 0, "unresolved_closing_consensus").otherwise("complete").alias("coverage"))
+    starts = t.events.select(e.alias("game"), F.col("ts").alias("starts_at"))
+    g = F.col("game")
+    changed = stats.where(e_changed())
+    never = F.lit(None).cast("timestamp").alias("processed_at"), F.lit(None).cast("string").alias("note")
+    queue = changed.select(F.concat_ws("-", F.lit("c"), "game").alias("id"), F.when(g % 3 == 0, "stat").otherwise("game").alias("kind"), g.alias("entity"), F.expr(AT).alias("observed_at"), *never)
+    queue = queue.union(t.supplier.select(F.concat_ws("-", F.lit("s"), "s_suppkey"), F.lit("game"), -1 - F.col("s_suppkey"), F.expr(AT), *never))
+    return queue, points, base, stats, starts
+
+
+def e_changed():
+    return F.col("game") % 2 == 0
+
+
+def drained(t):
+    queue, points, base, stats, starts = recomputable(t)
+    old = recompute.results(points, base)
+    return recompute.drain(queue, points, stats, starts, old, recompute.windows(old, starts), F.expr(AT))
+
+
+#: All computed anew from the changed stats.
+ANEW = "r AS (SELECT event_id AS game, user_id AS player, event_type AS market, ts, CASE WHEN event_id % 2 = 0 THEN value + 7 ELSE value END AS v, CASE WHEN event_id % 5 = 0 THEN 'single_book' ELSE 'complete' END AS coverage FROM events WHERE event_id % 9 <> 0 AND event_id % 13 <> 0 AND (event_id % 5 = 0 OR event_id % 7 <> 0)), d AS (SELECT *, floor((v - 50.0::DOUBLE) * 100 + 0.5) / 100 AS m FROM r), f AS (SELECT *, CASE WHEN m > 0 THEN 'over' WHEN m < 0 THEN 'under' ELSE 'push' END AS o, row_number() OVER (PARTITION BY player, market ORDER BY ts DESC, game DESC) AS rn FROM d)"
+
+
+@query("h20_drained_results", f"WITH {ANEW} SELECT game, player, market, v AS value, o AS outcome, m AS margin, coverage FROM f")
+def _(t):
+    return drained(t)[1].select("game", "player", "market", "value", "outcome", "margin", "coverage")
+
+
+@query("h20_drained_windows", f"WITH {ANEW} SELECT player, market, count(*) AS n, count(*) FILTER (WHERE o = 'over') AS over, {four('list_reduce(list(m ORDER BY rn) FILTER (WHERE rn <= 10), lambda p, q: p + q) / count(*) FILTER (WHERE rn <= 10)')} AS avg_margin FROM f GROUP BY player, market")
+def _(t):
+    return drained(t)[2].select("player", "market", F.col("season.n").alias("n"), F.col("season.over").alias("over"), F.col("L10.avg_margin").alias("avg_margin"))
+
+
+@query("h20_drained_queue", "SELECT 'c-' || event_id AS id, 'recomputed' AS note FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 's-' || s_suppkey, 'no_eligible_source' FROM supplier")
+def _(t):
+    return drained(t)[0].where("processed_at IS NOT NULL").select("id", "note")
+
+
+@query("h22_bounded_repair", "WITH m AS (SELECT o_orderkey AS game, o_orderkey % 5 = 0 AS repaired, o_orderkey % 7 = 0 AS failed, o_orderkey % 3 <> 0 AS fine, o_custkey % 41 AS credits FROM orders), c AS (SELECT *, CASE WHEN repaired OR failed THEN 0 ELSE credits END AS cost FROM m), s AS (SELECT *, sum(cost) OVER (ORDER BY game)::BIGINT AS spent FROM c) SELECT game, CASE WHEN repaired THEN 'skipped' WHEN failed THEN 'failed' WHEN fine THEN 'eligible' ELSE 'close_capture_stale' END AS outcome, spent FROM s WHERE game < coalesce((SELECT min(game) FROM s WHERE NOT repaired AND spent - cost + 40 > 10000), 1e18)")
+def _(t):
+    k = F.col("o_orderkey")
+    manifest = t.orders.select(k.alias("game"), (k % 5 == 0).alias("repaired"), (k % 7 == 0).alias("failed"), F.when(k % 3 != 0, "eligible").otherwise("close_capture_stale").alias("capture"), (F.col("o_custkey") % 41).alias("credits"))
+    return prefix.bounded_repair(manifest, "game", 10_000, ranges=16).select("game", "outcome", "spent")
+
+
+@query("w_running_total", "SELECT l_orderkey, l_linenumber, sum(l_quantity::BIGINT) OVER (ORDER BY epoch(l_shipdate), l_orderkey, l_linenumber)::BIGINT AS total FROM lineitem")
+def _(t):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("at"))
+    return prefix.running_total(rows, "at", ["l_orderkey", "l_linenumber"], F.col("l_quantity"), ranges=16).select("l_orderkey", "l_linenumber", "total")
