@@ -714,4 +714,4 @@ def oracle_sql():
     return dict(SQL)
 
 
-from tideline.plans import built, more  # noqa: E402, F401  (add their queries)
+from tideline.plans import built, more, ruled  # noqa: E402, F401  (add their queries)
