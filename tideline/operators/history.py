@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.scalar import age_rounded, first_true, rounded
 from tideline.operators.market import summary
+from tideline.operators.prefix import ranged
 
 #: Seconds after the scheduled start that a line still closes, and that a snapshot may be old.
 GRACE, STALE_AFTER = 900, 600
@@ -148,13 +149,19 @@ def merge_versions(current: DataFrame, incoming: DataFrame, keys: list[str], val
     return both.select(*keys, *[F.when(F.col("__i"), F.col(v)).otherwise(F.col(f"__old_{v}")).alias(v) for v in values], action.alias("action"))
 
 
-def nearest_ranks(rows: DataFrame, counts: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """Values at rank floor(p n), from 0, of each key (A-14): rows are numbered in order, no group is gathered in
-    memory. counts(key, n)."""
-    w = Window.partitionBy(key).orderBy(value)
-    numbers = rows.select(key, value).withColumn("__rn", F.row_number().over(w)).join(counts.select(key, F.col("n").alias("__n")), key)
-    pick = [F.max(F.when(F.col("__rn") == F.least(F.col("__n"), F.floor(F.lit(p) * F.col("__n")) + 1), F.col(value))).alias(c) for c, p in shares.items()]
-    return numbers.groupBy(key).agg(*pick)
+def nearest_ranks(rows: DataFrame, counts: DataFrame, key: str, value: str, shares: dict[str, float], ranges: int | None = None) -> DataFrame:
+    """Values at rank floor(p n), from 0, of each key (A-14), null first. counts(key, n). Values are dealt by ranges, whose
+    counts tell which of them holds a rank; only those are numbered, each apart, so no task sees a key's whole column."""
+    parts = ranged(rows.select(key, value), value, ranges)
+    w = Window.partitionBy(key).orderBy("__range")
+    held = parts.groupBy(key, "__range").agg(F.count("*").alias("__k")).withColumn("__upto", F.sum("__k").over(w)).join(counts.select(key, F.col("n").alias("__n")), key)
+    ranks = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.least(F.col("__n"), F.floor(F.lit(p) * F.col("__n")) + 1).alias("rank")) for c, p in shares.items()]))
+    wanted = held.select(key, "__range", "__k", "__upto", ranks.alias("r")).where((F.col("r.rank") > F.col("__upto") - F.col("__k")) & (F.col("r.rank") <= F.col("__upto")))
+    wanted = wanted.select(key, "__range", F.col("r.name").alias("__name"), (F.col("r.rank") - F.col("__upto") + F.col("__k")).alias("__rn"))
+    inside = parts.join(wanted.select(key, "__range").distinct(), [key, "__range"], "left_semi")
+    numbers = inside.withColumn("__rn", F.row_number().over(Window.partitionBy(key, "__range").orderBy(value)).cast("long"))
+    found = wanted.join(numbers, [key, "__range", "__rn"])
+    return found.groupBy(key).agg(*[F.max(F.when(F.col("__name") == c, F.col(value))).alias(c) for c in shares])
 
 
 def strip(rows: DataFrame, keys: list[str], newest_first: list[Column], eligible: Column, n: int) -> DataFrame:

@@ -143,8 +143,11 @@ def movement_summary(current: DataFrame, first: DataFrame, events: DataFrame, ke
 def collapse_duplicates(rows: DataFrame, group: list[str], line: list[str]) -> DataFrame:
     """Duplicate collapse (D-04): rows of one group with over one price are quarantined whole; else they are one
     row. State: multi_line where a line (player, side) has several points, else which sides a point has."""
-    got = rows.groupBy(*group).agg(F.count("*").alias("duplicates"), F.count_distinct("price").alias("prices"), F.min("price").alias("price"))
     point = [c for c in group if c != "side"]
+    got = rows.groupBy(*group).agg(F.count("*").alias("duplicates"), (F.min("price").eqNullSafe(F.max("price"))).cast("int").alias("__one"), F.count("price").alias("__priced"), F.min("price").alias("price"))
+    got = got.withColumn("prices", F.when(F.col("__priced") == 0, 0).when(F.col("__one") == 1, 1).otherwise(2))
+    both = [c for c in line if c in point]  # dealt by what both windows have, once
+    got = got.repartition(*both) if both else got
     good = F.col("prices") == 1
     points = F.size(F.collect_set(F.when(good, F.col("point"))).over(Window.partitionBy(*line)))
     sides = F.array_sort(F.collect_set(F.when(good, F.col("side"))).over(Window.partitionBy(*point)))
