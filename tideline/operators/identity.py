@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.scalar import first_true
+from tideline.functions.scalar import first_true, normal_name
 
 TOLERANCE = 900
 
@@ -107,3 +107,83 @@ def superseded(current: DataFrame, approved: DataFrame, key: str, value: str) ->
     both = approved.join(current.select(key, F.col(value).alias("__old")), key, "left").where(~F.col("__old").eqNullSafe(F.col(value)))
     events = F.array(F.when(F.col("__old").isNotNull(), F.struct(F.lit("superseded").alias("event"), F.col("__old").alias(value))), F.struct(F.lit("approved").alias("event"), F.col(value).alias(value)))
     return both.select(key, F.explode(F.filter(events, lambda x: x.isNotNull())).alias("__e")).select(key, "__e.*")
+
+
+def mapping_resolution(grains: DataFrame, players: DataFrame, games: DataFrame, player_queue: DataFrame, game_queue: DataFrame) -> DataFrame:
+    """grains(player, game) with player_resolved, event_resolved and queue_reason (H-18): whether any provider's mapping of
+    it is approved; the reason is that of the player if it isn't, else of the game if that isn't, else null.
+
+    players(player, state) and games(game, state): mappings, several of a thing by several providers. The queues are as in
+    queue_reason(); where none names it, the reason is unmatched. Only unresolved things are looked up there.
+    """
+    rows = grains
+    for name, mapped in (("player", players), ("game", games)):
+        approved = mapped.where("state = 'approved'").select(name).distinct().withColumn(f"__{name}", F.lit(True))
+        rows = rows.join(approved, name, "left").withColumn(f"__{name}", F.coalesce(f"__{name}", F.lit(False)))
+    for name, queue in (("player", player_queue), ("game", game_queue)):
+        wanted = rows.where(~F.col(f"__{name}")).select(F.col(name).alias("id")).distinct()
+        reason = queue_reason(wanted, queue).select(F.col("id").alias(name), F.col("reason").alias(f"__{name}_reason"))
+        rows = rows.join(reason, name, "left")
+    reason = F.when(~F.col("__player"), F.col("__player_reason")).when(~F.col("__game"), F.col("__game_reason"))
+    return rows.select(*grains.columns, F.col("__player").alias("player_resolved"), F.col("__game").alias("event_resolved"), reason.alias("queue_reason"))
+
+
+def persisted_resolutions(outcomes: DataFrame, mappings: DataFrame, queue: DataFrame) -> DataFrame:
+    """What becomes of each event's outcome (I-04), in one pass over what is known of it: event_id, action, game_id and
+    state of its mapping afterwards, and reason.
+
+    outcomes(event_id, game_id, reason): a game that was found, or null and why not; one row for an event. mappings(event_id,
+    game_id, state), queue(event_id, resolution, reason). action: inserted (no mapping was there), unchanged (approved, the
+    same game), updated (a mapping without a game gets it, an unresolved one is approved), clash (the mapping has another
+    game, which stays; an unresolved state is approved all the same), queued, and already_queued where the event has an open
+    row. Only an insertion and a queueing make rows, so working off the same outcomes again makes none.
+    """
+    kinds = [outcomes.select("event_id", F.struct("game_id", "reason").alias("o")), mappings.select("event_id", F.struct("game_id", "state").alias("m")), queue.where("resolution = 'open'").select("event_id", F.lit(True).alias("q"))]
+    both = kinds[0].unionByName(kinds[1], allowMissingColumns=True).unionByName(kinds[2], allowMissingColumns=True)
+    one = both.groupBy("event_id").agg(F.max("o").alias("o"), F.max("m").alias("m"), F.bool_or("q").alias("q")).where("o IS NOT NULL")
+    found, known = F.col("o.game_id"), F.col("m.game_id")
+    same = (known == found) & (F.col("m.state") == "approved")
+    action = first_true([(found.isNull() & F.coalesce("q", F.lit(False)), "already_queued"), (found.isNull(), "queued"), (F.col("m").isNull(), "inserted"), (F.coalesce(same, F.lit(False)), "unchanged"), (F.coalesce(known != found, F.lit(False)), "clash")], "updated")
+    state = F.when(found.isNull(), F.col("m.state")).otherwise(F.when(F.coalesce(F.col("m.state"), F.lit("unresolved")) == "unresolved", "approved").otherwise(F.col("m.state")))
+    return one.select("event_id", action.alias("action"), F.when(found.isNull(), known).otherwise(F.coalesce(known, found)).alias("game_id"), state.alias("state"), F.when(found.isNull(), F.col("o.reason")).alias("reason"))
+
+
+def reconcile_players_in_context(provider: DataFrame, reviewed: DataFrame, aliases: DataFrame, players: DataFrame, teams: DataFrame) -> DataFrame:
+    """provider(provider_id, name, provider_team): outcome and player_id (I-02), by names in normal form and teams.
+
+    A reviewed mapping decides. Else the active aliases of the name: of several players, alias_conflict; of one, approved
+    by reviewed_alias if the provider's team, where it gives one, is mapped (teams(provider_team, team)) and is the
+    player's own, where that is known; else missing_team_context. Else players of that name: of one, proposed_for_review; of
+    several, ambiguous_name; a name that is empty in normal form, or that nobody has, is unmatched. player_id is null
+    where nobody is chosen, and the candidate's where it waits for review.
+    """
+    keyed = lambda d, c: d.withColumn("__name", normal_name(F.col(c)))
+    by_alias = keyed(aliases.where("active"), "name").groupBy("__name").agg(F.count_distinct("player_id").alias("n_alias"), F.min("player_id").alias("alias_id"))
+    by_name = keyed(players, "name").groupBy("__name").agg(F.count_distinct("player_id").alias("n_name"), F.min("player_id").alias("name_id"))
+    home = players.groupBy(F.col("player_id").alias("alias_id")).agg(F.max("team").alias("__own"))
+    rows = keyed(provider, "name").join(reviewed.select("provider_id", F.col("player_id").alias("reviewed_id")), "provider_id", "left")
+    rows = rows.join(by_alias, "__name", "left").join(by_name, "__name", "left").join(home, "alias_id", "left").join(teams.select("provider_team", F.col("team").alias("__seen")), "provider_team", "left")
+    fits = F.col("provider_team").isNull() | (F.col("__seen").isNotNull() & (F.col("__own").isNull() | (F.col("__own") == F.col("__seen"))))
+    named = F.coalesce(F.col("__name"), F.lit("")) != ""
+    outcome = first_true(
+        [
+            (F.col("reviewed_id").isNotNull(), "reviewed_mapping"), (~named, "unmatched"), (F.col("n_alias") > 1, "alias_conflict"), ((F.col("n_alias") == 1) & fits, "reviewed_alias"), (F.col("n_alias") == 1, "missing_team_context"),
+            (F.col("n_name") == 1, "proposed_for_review"), (F.col("n_name") > 1, "ambiguous_name"),
+        ],
+        "unmatched",
+    )
+    rows = rows.withColumn("outcome", outcome)
+    o = F.col("outcome")
+    pick = F.when(o == "reviewed_mapping", F.col("reviewed_id")).when(o.isin("reviewed_alias", "missing_team_context"), F.col("alias_id")).when(o == "proposed_for_review", F.col("name_id"))
+    return rows.select("provider_id", "outcome", pick.alias("player_id"))
+
+
+def reconcile_provider_events(events: DataFrame, games: DataFrame, teams: DataFrame) -> DataFrame:
+    """events(event_id, home, away, at) with teams by any of their names: outcome and game (I-01 with J-17). teams(team,
+    full_name, name, abbreviation, city); games have internal teams. A name that no team, or more than one, has is an
+    unresolved team."""
+    names = ["full_name", "name", "abbreviation", "city"]
+    rows = events.select("event_id", "home", "away", "at")
+    for side in ("home", "away"):
+        rows = by_any_name(rows, side, teams, names, "team").drop(side).withColumnRenamed("team", side)
+    return reconcile_events(rows, games)

@@ -73,6 +73,22 @@ def watermark(runs: DataFrame, keys: list[str]) -> DataFrame:
     return done.groupBy(*keys).agg(F.max("completed_at").alias("watermark"), F.max_by("run_id", F.struct("completed_at", "run_id")).alias("run_id"))
 
 
+def advanced(current: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Each watermark after one more run (T-06): keys (endpoint and scope), completed_at, run_id and row_count, what they
+    were before (previous_at, previous_id), and refusal, null where the run moved it.
+
+    current(keys, completed_at, run_id, row_count), one row for a key, null for one that never moved; runs(keys, state,
+    completed_at, run_id, row_count), one for a key at most: that of another endpoint or scope meets no watermark and makes
+    none. A run that isn't complete, or is older than the watermark, is refused; one as old moves it."""
+    fields = ("completed_at", "run_id", "row_count")
+    rows = current.join(runs.select(*keys, "state", *[F.col(c).alias(f"__{c}") for c in fields]), keys, "left")
+    none = F.col("__run_id").isNull()
+    refusal = first_true([(none, "no_run"), (F.coalesce(F.col("state") != "complete", F.lit(True)), "not_complete"), (F.coalesce(F.col("__completed_at") < F.col("completed_at"), F.lit(False)), "older_than_watermark")])
+    moved = refusal.isNull()
+    made = [F.when(moved, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in fields]
+    return rows.select(*keys, *made, F.when(moved, F.col("completed_at")).alias("previous_at"), F.when(moved, F.col("run_id")).alias("previous_id"), refusal.alias("refusal"))
+
+
 def slice_watermark(runs: DataFrame, keys: list[str], order: list[Column], terminal: Column, refused: Column) -> DataFrame:
     """State of each slice after its runs in order (T-07): the first terminal run ends it for good, later ones don't
     count; a refused run counts, but leaves the cursor (the number of the last run that moved it) where it was."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.functions.scalar import first_true
 
@@ -66,14 +67,25 @@ def restricted(rows: DataFrame, equal: dict, among: dict) -> DataFrame:
     return rows
 
 
+def field_names(kind: T.DataType) -> set[str]:
+    """Names of all fields at any depth: of structs, in arrays, and in keys and values of maps."""
+    if isinstance(kind, T.StructType):
+        return {f.name for f in kind.fields}.union(*(field_names(f.dataType) for f in kind.fields))
+    if isinstance(kind, T.ArrayType):
+        return field_names(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return field_names(kind.keyType) | field_names(kind.valueType)
+    return set()
+
+
 def projected(rows: DataFrame, allowed: list[str], forbidden: list[str] = ()) -> DataFrame:
-    """The allowed columns, in order (P-13). An error if one is missing or forbidden, at any depth of a struct."""
+    """The allowed columns, in order (P-13). An error if one is missing or forbidden, at any depth of structs, arrays and
+    maps."""
     if bad := set(allowed) & set(forbidden):
         raise ValueError(f"forbidden columns: {sorted(bad)}")
     if missing := set(allowed) - set(rows.columns):
         raise ValueError(f"missing columns: {sorted(missing)}")
     out = rows.select(*allowed)
-    inner = {f.name for c in out.schema.fields if hasattr(c.dataType, "fields") for f in c.dataType.fields}
-    if bad := inner & set(forbidden):
+    if bad := field_names(out.schema) & set(forbidden):
         raise ValueError(f"forbidden fields: {sorted(bad)}")
     return out
