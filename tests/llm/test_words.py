@@ -49,17 +49,17 @@ def forged(key: int, size: int) -> tuple[str, str]:
     is printable, and their last eight characters differ by it."""
     import random
 
-    from tideline.llm.common import FIRST, STEP, mix
+    from tideline.llm.common import STEP, key_parts, scrambled
 
     r = random.Random(1)
-    odd, more = np.uint64(key | 1), np.uint64(key * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
+    more, *factors = key_parts(key)
     with np.errstate(over="ignore"):
-        start = mix(np.array([size], np.uint64) * STEP + more)
+        start = scrambled(np.array([size], np.uint64) * STEP + more, *factors)
         heads = ["".join(r.choice("abcdefghijklmnop") for _ in range(size - 8)) for _ in range(60_000)]
         state = np.repeat(start, len(heads))
         for k in range(0, size - 8, 8):
             part = np.array([int.from_bytes(h[k : k + 8].encode(), "little") for h in heads], np.uint64)
-            state = mix((state ^ (part & FIRST[8])) * odd + more)
+            state = scrambled(state ^ part, *factors)
     seen: dict[int, int] = {}
     for i, s in enumerate(state.tolist()):
         if (j := seen.setdefault(s & 0x8080808080808080, i)) != i:

@@ -112,23 +112,41 @@ def drawn_key() -> int:
 
 def hashed_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
     """A 64-bit hash of each data[start:end], by a key: eight bytes at a time through a finaliser that is a bijection, so
-    equal lengths of up to eight bytes never collide; between the steps the key multiplies and is added, so that which
-    longer words would collide depends on it. Those of over LONG_WORD bytes by xxh3 with the key as its seed."""
-    odd, more = np.uint64(key | 1), np.uint64(key * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
+    equal lengths of up to eight bytes never collide; the key gives the factors of the finaliser and the state that it
+    begins with, so that which longer words would collide depends on it. Those of over LONG_WORD bytes by xxh3 with the
+    key as its seed."""
+    more, *factors = key_parts(key)
     size = end - start
     eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
-    h = mix(size.astype(np.uint64) * STEP + more)
+    h = scrambled(size.astype(np.uint64) * STEP + more, *factors)
     live = np.flatnonzero(size <= LONG_WORD)
     for k in range(0, LONG_WORD, 8):
         live = live[size[live] > k]
         if not len(live):
             break
-        h[live] = mix((h[live] ^ (eight[start[live] + k] & FIRST[np.minimum(size[live] - k, 8)])) * odd + more)
+        h[live] = scrambled(h[live] ^ (eight[start[live] + k] & FIRST[np.minimum(size[live] - k, 8)]), *factors)
     for i in np.flatnonzero(size > LONG_WORD):
         h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), key)
     return h
 
 
+def key_parts(key: int) -> tuple[np.uint64, np.uint64, np.uint64]:
+    """A number to begin with and two odd factors, all drawn from the key."""
+    one, two, three = mix(np.array([key + i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF for i in (1, 2, 3)], np.uint64))
+    return one, two | np.uint64(1), three | np.uint64(1)
+
+
+def scrambled(x: np.ndarray, one: np.uint64, two: np.uint64) -> np.ndarray:
+    """mix() by factors of the caller's, which must be odd; x is the caller's to lose."""
+    shift = np.uint64(33)
+    x ^= x >> shift
+    x *= one
+    x ^= x >> shift
+    x *= two
+    x ^= x >> shift
+    return x
+
+
 def hashed_words(texts: pa.Array, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words between ASCII white space as 64-bit hashes, straight from the UTF-8 bytes: all bytes, offsets of the
     texts in them, first byte of each word, hash of each word."""
