@@ -74,9 +74,9 @@ def engine_v1(rows: DataFrame) -> DataFrame:
 
 def engine_v2(rows: DataFrame) -> DataFrame:
     """Profiles by the age of the line at the reference time (E-18), from inputs(gated=False): unrounded, and none where
-    the line is younger than that. Grains beyond the horizon give no row; a grain without books is unavailable whatever
+    the line is younger than that; a line without a time is beyond the horizon. Grains beyond the horizon give no row; a grain without books is unavailable whatever
     its age."""
-    branch = market.freshness_v2(F.col("books"), F.greatest(F.col("age"), F.lit(0.0)))
+    branch = market.freshness_v2(F.col("books"), F.greatest(F.coalesce("age", F.lit(float("inf"))), F.lit(0.0)))
     verdict = first_true([(F.col("branch") == "absent", "unavailable"), (F.col("branch") == "stale_present", "stale")], "fresh")
     return profiles(rows.withColumn("branch", branch).where("branch <> 'beyond_horizon'").withColumn("freshness", verdict))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tideline.operators import lifecycle, prefix, profiles, recompute, seeding
-from tideline.plans.catalogue import CLASS_SQL, G, evidence_sql, four, mode_sql, query, quotes
+from tideline.operators import board, evidence, explain, lifecycle, prefix, profiles, recompute, seeding
+from tideline.plans.catalogue import CLASS_SQL, G, SQL, evidence_rows, evidence_sql, four, mode_sql, query, quotes
 
 # ---- lifecycles of lines --------------------------------------------------------------------------------------------
 
@@ -225,3 +225,49 @@ def _(t):
 def _(t):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("at"))
     return prefix.running_total(rows, "at", ["l_orderkey", "l_linenumber"], F.col("l_quantity"), ranges=16).select("l_orderkey", "l_linenumber", "total")
+
+
+# ---- the board ------------------------------------------------------------------------------------------------------
+
+
+def texts_sql(kinds: dict[str, str]) -> str:
+    pairs = ", ".join(f"""'{k}': '{v.replace("'", "''")}'""" for k, v in kinds.items())
+    return f"nullif(array_to_string(list_filter(list_transform(string_split(reasons, ','), lambda c: MAP {{{pairs}}}[c]), lambda x: x IS NOT NULL), ' '), '')"
+
+
+def of_sql(values: dict[str, str], key: str) -> str:
+    return "CASE " + key + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
+
+
+@query("v09_explanations", f"""WITH e AS ({SQL["e11_classification"]}) SELECT player, market, {of_sql(explain.FULL, "classification")} AS label, {of_sql(explain.COMPACT, "classification")} || CASE WHEN cap <> 'none' THEN ' — ' || {of_sql(explain.TAGS, "cap")} ELSE '' END AS compact_line,
+    {texts_sql(explain.SUPPORT)} AS support, {texts_sql(explain.CONTRADICTION)} AS contradiction, {texts_sql(explain.QUALITY)} AS quality, CASE WHEN player % 4 = 0 THEN '{explain.SEEDED}' END AS marker FROM e""")
+def _(t):
+    rows = evidence.reasons(evidence.profile(evidence_rows(t).withColumnRenamed("market", "of")))
+    made = explain.explanations(rows, F.col("player") % 4 == 0)
+    return made.select("player", F.col("of").alias("market"), "label", "compact_line", "support", "contradiction", "quality", "marker")
+
+
+@query("v07_bundles", "WITH n AS (SELECT l_orderkey AS profile_id, count(*) AS n, array_to_string(list(l_linenumber || ':' || l_partkey ORDER BY l_linenumber, l_linenumber || ':' || l_partkey), ',') AS series FROM lineitem GROUP BY l_orderkey) SELECT o_orderkey AS profile_id, CASE WHEN o_orderkey % 3 = 0 THEN 'unavailable_not_persisted' ELSE 'available' END AS status, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice + 10 END AS l10, CASE WHEN o_orderkey % 3 <> 0 THEN coalesce(series, '') END AS series FROM orders LEFT JOIN n ON profile_id = o_orderkey")
+def _(t):
+    k = F.col("o_orderkey").alias("profile_id")
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("window"), (F.col("o_totalprice") + n).alias("v")) for w, n in (("L5", 5), ("L10", 10), ("L20", 20), ("season", 0))])).alias("w")
+    windows = t.orders.where("o_orderkey % 3 <> 0").select(k, each).select("profile_id", "w.*")
+    series = t.lineitem.select(F.col("l_orderkey").alias("profile_id"), F.col("l_linenumber").alias("ordinal"), F.concat_ws(":", "l_linenumber", "l_partkey").alias("v"))
+    sources = t.lineitem.select(F.col("l_orderkey").alias("profile_id"), F.col("l_linenumber").alias("ordinal"), F.col("l_suppkey").alias("source_id"))
+    made = board.bundles(t.orders.select(k), windows, sources, series)
+    return made.select("profile_id", "status", F.col("windows")["L10"]["v"].alias("l10"), F.when(F.col("series").isNotNull(), F.array_join(F.transform("series", lambda x: x["v"]), ",")).alias("series"))
+
+
+@query("v01_board", "WITH p AS (SELECT o_orderkey AS game, o_custkey AS player, o_orderpriority AS market, o_orderdate AS ref, o_totalprice AS score FROM orders WHERE o_custkey % 5 <> 0), m AS (SELECT l_orderkey AS game, max(l_linenumber) AS v, count(*) AS n, arg_max(l_discount, {'a': l_linenumber, 'b': l_discount}) AS low FROM lineitem GROUP BY l_orderkey), s AS (SELECT l_orderkey AS game, max(l_shipdate - INTERVAL 60 DAY) FILTER (WHERE l_shipdate - INTERVAL 60 DAY <= o_orderdate) AS seen FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey) SELECT p.game, p.player, p.market, c_name AS name, n1.n_name AS team, c_nationkey = p.game % 25 AS is_home, n2.n_name AS opponent_city, coalesce(v, 0) AS books, low, epoch(seen)::BIGINT AS seen FROM p JOIN customer ON c_custkey = player LEFT JOIN nation n1 ON n1.n_nationkey = c_nationkey LEFT JOIN nation n2 ON n2.n_nationkey = CASE WHEN c_nationkey = p.game % 25 THEN (p.game + 7) % 25 ELSE p.game % 25 END LEFT JOIN m ON m.game = p.game LEFT JOIN s ON s.game = p.game")
+def _(t):
+    g = F.col("o_orderkey")
+    grain = [g.alias("game"), F.col("o_custkey").alias("player"), F.col("o_orderpriority").alias("market")]
+    profile = t.orders.where("o_custkey % 5 <> 0").select(*grain, F.col("o_orderdate").cast("timestamp").alias("reference_at"), F.col("o_totalprice").alias("score"))
+    lines = t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey").join(t.orders, "o_orderkey")
+    market = lines.select(*grain, F.col("l_linenumber").alias("version"), F.col("l_linenumber").alias("books"), F.col("l_discount").alias("low"), F.col("l_discount").alias("high"))
+    seen = lines.select(*grain, (F.col("l_shipdate").cast("timestamp") - F.expr("INTERVAL 60 DAYS")).alias("observed_at"))
+    players = t.customer.select(F.col("c_custkey").alias("player"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("team"))
+    teams = t.nation.select(F.col("n_nationkey").alias("team"), F.col("n_name").alias("title"), F.lit(None).cast("string").alias("city"))
+    games = t.orders.select(g.alias("game"), (g % 25).alias("home"), ((g + 7) % 25).alias("away"), F.lit(None).cast("timestamp").alias("starts_at"))
+    rows = board.board_rows(profile, players, teams, games, market, seen)
+    return rows.select("game", "player", "market", "name", "team", "is_home", "opponent_city", "books", "low", F.unix_seconds("line_observed_at").alias("seen"))
