@@ -2,16 +2,16 @@
 
 Names, numbers and units of a text become typed placeholders; punctuation and case go. Windows of five template
 words are hashed and joined with those of the benchmark. A document that holds at least `share` of an item's
-windows is a candidate; on each alignment of the two, the placeholders must then be filled consistently (one
-value of the item always by one value of the document, and the other way round), as in a re-parameterised
-question. Windows with fewer than two words that are not placeholders say nothing and are not used. An item without
+windows is a candidate. Windows that lie as far apart as in the item, but for up to DRIFT words, are a run; one that
+holds `share` of the windows by itself is a leak if the placeholders of its windows are filled consistently (one value
+of the item always by one value of the document, and the other way round), as in a re-parameterised question. Windows with fewer than two words that are not placeholders say nothing and are not used. An item without
 any other window is met by windows of its plain words, values included; one of fewer than five words by the whole
 lines that consist of its words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SHINGLE_WORDS, materialise
@@ -21,6 +21,8 @@ UNITS = "km|m|cm|mm|mi|miles|ft|feet|in|inch|inches|kg|g|mg|lb|lbs|oz|tons?|l|ml
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
 #: Benchmark windows up to this many are broadcast (about 40 bytes each); more are joined by a shuffle, with one result.
 MOST_BROADCAST = 250_000
+#: Words that may be put in or left out within a run.
+DRIFT = 4
 
 
 def marked(text: Column) -> Column:
@@ -97,30 +99,37 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = 0.5) -> DataFrame:
     items = items.select("item_id", "text").distinct().withColumn("item_tie", F.xxhash64("text"))
     met, asked = hits(docs, items)
     sizes = asked.groupBy("item_id", "item_tie").agg(F.count_distinct("item_at").alias("windows"))
-    shift = F.col("at") - F.col("item_at")
-    near = met.groupBy("doc_id", "tie", "item_id", "item_tie").agg(F.count_distinct("item_at").alias("n"), F.collect_set(shift).alias("shifts"))
+    pair = ["doc_id", "tie", "item_id", "item_tie"]
+    place = F.struct((F.col("at") - F.col("item_at")).alias("shift"), "item_at")
+    near = met.groupBy(*pair).agg(F.count_distinct("item_at").alias("n"), F.collect_set(place).alias("places"))
     sizes = sizes.select(F.col("item_id").alias("i"), F.col("item_tie").alias("t"), "windows")
     near = near.join(small(sizes, asked.count()), near.item_id.eqNullSafe(F.col("i")) & (near.item_tie == F.col("t"))).drop("i", "t").where(F.col("n") >= share * F.col("windows"))
-    near = materialise(near)
+    by_shift = near.select(*pair, "windows", F.explode("places").alias("p")).groupBy(*pair, "windows", F.col("p.shift").alias("shift")).agg(F.collect_set("p.item_at").alias("ats"))
+    around = Window.partitionBy(*pair).orderBy("shift").rangeBetween(-DRIFT, DRIFT)
+    runs = by_shift.withColumn("run", F.collect_list(F.struct("shift", "ats")).over(around))
+    runs = runs.withColumn("n", F.size(F.array_distinct(F.flatten(F.transform("run", lambda r: r.ats))))).where(F.col("n") >= share * F.col("windows"))
+    near = materialise(runs.groupBy(*pair, "windows").agg(F.max("n").alias("n"), F.collect_set("run").alias("runs")))
     # The words of candidate documents and items: keys with a null id are met by the hash of the text alone.
     texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("tie"), "text").join(near.select(F.col("doc_id").alias("d"), "tie").distinct(), ["tie"], "left_semi").dropDuplicates(["d", "tie"])
     asks = items.select(F.col("item_id").alias("i"), "item_tie", F.col("text").alias("item_text"))
     pairs = near.join(texts, (near.tie == texts.tie) & near.doc_id.eqNullSafe(F.col("d"))).drop(texts.tie).join(asks, (near.item_tie == asks.item_tie) & near.item_id.eqNullSafe(F.col("i"))).drop(asks.item_tie)
     # Written, so that the words are not made anew for each place of an alignment.
-    pairs = materialise(pairs.select("doc_id", "tie", "item_id", "n", "windows", "shifts", marked(F.col("text")).alias("w"), marked(F.col("item_text")).alias("v")))
+    pairs = materialise(pairs.select("doc_id", "tie", "item_id", "n", "windows", "runs", marked(F.col("text")).alias("w"), marked(F.col("item_text")).alias("v")))
 
-    def slots(s: Column) -> Column:
-        """(value of the item, value of the document) at the item's placeholders, on one alignment."""
-        both = F.transform(F.col("v"), lambda x, i: F.struct(x.alias("x"), F.get("w", F.when(i + s >= 0, i + s)).alias("y")))
-        return F.filter(both, lambda p: (p.x < F.lit("\u0004")) & (F.substring(p.x, 1, 1) == F.substring(p.y, 1, 1)))
+    def slots(run: Column) -> Column:
+        """(value of the item, value of the document) at the placeholders of a run's windows."""
+        word = lambda at, k, s: F.struct(F.get("v", at + k).alias("x"), F.get("w", at + k + s).alias("y"))
+        window = lambda at, s: F.array(*[word(at, k, s) for k in range(SHINGLE_WORDS)])
+        both = F.flatten(F.transform(run, lambda r: F.flatten(F.transform(r.ats, lambda at: window(at, r["shift"])))))
+        return F.filter(F.array_distinct(both), lambda p: (p.x < F.lit("\u0004")) & (F.substring(p.x, 1, 1) == F.substring(p.y, 1, 1)))
 
-    def consistent(s: Column) -> Column:
-        got = F.array_distinct(slots(s))
+    def consistent(got: Column) -> Column:
         one = lambda f: F.size(F.array_distinct(F.transform(got, f))) == F.size(got)
         return one(lambda p: p.x) & one(lambda p: p.y)
 
-    fine = pairs.where(F.exists("shifts", consistent))
-    exact = F.exists("shifts", lambda s: F.forall(slots(s), lambda p: p.x == p.y))
+    filled = pairs.withColumn("filled", F.filter(F.transform("runs", slots), consistent))
+    fine = filled.where(F.size("filled") > 0)
+    exact = F.exists("filled", lambda got: F.forall(got, lambda p: p.x == p.y))
     return fine.select("doc_id", "tie", "item_id", (F.col("n") / F.col("windows")).alias("found"), exact.alias("exact")).union(short_leaks(docs, items))
 
 
@@ -128,7 +137,8 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.5) -> DataF
     """doc_id, contaminated, n_items and item_ids (ascending) of each row of docs.
 
     Null and empty texts hold nothing, and null and empty items are never found. A text of any length is judged
-    whole; a share equal to `share` is a leak. Items that are equal but for their ids are found alike. Rows with a null doc_id are judged; a null item_id counts in n_items and is left out of item_ids. Repeated
+    whole, and one that repeats an item is judged at each place: its places are one row's work, as many as it has
+    windows. A share equal to `share` is a leak. Items that are equal but for their ids are found alike. Rows with a null doc_id are judged; a null item_id counts in n_items and is left out of item_ids. Repeated
     rows come out as often as they come in; other columns are ignored; an empty table gives an empty result,
     and with an empty benchmark nothing is contaminated.
     """
