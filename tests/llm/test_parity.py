@@ -21,3 +21,30 @@ def test_mismatch_is_seen(spark):
     plain = ours.theirs
     ours.theirs = lambda runs: [[0] if r == " quick" else i for r, i in zip(runs, plain(runs), strict=True)]
     assert ours.encode(texts)[2] == [False, True, False, True, None, None]
+
+
+def unigram(pieces):
+    """The bytes of a unigram model of pieces (text, score), without a normaliser's table."""
+    import struct
+
+    def field(number, data):
+        return bytes([number << 3 | 2]) + varint(len(data)) + data
+
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((p, s, 1) for p, s in pieces)]
+    made = b"".join(field(1, field(1, p.encode()) + b"\x15" + struct.pack("<f", s) + b"\x18" + varint(kind)) for p, s, kind in rows)
+    return made + field(2, b"\x18\x01") + field(3, field(1, b"identity") + b"\x20\x00")
+
+
+def test_ties_are_broken_as_the_library_does(spark):
+    """Whole table and runs of one sign, whose best pieces tie: ids are the library's on each row."""
+    scores = [(bridge.MARKER, -2.1), ("#", -1.3), ("##", -2.6), ("###", -3.9), ("a", -3.3), ("b", -3.7), ("ab", -7.0), ("ba", -7.0), ("aba", -10.3)]
+    model = unigram(scores)
+    texts = ["#" * n for n in range(1, 40)] + ["ab" * n for n in range(1, 20)] + ["a # ab ## aba b", "x##y", "", " ## ", "ba" * 7 + "#" * 5]
+    got = bridge.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).toPandas()
+    want = bridge.original(model).encode(texts)
+    assert [list(x) for x in got.sort_values("doc_id").ids] == want
+    assert (~got.parity.astype(bool)).any()  # else there was no tie to break
+    assert [n for n in got.sort_values("doc_id").n_ids] == [len(x) for x in want]
