@@ -187,9 +187,7 @@ def possibly(df: DataFrame, column: str, step: DataFrame, of: str) -> DataFrame:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    return scrambled(x.copy(), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:

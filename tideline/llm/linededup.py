@@ -48,18 +48,20 @@ def lines_of(texts: pa.Array, rank: np.ndarray, key: int):
     hashes of the words of all lines (each once, ordered by the rank of their bucket), and the hashes of all
     occurrences."""
     data, off, at, h = hashed_words(texts, key)
-    feeds = np.flatnonzero(data == 10)
-    doc = np.searchsorted(off, at, "right") - 1
-    number = np.searchsorted(feeds, at) - np.searchsorted(feeds, off)[doc]
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(at, off)))
+    feeds = np.cumsum(data == 10, dtype=np.int32)  # up to each byte; a word's first byte is none, and a text's is none of its own
+    before = np.where(off > 0, feeds[off - 1], 0) if len(feeds) else np.zeros(len(off), np.int32)
+    number = (feeds[at] - before[doc]).astype(np.int64)
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])])[: len(at)]
     line = np.cumsum(new) - 1
     # Line, rank and some bits of the hash in one number; only where those don't tell, the hash too.
     key = line.astype(np.uint64) << np.uint64(42) | rank[h >> np.uint64(48)] << np.uint64(26) | (h >> np.uint64(22) & np.uint64((1 << 26) - 1))
     order = np.argsort(key)
-    same = key[order][1:] == key[order][:-1]
-    if len(at) and (line[-1] >= 1 << 22 or (same & (h[order][1:] != h[order][:-1])).any()):
+    key, name = key[order], h[order]
+    if len(at) and (line[-1] >= 1 << 22 or ((key[1:] == key[:-1]) & (name[1:] != name[:-1])).any()):
         order = np.lexsort((h, h >> np.uint64(22) & np.uint64((1 << 26) - 1), rank[h >> np.uint64(48)], line))
-    line, name = line[order], h[order]
+        name = h[order]
+    line = line[order]
     once = np.concatenate([[True], (line[1:] != line[:-1]) | (name[1:] != name[:-1])])[: len(line)]
     line, name = line[once], name[once]
     start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])[: len(line)])
