@@ -26,7 +26,7 @@ ORDER = 3
 CHARACTERS = "abcdefghijklmnopqrstuvwxyz0./-_?=&#:%+~"
 SYMBOLS = len(CHARACTERS) + 2
 #: Rules of the production query, each a host and the start of a path.
-RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Words of a host (between dots and hyphens) that mark a rejected URL to learn from.
 SEEDS = ("ads", "adult", "bet", "bets", "betting", "casino", "lottery", "pills", "poker", "porn", "spam", "torrent", "tracker", "track", "viagra", "warez", "xxx")
 BINS, SPAN = 512, 8.0
