@@ -24,7 +24,7 @@ def against_sql(spark, tmp_path):
     return changed
 
 
-@pytest.mark.parametrize("name", ["l09_lifecycle", "t01_line_presence"])
+@pytest.mark.parametrize("name", ["l09_lifecycle", "t01_line_presence", "t03_event_presence"])
 def test_polls_close_to_midnight(against_sql, name):
     """Seconds are rounded to the nearest, halves to even, and days before 1970 towards 1970."""
     near = "date_trunc('day', ts) + to_microseconds([86399400000, 86399500000, 86399999999, 500000, 0][1 + event_id % 5])"
