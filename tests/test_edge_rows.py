@@ -31,3 +31,17 @@ def test_polls_close_to_midnight(against_sql, name):
     compared = against_sql(events=f"SELECT * REPLACE (CASE WHEN user_id % 7 = 0 THEN {near} - INTERVAL 55 YEAR ELSE {near} END AS ts) FROM {{}}")
     got, want = compared(name)
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["a03_epoch_differences", "d10_schedule", "h01_close_boundary", "l05_first_observed", "t06_watermark", "v01_board"])
+def test_fractions_of_a_second(against_sql, name):
+    compared = against_sql(orders="SELECT * REPLACE (o_orderdate + to_microseconds(o_orderkey % 4 * 250000) AS o_orderdate) FROM {}", lineitem="SELECT * REPLACE (l_shipdate + to_microseconds(l_partkey % 4 * 250000) AS l_shipdate) FROM {}")
+    got, want = compared(name)
+    assert got == want
+
+
+def test_running_total_of_rows_that_tie(against_sql):
+    """Rows of one time, order and line have one total; times are told apart within a second."""
+    compared = against_sql(lineitem="SELECT * REPLACE (l_orderkey % 5 AS l_orderkey, l_shipdate + to_microseconds(l_partkey % 4 * 250000) AS l_shipdate) FROM {}")
+    got, want = compared("w_running_total")
+    assert got == want
