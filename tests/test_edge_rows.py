@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_catalogue import FOLDER, rows
 
+from tideline.operators import profiles
 from tideline.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -45,3 +47,15 @@ def test_running_total_of_rows_that_tie(against_sql):
     compared = against_sql(lineitem="SELECT * REPLACE (l_orderkey % 5 AS l_orderkey, l_shipdate + to_microseconds(l_partkey % 4 * 250000) AS l_shipdate) FROM {}")
     got, want = compared("w_running_total")
     assert got == want
+
+
+def test_a_fresh_market_without_books(spark):
+    """A grain that only other sources quote has no market, and no line of 0."""
+    at = "TIMESTAMP '2024-03-01 00:00:00'"
+    quotes = spark.sql(f"SELECT * FROM VALUES (1, 1, 'A', 7, 'over', 2.5D, 9.0D, false), (2, 1, 'A', 8, 'over', 2.5D, 9.0D, true) q(game, player, market, book, side, point, price, sportsbook)").withColumn("observed_at", F.expr(at))
+    results = spark.sql("SELECT 1 AS player, 'A' AS market, id AS game, TIMESTAMP '2024-01-01 00:00:00' + make_interval(0, 0, 0, CAST(id AS INT)) AS at, 5.0D AS value, 1 AS version FROM range(20)")
+    players = spark.sql("SELECT 1 AS player, true AS player_resolved")
+    games = spark.sql(f"SELECT id AS game, 'scheduled' AS game_status, true AS event_resolved, {at} AS starts_at FROM range(3)")
+    made = profiles.engine_v1(profiles.inputs(quotes, results, players, games, F.expr(at), gated=True, normalisers={"A": 3.0}))
+    got = {r.game: (r.cause, r.line, r.score is None) for r in made.collect()}
+    assert got == {1: ("no_current_market", None, True), 2: (None, 2.5, False)}
