@@ -8,7 +8,7 @@ from tideline.plans import catalogue
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["l05_first_observed"])
+@pytest.mark.parametrize("name", ["j03_three_way_join", "l05_first_observed"])
 def test_tasks_follow_rows(spark, monkeypatch, name):
     counts = []
     for most in (1000, 200):
