@@ -13,7 +13,7 @@ which the sets differ. Whole sets are made of the texts of the few pairs that ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -242,24 +242,43 @@ def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, shingle: int,
     return links
 
 
-def groups(docs: DataFrame, shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def majority(s: np.ndarray) -> int:
+    """The SimHash of a set: a bit is 1 if it is set in over half of its hashes; 0 without any. As a signed number."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(s), 1 << 15):  # bounded memory for very long texts
+        ones += np.unpackbits(mix(s[at : at + (1 << 15)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(s), bitorder="little").view(np.int64)[0])
+
+
+def proposed(nodes: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Distinct a, b: each node with the first of its fingerprint, and the firsts of fingerprints that near() links."""
+    firsts = materialise(nodes.groupBy("fp").agg(F.min("node").alias("lead")))
+    one = lambda k: firsts.select(F.col("fp").alias(k), F.col("lead").alias(f"lead_{k}"))
+    between = near(firsts.select("fp")).join(one("a"), "a").join(one("b"), "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
+    return nodes.join(firsts, "fp").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).union(between)
+
+
+def groups(docs: DataFrame, shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """component and first (doc_id is null, doc_id, hash of the text; the least) of each distinct shingle set of docs;
-    the component is equal for sets that links of the similarity join. Texts without words are one set."""
+    the component is equal for sets that links of the similarity join. Texts without words are one set.
+
+    near: links (a, b) between distinct SimHash fingerprints (fp); sets whose fingerprints it links are verified first, and
+    those that are similar need no further comparison."""
     key = drawn_key()
-    kind = "doc_id bigint, tie bigint, node long, n long, sketch binary, bucket int, count long"
+    kind = "doc_id bigint, tie bigint, node long, n long, sketch binary, fp long, bucket int, count long"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, names = np.zeros(1 << BUCKET_BITS, np.int64), ["doc_id", "tie", "node", "n", "sketch", "bucket", "count"]
+        total, names = np.zeros(1 << BUCKET_BITS, np.int64), ["doc_id", "tie", "node", "n", "sketch", "fp", "bucket", "count"]
         for b in slices(batches):
             sets = list(shingle_sets(b.column(1), shingle, key))
             total += np.bincount(bucket_of(np.concatenate(sets)), minlength=len(total))
             node = np.array(list(map(node_of, sets)), np.uint64).view(np.int64)
             n = np.array([len(s) for s in sets], np.int64)
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.record_batch([b.column(0), b.column(2), pa.array(node), pa.array(n), pa.array(list(map(sketch, sets)), pa.binary()), none.cast(pa.int32()), none], names=names)
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(node), pa.array(n), pa.array(list(map(sketch, sets)), pa.binary()), pa.array(list(map(majority, sets)), pa.int64()) if near else none, none.cast(pa.int32()), none], names=names)
         at = np.flatnonzero(total)
         none = pa.nulls(len(at), pa.int64())
-        yield pa.record_batch([none, none, none, none, pa.nulls(len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=names)
+        yield pa.record_batch([none, none, none, none, pa.nulls(len(at), pa.binary()), none, pa.array(at.astype(np.int32)), pa.array(total[at])], names=names)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = np.zeros(0, np.int64)
@@ -287,12 +306,14 @@ def groups(docs: DataFrame, shingle: int = SHINGLE_WORDS, similarity: float = SI
     seen = materialise(keyed.mapInArrow(read, kind))
     found = seen.where("node IS NOT NULL")
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("tie"))).alias("first")
-    nodes = materialise(found.groupBy("node").agg(first, F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    nodes = materialise(found.groupBy("node").agg(first, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp")))
     rows = found.agg(F.sum(F.col("n") - F.ceil(similarity * F.col("n") - F.lit(NEAR)) + 1)).first()[0] or 0
     n = int(max(partitions(docs.sparkSession), rows // ROWS_PER_TASK + 1))
     rank = docs.sparkSession.sparkContext.broadcast(rarity(seen))
     shared = materialise(docs.select("text").mapInArrow(emit, "hash long, node long, n long").repartition(n, "hash").mapInArrow(meet, "hash long, node long, n long"), instead=seen)
-    links = verified(materialise(plausible(stars(shared, similarity, n), nodes, similarity)), nodes, keyed, shingle, similarity, key)
+    pairs = stars(shared, similarity, n)
+    pairs = pairs.union(proposed(nodes, near)).distinct() if near else pairs
+    links = verified(materialise(plausible(pairs, nodes, similarity)), nodes, keyed, shingle, similarity, key)
     found = materialise(components(links))
     labelled = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = materialise(mixed(labelled, n), instead=shared)
@@ -305,10 +326,10 @@ def groups(docs: DataFrame, shingle: int = SHINGLE_WORDS, similarity: float = SI
     return nodes.join(found, "node", "left").select(F.coalesce("component", "node").alias("component"), "first")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The rows of docs, all columns, with one of each group of near-duplicates: that of the smallest doc_id, then
     of the smallest hash of its text; null ids go last. Repeated rows are one group. Empty texts are one group."""
-    stay = groups(docs, shingle, similarity).groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.tie").alias("__tie"))
+    stay = groups(docs, shingle, similarity, near).groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.tie").alias("__tie"))
     rows = docs.withColumn("__of", F.xxhash64("text"))
     kept = rows.join(stay, rows.doc_id.eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__tie")), "left_semi")
     return kept.dropDuplicates(["doc_id", "__of"]).drop("__of")

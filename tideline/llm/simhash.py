@@ -145,7 +145,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY, radius: int = 3) -> DataFrame:
     """The rows of docs with one of each group of near-duplicates by shingle similarity; see nearcopy.keep_one().
-    At that similarity fingerprints of 64 bits differ in about ten, beyond what balls of half the radius reach."""
-    return nearcopy.keep_one(docs, shingle, similarity)
+
+    Fingerprints within the radius are found by balls, and what they link is verified by its shingle sets. At that
+    similarity fingerprints of 64 bits may differ in about ten, beyond what balls reach: the prefix filter finds the rest,
+    so that no pair of the similarity is lost, and none below it goes."""
+    return nearcopy.keep_one(docs, shingle, similarity, near=lambda fps: links(fps, radius))
