@@ -32,12 +32,12 @@ def lifecycle(seen: DataFrame, polls: DataFrame, keys: list[str], scope: list[st
     single_omission or confirmed_removed), omissions (0 to 2) and confirmed_at (the poll that confirmed the removal).
 
     seen(keys, poll): appearances, repeated or not. polls(scope, poll, succeeded, unavailable, started): one row for each
-    poll; scope is a part of keys; a null flag counts as false. Appearances in polls that aren't there don't count. An
-    appearance in a poll that failed makes a line, or moves its last_seen, and changes no state. The first appearance in a
+    poll; scope is a part of keys; a null flag counts as false. Appearances in polls that aren't there, or of lines with a
+    null key, don't count. An appearance in a poll that failed makes a line, or moves its last_seen, and changes no state. The first appearance in a
     telling poll after a confirmed removal begins a generation; the one before stays as it was.
     """
     numbers = telling(polls, scope, poll)
-    rows = seen.select(*keys, poll).distinct().join(numbers, [*scope, poll])
+    rows = seen.select(*keys, poll).dropna(subset=keys).distinct().join(numbers, [*scope, poll])
     by = Window.partitionBy(*keys)
     w = by.orderBy(poll)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
