@@ -48,3 +48,25 @@ def test_ties_are_broken_as_the_library_does(spark):
     assert [list(x) for x in got.sort_values("doc_id").ids] == want
     assert (~got.parity.astype(bool)).any()  # else there was no tie to break
     assert [n for n in got.sort_values("doc_id").n_ids] == [len(x) for x in want]
+
+
+def test_runs_are_cut_where_no_piece_joins(spark, monkeypatch):
+    """Words beside signs and line feeds are learnt once, not once for each neighbour, and common ones stay when the
+    table is full; ids are the library's on characters of all kinds."""
+    model = bridge.model_bytes(spark, bridge.default_model())
+    ours, library = bridge.Backend(model), bridge.original(model)
+    words = [f"{a}{b}ing" for a in "abcdefgh" for b in "klmnopqr"]
+    texts = ["".join(f" {a},\n{b}." for b in words)[1:] for a in words]
+    ids, trip, same = ours.encode(texts)
+    assert ids.to_pylist() == library.encode(texts) and all(trip) and all(same)
+    assert len(ours.known) <= 2 * len(words) + 8
+    odd = ["é\né \n 日本語\n\nさ", "\n", "\n\n a", " \n", "a\r\nb\tc\0d", "😀 😀\n😀", "x" * 300 + "\n" + "é" * 300, "0123\n45 6", "<0x0A>\n<s> </s><unk>", "  \n  b", "  　\n", "a \nb", "ẅ\n", "é\ń"]
+    monkeypatch.setattr(bridge, "MOST_KNOWN", 800)
+    learnt, learn = [], ours.learn
+    ours.learn = lambda new: (learnt.append(set(new)), learn(new))
+    for at in range(20):
+        part = [*odd, *(f"{words[at]}{a}{b}" for a in words[:10] for b in words[10:20])]
+        ids, trip, same = ours.encode(part)
+        assert [x for x, s in zip(ids.to_pylist(), same, strict=True) if s is not None] == [x for x, s in zip(library.encode(part), same, strict=True) if s is not None]
+        assert all(trip) and False not in same and len(ours.known) <= 800
+    assert "語" in learnt[0] and not any("語" in x for x in learnt[1:])

@@ -8,9 +8,9 @@ order of the scores of what they make. Batches are encoded by the library's thre
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import struct
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import raw_bytes, slices
 
 MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: A run of spaces and what follows it, up to the next space.
-RUN = re.compile(r" *[^ ]+| +")
 #: Runs that a task remembers, about 200 bytes each.
 MOST_KNOWN = 300_000
+#: Bytes of text that are cut into runs at a time, and new runs that are encoded as one text.
+RUN_BYTES, TOGETHER = 4_000_000, 64
 
 
 @dataclass
@@ -112,11 +112,44 @@ def merges(m: Model) -> list[tuple[str, str]]:
 
 def by_runs(m: Model) -> bool:
     """Whether a text can be encoded run by run: no piece goes on after a run of markers, so no merge crosses
-    the run's start, and the normaliser does nothing but escape spaces."""
+    the run's start, and the normaliser does nothing but escape spaces. See also line_end()."""
     inner = any(MARKER in p.strip(MARKER) or (p.strip(MARKER) and p.endswith(MARKER)) for p, _, kind in m.pieces if kind in (NORMAL, USER))
     return m.kind == 2 and not inner and not m.charsmap and not m.extra_spaces_removed and m.spaces_escaped
 
 
+def line_end(m: Model) -> int | None:
+    """The id that each line feed has, whatever stands beside it: no piece joins it to something, and it is no unknown
+    that could be fused with another."""
+    if not m.byte_fallback or any("\n" in p and p != "\n" for p, _, _ in m.pieces):
+        return None
+    at = {p: i for i, (p, _, _) in enumerate(m.pieces)}
+    return at.get("\n", at.get("<0x0A>"))
+
+
+def joining(m: Model) -> np.ndarray:
+    """Of two bytes, the first times 256 and the second: whether they lie in one character, or end and begin two that
+    some piece has side by side. No merge crosses another place."""
+    table = np.zeros((256, 256), bool)
+    table[:, 0x80:0xC0] = True
+    for p, _, _ in m.pieces:
+        chars = [c.encode() for c in p.replace(MARKER, " ")]
+        for a, b in itertools.pairwise(chars):
+            table[a[-1], b[0]] = True
+    return table.ravel()
+
+
+def runs_of(texts: list[str], joins: np.ndarray) -> tuple[np.ndarray, pa.LargeStringArray]:
+    """Number of each text's first run, and all runs: texts are cut wherever two characters can't join. An empty text
+    has no run."""
+    data, off = raw_bytes(pa.array(texts, pa.large_string()))
+    begins = np.zeros(len(data), bool)
+    begins[1:] = ~joins[data[:-1].astype(np.uint16) << 8 | data[1:]]
+    begins[off[:-1][np.diff(off) > 0]] = True
+    start = np.flatnonzero(begins)
+    runs = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.append(start, len(data))), pa.py_buffer(data))
+    return np.searchsorted(start, off), runs
+
+
 def build(m: Model, prefix: bool = True):
     """The model as a tokenizers.Tokenizer; without prefix, for runs of a text."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -146,65 +179,100 @@ def build(m: Model, prefix: bool = True):
     return t
 
 
+def together(runs: list[str]) -> list[str]:
+    """Texts of TOGETHER runs each, every run after a line feed."""
+    return ["\n" + "\n".join(runs[i : i + TOGETHER]) for i in range(0, len(runs), TOGETHER)]
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of spans, one span after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Backend:
     """Encodes and decodes lists of texts."""
 
     def __init__(self, data: bytes):
         m = parse(data)
-        self.data, self.apart = data, m.byte_fallback
-        self.whole, self.runs, self.prefix = build(m), build(m, prefix=False) if by_runs(m) else None, " " if m.dummy_prefix else ""
+        self.data, self.feed, self.joins = data, line_end(m), joining(m)
+        self.whole, self.prefix = build(m), " " if m.dummy_prefix else ""
+        self.runs = build(m, prefix=False) if by_runs(m) and self.feed is not None else None
         self.forget()
 
     def forget(self) -> None:
-        """Empties the table of runs seen so far: a run's number, where its ids end, if they decode to it,
-        and if they are those of the sentencepiece library."""
-        self.known: dict[str, int] = {}
-        self.flat, self.ends, self.good, self.same = array("i"), array("q", [0]), array("b"), array("b")
+        """Empties the table of runs seen so far: a run's number, its ids, their number, if they decode to it, if they are
+        those of the sentencepiece library, and in how many calls it was met. The line feed is its first."""
+        self.known: dict[str, int] = {"\n": 0}
+        self.flat, self.size, self.met = np.array([self.feed or 0], np.int32), np.ones(1, np.int64), np.zeros(1, np.int64)
+        self.good, self.same = np.ones(1, bool), np.ones(1, bool)
+
+    def thin(self) -> None:
+        """Forgets all runs but the line feed and those met more than once, half the table at most."""
+        names = list(self.known)
+        kept = 1 + np.flatnonzero(self.met[1:] > 1)
+        kept = np.sort(np.append(0, kept[np.argsort(-self.met[kept], kind="stable")[: MOST_KNOWN // 2]]))
+        self.known = {names[i]: k for k, i in enumerate(kept.tolist())}
+        self.flat = self.flat[spread((np.cumsum(self.size) - self.size)[kept], self.size[kept])]
+        self.size, self.good, self.same, self.met = self.size[kept], self.good[kept], self.same[kept], np.maximum(self.met[kept] // 2, 1)
+
+    def apart(self, ids: list[list[int]]) -> list[list[int]]:
+        """The ids of each run, from those of texts that begin each run with a line feed."""
+        flat = list(itertools.chain.from_iterable(ids))
+        cut = np.flatnonzero(np.array(flat, np.int32) == self.feed)
+        skip = np.cumsum([0, *map(len, ids)])  # what comes before a text's first line feed is a dummy prefix
+        end = np.append(cut[1:], len(flat))
+        first = np.searchsorted(cut, skip[1:-1])
+        end[first - 1] = skip[1:-1]
+        return [flat[i:j] for i, j in zip((cut + 1).tolist(), end.tolist(), strict=True)]
 
     def theirs(self, runs: list[str]) -> list[list[int]]:
-        """The library's ids of runs. It sets the dummy prefix, which each run here has as its first space."""
-        return original(self.data).encode([r.removeprefix(self.prefix) for r in runs], num_threads=1)
+        """The library's ids of runs. Its dummy prefix comes before the first line feed."""
+        return self.apart(original(self.data).encode(together(runs), num_threads=1))
+
+    def learn(self, new: list[str]) -> None:
+        """Encodes runs, decodes them and compares them with the library's. TOGETHER of them are one text, parted by line
+        feeds, which no merge crosses."""
+        flat, size, good, same = [self.flat], [self.size], [self.good], [self.same]
+        for at in range(0, len(new), 64 * TOGETHER):  # bounds what the tokenizers hold beside the table
+            part = new[at : at + 64 * TOGETHER]
+            whole = [e.ids for e in self.runs.encode_batch_fast(together(part), add_special_tokens=False)]
+            ids = self.apart(whole)
+            back = "".join(self.runs.decode_batch(whole, skip_special_tokens=False)).split("\n")[1:]
+            if back != part:
+                back = self.runs.decode_batch(ids, skip_special_tokens=False)
+            flat.append(np.array(list(itertools.chain.from_iterable(ids)), np.int32))
+            size.append(np.array([len(i) for i in ids], np.int64))
+            good.append(np.array([a == b for a, b in zip(back, part, strict=True)], bool))
+            same.append(np.array([a == b for a, b in zip(ids, self.theirs(part), strict=True)], bool))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.flat, self.size, self.good, self.same = map(np.concatenate, (flat, size, good, same))
+        self.met = np.append(self.met, np.zeros(len(new), np.int64))
 
     def encode(self, texts: list[str]) -> tuple[pa.ListArray, np.ndarray, list[bool | None]]:
         """ids, whether decoding them gives the text back, and whether they are the library's. Where runs can be
         encoded alone, each distinct run is encoded, decoded and compared once, as long as the table of MOST_KNOWN
-        runs holds it. The last is None where it takes the whole text to tell: without runs, for spaces at its end
-        (the library sets no prefix before nothing) or U+2581, and where unknown pieces could join over runs."""
+        runs holds it. The last is None where it takes the whole text to tell: without runs, or for spaces at its end
+        (the library sets no prefix before nothing) or U+2581."""
         if self.runs is None:
             ids = [e.ids if x else [] for x, e in zip(texts, self.whole.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
             return pa.array(ids, pa.list_(pa.int32())), np.array([a == b for a, b in zip(self.decode(ids), texts, strict=True)], bool), [None] * len(texts)
-        found = [RUN.findall(self.prefix + x.replace(MARKER, " ")) if x else [] for x in texts]
-        count = np.array([len(x) for x in found], np.int64)
-        enc = pa.array([r for x in found for r in x], pa.large_string()).dictionary_encode()
-        del found
-        vocab = enc.dictionary.to_pylist()
+        bounds, runs = runs_of([self.prefix + x.replace(MARKER, " ") if x else "" for x in texts], self.joins)
+        runs = runs.dictionary_encode()
+        vocab = runs.dictionary.to_pylist()
         if len(self.known) + len(vocab) > MOST_KNOWN:
-            self.forget()
-        new = [r for r in vocab if r not in self.known]
-        for at in range(0, len(new), 4096):  # bounds what the tokenizers hold beside the table
-            part = new[at : at + 4096]
-            ids = [e.ids for e in self.runs.encode_batch_fast(part, add_special_tokens=False)]
-            for r, i, back, want in zip(part, ids, self.runs.decode_batch(ids, skip_special_tokens=False), self.theirs(part), strict=True):
-                self.known[r] = len(self.known)
-                self.flat.extend(i)
-                self.ends.append(len(self.flat))
-                self.good.append(back == r)
-                self.same.append(want == i)
-        known, ends = self.known, np.array(self.ends, np.int64)
-        flat, good = np.array(self.flat, np.int32), np.array(self.good, bool)
-        which = np.array([known[r] for r in vocab], np.int64)[enc.indices.to_numpy()]
-        size, start = np.diff(ends), ends[:-1]
-        each = size[which]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        at = np.repeat(start[which] - ends[:-1], each) + np.arange(ends[-1])
-        bounds = np.concatenate([[0], np.cumsum(count)])
-        bad = np.concatenate([[0], np.cumsum(~good[which])])
-        trip = np.diff(bad[bounds]) == 0
+            self.thin()
+        self.learn([r for r in vocab if r not in self.known])
+        of = np.array([self.known[r] for r in vocab], np.int64)
+        self.met[of] += 1
+        which = of[runs.indices.to_numpy()]
+        size, start = self.size[which], (np.cumsum(self.size) - self.size)[which]
+        count = lambda wrong: np.diff(np.concatenate([[0], np.cumsum(wrong[which])])[bounds])
         plain = np.array([MARKER not in x for x in texts], bool)
-        trip &= plain
-        other = np.concatenate([[0], np.cumsum(~np.array(self.same, bool)[which])])
-        same = [bool(n == 0) if self.apart and p and not x.endswith(" ") else None for x, p, n in zip(texts, plain, np.diff(other[bounds]), strict=True)]
-        return pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(flat[at])), trip, same
+        trip = plain & (count(~self.good) == 0)
+        same = [bool(n == 0) if p and not x.endswith(" ") else None for x, p, n in zip(texts, plain, count(~self.same), strict=True)]
+        ends = np.concatenate([[0], np.cumsum(size)])[bounds]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(self.flat[spread(start, size)])), trip, same
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
@@ -251,7 +319,7 @@ def encode(docs: DataFrame, model: bytes, parity_every: int = 16) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, s = loaded(sent.value), original(sent.value)
-        for b in slices(batches, names.index("text")):
+        for b in slices(batches, names.index("text"), RUN_BYTES):
             text = b.column(names.index("text")).to_pylist()
             asked = b.column(len(names)).to_pylist()
             ids, trip, by_run = t.encode([x or "" for x in text])
